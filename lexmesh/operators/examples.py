@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmesh.functions.hashing import hash_key, uniform
 from lexmesh.functions.numbering import number_rows, rank_by_hash
@@ -21,73 +18,63 @@ def truncate_encode(ids: Column, max_length: int = 256, bos: int = 0, eos: int =
     return F.concat(F.array(F.lit(bos)), F.slice(ids, 1, max_length - 2), F.array(F.lit(eos)))
 
 
-def chunk_bounds(counts: np.ndarray, room: int) -> list[dict]:
-    """Greedy bins ``{first, n}`` over words of ``counts`` pieces, at most ``room`` pieces a bin.
+def word_starts(counts: Column) -> Column:
+    """Position of each word's first piece, from 1, given the pieces per word.
 
-    A longer word sits alone; if it is the first word, an empty bin precedes it. No word at all
-    gives one empty bin.
+    Linear in the pieces: the words' piece numbers are laid end to end and the first ones kept.
     """
-    total = np.cumsum(counts, dtype=np.int64)
-    size = len(counts)
-    if size == 0:
-        return [{"first": 0, "n": 0}]
-    bins = [{"first": 0, "n": 0}] if counts[0] > room else []
-    first = 0
-    while first < size:
-        used = total[first - 1] if first else 0
-        end = max(int(np.searchsorted(total, used + room, side="right")), first + 1)
-        bins.append({"first": first, "n": end - first})
-        first = end
-    return bins
+    numbered = F.flatten(F.transform(counts, lambda n: F.sequence(F.lit(1), n)))
+    placed = F.transform(numbered, lambda k, at: F.struct(k.alias("k"), (at + 1).alias("at")))
+    return F.transform(F.filter(placed, lambda x: x["k"] == 1), lambda x: x["at"])
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _starts(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: (1 + np.cumsum(c) - c).astype("int32") if len(c) else np.zeros(0, "int32"))
+def chunk_limits(counts: Column, room: int) -> Column:
+    """Limits of greedy bins over words of ``counts`` pieces, at most ``room`` pieces a bin.
 
+    Bin i holds the words from limit i up to, not including, limit i + 1. A longer word sits alone;
+    if it is the first word, an empty bin precedes it. No word at all gives one empty bin.
+    """
+    start = F.struct(F.array(F.lit(0)).alias("limits"), F.lit(0).alias("used"), F.lit(0).alias("at"))
+
+    def place(bins: Column, n: Column) -> Column:
+        fits = bins["used"] + n <= room
+        return F.struct(F.when(fits, bins["limits"]).otherwise(F.concat(bins["limits"], F.array(bins["at"]))).alias("limits"),
+                        F.when(fits, bins["used"] + n).otherwise(n).alias("used"), (bins["at"] + 1).alias("at"))
 
-def _bounds(room: int):
-    @F.pandas_udf("array<struct<first:int,n:int>>")
-    def bounds(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda c: chunk_bounds(np.asarray(c), room))
-    return bounds
+    return F.aggregate(counts, start, place, lambda bins: F.concat(bins["limits"], F.array(bins["at"])))
 
 
 def align_words(lines: DataFrame, pieces: str = "pieces") -> DataFrame:
     """Per word its first and last subword position, counted from 1 after the begin token.
 
     ``pieces`` is an array of piece arrays, one per word; words without pieces are skipped. A line
-    is one row throughout, so nothing is shuffled.
+    is one row until the end, so nothing is shuffled.
     """
     others = [c for c in lines.columns if c != pieces]
-    indexed = F.filter(F.transform(pieces, lambda p, i: F.struct((i + 1).alias("word_no"), p.alias("pieces"))),
-                       lambda w: F.size(w["pieces"]) > 0)
-    kept = lines.select(*others, indexed.alias("_w"))
-    # the outer form keeps Catalyst from copying the Python expression into a filter below the explode
-    placed = kept.select(*others, F.explode_outer(F.arrays_zip(
-        F.col("_w").alias("word"), _starts(F.transform("_w", lambda w: F.size(w["pieces"]))).alias("first"))).alias("z")).filter(F.col("z").isNotNull())
-    return placed.select(*others, F.col("z.word.word_no").alias("word_no"), F.size("z.word.pieces").alias("n_pieces"),
-                         F.col("z.first").alias("first"), (F.col("z.first") + F.size("z.word.pieces") - 1).alias("last"))
+    numbered = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("word_no"), F.size(p).alias("n_pieces")))
+    kept = lines.select(*others, F.filter(numbered, lambda w: w["n_pieces"] > 0).alias("_w"))
+    placed = kept.select(*others, F.explode(F.arrays_zip(
+        F.col("_w").alias("word"), word_starts(F.transform("_w", lambda w: w["n_pieces"])).alias("first"))).alias("z"))
+    return placed.select(*others, "z.word.word_no", "z.word.n_pieces", "z.first",
+                         (F.col("z.first") + F.col("z.word.n_pieces") - 1).alias("last"))
 
 
 def chunk_by_length(lines: DataFrame, max_length: int, ids: str = "ids", labels: str | None = None, bos: int = 0, eos: int = 2) -> DataFrame:
     """Lines of word id arrays to examples of at most ``max_length`` ids, begin and end included.
 
     Output: ``example_no``, ``first_word``, ``n_words``, ``input_ids``, ``alignment`` (subword
-    positions per word) and the words' ``labels`` if given.
+    positions per word) and the words' ``labels`` if given. All of it stays inside the line's row.
     """
     others = [c for c in lines.columns if c not in (ids, labels)]
     columns = [F.col(ids).alias("ids")] + ([F.col(labels).alias("label")] if labels else [])
-    words = F.filter(F.arrays_zip(*columns), lambda w: F.size(w["ids"]) > 0)
-    kept = lines.select(*others, words.alias("_w"))
+    kept = lines.select(*others, F.filter(F.arrays_zip(*columns), lambda w: F.size(w["ids"]) > 0).alias("_w"))
     counts = F.transform("_w", lambda w: F.size(w["ids"]))
-    laid = kept.select(*others, "_w", _starts(counts).alias("_start"), _bounds(max_length - 2)(counts).alias("_bins"))
-    bins = laid.select(*others, "_w", "_start", F.posexplode_outer("_bins").alias("_no", "_bin"))
-    first, size = F.col("_bin.first") + 1, F.col("_bin.n")
-    taken = bins.withColumn("_w", F.slice("_w", first, size)).withColumn("_start", F.slice("_start", first, size))
-    aligned = F.zip_with("_w", "_start", lambda w, s: F.sequence(
-        s - F.get("_start", F.lit(0)) + 1, s - F.get("_start", F.lit(0)) + F.size(w["ids"])))
-    out = [*others, (F.col("_no") + 1).alias("example_no"), F.col("_bin.first").alias("first_word"), F.col("_bin.n").alias("n_words"),
+    laid = kept.select(*others, "_w", chunk_limits(counts, max_length - 2).alias("_limits"))
+    bins = laid.select(*others, "_w", "_limits", F.explode(F.sequence(F.lit(1), F.size("_limits") - 1)).alias("example_no"))
+    low, high = F.get("_limits", F.col("example_no") - 1), F.get("_limits", F.col("example_no"))
+    taken = bins.withColumn("_w", F.slice("_w", low + 1, high - low))
+    aligned = F.zip_with("_w", word_starts(counts), lambda w, s: F.sequence(s, s + F.size(w["ids"]) - 1))
+    out = [*others, "example_no", low.alias("first_word"), (high - low).alias("n_words"),
            F.concat(F.array(F.lit(bos)), F.flatten(F.transform("_w", lambda w: w["ids"])), F.array(F.lit(eos))).alias("input_ids"),
            aligned.alias("alignment")]
     if labels:
@@ -180,8 +167,8 @@ def epoch_order(lines: DataFrame, shard: str, order: Sequence[str], shuffle_shar
     else:
         ranked = number_rows(lines, order, by=[shard], name="index_in_shard")
     placed = lookup(ranked, _shard_offsets(lines, shard, seed if shuffle_shards else None), [shard])
-    index = F.col("index_in_shard") - 1
-    return placed.withColumn("index_in_shard", index).withColumn("position", F.col("rows_before") + index).drop("rows_before")
+    placed = placed.withColumn("index_in_shard", F.col("index_in_shard") - 1)
+    return placed.withColumn("position", F.col("rows_before") + F.col("index_in_shard")).drop("rows_before")
 
 
 def resume_epoch(epoch: DataFrame, cursor: int, reset: bool = False) -> DataFrame:

@@ -46,9 +46,9 @@ def sample_languages(lines: DataFrame, alpha: float, key: Sequence[str], size: i
         F.when(F.lead("lang").over(by_name).isNull(), F.lit(2.0)).otherwise(F.sum("weight").over(by_name)).alias("upto"),
         "lang", "lines")
     steps = ladder.agg(F.array_sort(F.collect_list(F.struct("upto", "lang", "lines")))).scalar()
-    draws = lines.sparkSession.range(rows).select(
-        F.col("id").alias("draw"),
-        F.element_at(F.filter(steps, lambda s: s["upto"] > uniform(seed, F.lit("language"), "id")), 1).alias("pick"))
+    chance = lines.sparkSession.range(rows).select(
+        F.col("id").alias("draw"), steps.alias("steps"), uniform(seed, F.lit("language"), "id").alias("u"))
+    draws = chance.select("draw", F.element_at(F.filter("steps", lambda s: s["upto"] > F.col("u")), 1).alias("pick"))
     draws = draws.select(
         "draw", F.col("pick.lang").alias("lang"),
         (F.floor(uniform(seed, F.lit("line"), "draw") * F.col("pick.lines")) + 1).cast("long").alias("_index"))

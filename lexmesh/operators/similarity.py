@@ -42,8 +42,9 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
     """
     new_tiles = max(1, -(-new.count() // tile))
     old_tiles = max(1, -(-overlap.count() // tile))
-    left = _tiles(new.select("id", "aux"), "i", "j", new_tiles, old_tiles)
-    right = _tiles(overlap.select("id", "aux", "vector"), "j", "i", old_tiles, new_tiles)
+    # toDF gives every use of an input its own columns, so that no cogroup or join is ambiguous
+    left = _tiles(new.select("id", "aux").toDF("id", "aux"), "i", "j", new_tiles, old_tiles)
+    right = _tiles(overlap.select("id", "aux", "vector").toDF("id", "aux", "vector"), "j", "i", old_tiles, new_tiles)
 
     def candidates(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -58,7 +59,9 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
         return values.map(lambda v: threshold_of(np.asarray(v)))
 
     cuts = near.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).select("id", threshold("near").alias("cut"))
-    weighted = _tiles(new.select("id", "aux").join(cuts, "id"), "i", "j", new_tiles, old_tiles)
+    weighted = _tiles(new.select("id", "aux").toDF("id", "aux").join(cuts, "id"), "i", "j", new_tiles, old_tiles)
+
+    again = _tiles(overlap.select("id", "aux", "vector").toDF("id", "aux", "vector"), "j", "i", old_tiles, new_tiles)
 
     def partial_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -68,5 +71,5 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
         used = weights.any(axis=1)
         return pd.DataFrame({"id": a["id"][used], "part": list(sums[used])})
 
-    parts = weighted.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(partial_sums, "id long, part array<double>")
+    parts = weighted.groupBy("i", "j").cogroup(again.groupBy("i", "j")).applyInPandas(partial_sums, "id long, part array<double>")
     return parts.groupBy("id").agg(Summarizer.sum(array_to_vector("part")).alias("v")).select("id", vector_to_array("v").alias("vector"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmesh.functions.text import WORD_INITIAL
 from lexmesh.session import cut_lineage
@@ -172,7 +173,7 @@ def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vo
     scores = {r.token: float(r.score) for r in rows}
     longest, unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - _UNKNOWN_PENALTY
     shared = lines.sparkSession.sparkContext.broadcast((ids, scores))
-    schema = lines.schema.add("ids", "array<int>")
+    schema = T.StructType([*lines.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, weights = shared.value

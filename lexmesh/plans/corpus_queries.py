@@ -190,7 +190,7 @@ def pool_train_dev(t: Tables):
 
 
 @query("split_size_report", q.with_(q.LINES, _RANKED_LANG, _THRESHOLD, """
-SELECT lang, split, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM parted GROUP BY lang, split"""))
+SELECT lang, split, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) + 0.0 AS share FROM parted GROUP BY lang, split"""))
 def split_size_report(t: Tables):
     return split.split_size_report(_thresholded(t)).withColumn("share", F.round("share", 6))
 
@@ -267,7 +267,7 @@ _WEIGHTS = f"""composition AS (SELECT lang, count(*) AS lines, count(*) / (SELEC
 weights AS (SELECT *, pow(proportion, {ALPHA}) / sum(pow(proportion, {ALPHA})) OVER () AS weight FROM composition)"""
 
 
-@query("language_composition", q.with_(q.LINES, _WEIGHTS, "SELECT lang, lines, round(proportion, 9) AS proportion FROM composition"))
+@query("language_composition", q.with_(q.LINES, _WEIGHTS, "SELECT lang, lines, round(proportion, 9) + 0.0 AS proportion FROM composition"))
 def language_composition(t: Tables):
     return sampling.language_composition(lines(t)).withColumn("proportion", F.round("proportion", 9))
 
@@ -276,12 +276,12 @@ def _weights(t: Tables):
     return sampling.alpha_weights(sampling.language_composition(lines(t)), ALPHA)
 
 
-@query("alpha_weights", q.with_(q.LINES, _WEIGHTS, "SELECT lang, lines, round(proportion, 9) AS proportion, round(weight, 9) AS weight FROM weights"))
+@query("alpha_weights", q.with_(q.LINES, _WEIGHTS, "SELECT lang, lines, round(proportion, 9) + 0.0 AS proportion, round(weight, 9) + 0.0 AS weight FROM weights"))
 def alpha_weights(t: Tables):
     return _weights(t).select("lang", "lines", F.round("proportion", 9).alias("proportion"), F.round("weight", 9).alias("weight"))
 
 
-@query("sampling_rates", q.with_(q.LINES, _WEIGHTS, "SELECT lang, round(weight / proportion, 9) AS rate FROM weights"))
+@query("sampling_rates", q.with_(q.LINES, _WEIGHTS, "SELECT lang, round(weight / proportion, 9) + 0.0 AS rate FROM weights"))
 def sampling_rates(t: Tables):
     return sampling.sampling_rates(_weights(t)).select("lang", F.round("rate", 9).alias("rate"))
 
@@ -324,6 +324,6 @@ def minimum_slice(t: Tables):
     q.LINES, _DEDUP, f"kept AS (SELECT * FROM deduped WHERE {_LENGTH} AND {_AVERAGE} AND {_LONG} AND {_ALPHABET})",
     "composition AS (SELECT lang, count(*) AS lines, count(*) / (SELECT count(*) FROM kept) AS proportion FROM kept GROUP BY lang)",
     f"weights AS (SELECT *, pow(proportion, {ALPHA}) / sum(pow(proportion, {ALPHA})) OVER () AS weight FROM composition)",
-    "SELECT lang, lines, round(proportion, 9) AS proportion, round(weight, 9) AS weight, round(weight / proportion, 9) AS rate FROM weights"))
+    "SELECT lang, lines, round(proportion, 9) + 0.0 AS proportion, round(weight, 9) + 0.0 AS weight, round(weight / proportion, 9) + 0.0 AS rate FROM weights"))
 def multilingual_corpus(t: Tables):
     return minimum_slice(t)

@@ -16,7 +16,7 @@ _BASE = (q.LINES, q.TOKENS, q.VOCABS)
 _SPECIAL = "('<s>', '<pad>', '</s>', '<unk>', '<mask>')"
 
 
-@query("load_vocab_embeddings", q.with_(*_BASE, "SELECT id, token, dim, round(value, 6) AS value FROM old_vocab JOIN vectors USING (id)"))
+@query("load_vocab_embeddings", q.with_(*_BASE, "SELECT id, token, dim, round(value, 6) + 0.0 AS value FROM old_vocab JOIN vectors USING (id)"))
 def load_vocab_embeddings(t: Tables):
     return long_form(join_vectors(old_vocab(t), embeddings(t)).select("id", "token", "vector"))
 
@@ -77,7 +77,7 @@ def script_cluster_select(t: Tables):
 
 
 @query("category_moments", """
-SELECT label AS category, dim, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+SELECT label AS category, dim, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
 FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings) GROUP BY label, dim""")
 def category_moments(t: Tables):
     found = embed.category_moments(embeddings(t).withColumnRenamed("label", "category"))
@@ -85,7 +85,7 @@ def category_moments(t: Tables):
 
 
 @query("overall_moments", """
-SELECT dim, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+SELECT dim, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
 FROM (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings) GROUP BY dim""")
 def overall_moments(t: Tables):
     return embed.overall_moments(embeddings(t)).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
@@ -96,7 +96,7 @@ _START = q.normal(1, "'start'", "id", "dim")
 _DRAW = q.normal(1, "'category'", "id", "dim")
 
 
-@query("init_random", q.with_(*_BASE, _DIMS, f"SELECT token, id, dim, round({_START}, 6) AS value FROM new_vocab, dims"))
+@query("init_random", q.with_(*_BASE, _DIMS, f"SELECT token, id, dim, round({_START}, 6) + 0.0 AS value FROM new_vocab, dims"))
 def init_random(t: Tables):
     return long_form(embed.init_random(new_vocab(t), dims(t)))
 
@@ -105,13 +105,13 @@ _OLD_ROWS = "old_rows AS (SELECT token, dim, value FROM old_vocab JOIN vectors U
 
 
 @query("copy_special", q.with_(*_BASE, _OLD_ROWS, f"""
-SELECT token, n.id, dim, round(value, 6) AS value FROM new_vocab n JOIN old_rows USING (token) WHERE token IN {_SPECIAL}"""))
+SELECT token, n.id, dim, round(value, 6) + 0.0 AS value FROM new_vocab n JOIN old_rows USING (token) WHERE token IN {_SPECIAL}"""))
 def copy_special(t: Tables):
     return long_form(embed.copy_special(old_matrix(t), new_vocab(t)))
 
 
 @query("init_by_identity", q.with_(*_BASE, _OLD_ROWS, f"""
-SELECT token, n.id, dim, round(value, 6) AS value FROM new_vocab n JOIN old_rows USING (token) WHERE token NOT IN {_SPECIAL}"""))
+SELECT token, n.id, dim, round(value, 6) + 0.0 AS value FROM new_vocab n JOIN old_rows USING (token) WHERE token NOT IN {_SPECIAL}"""))
 def init_by_identity(t: Tables):
     return long_form(embed.init_by_identity(old_matrix(t), new_vocab(t)))
 
@@ -122,7 +122,7 @@ _MOMENTS = """moments AS (
 
 
 @query("init_by_category", q.with_(*_BASE, _OLD_POS, _NEW_POS, _MOMENTS, f"""
-SELECT token, id, category, dim, round(mean + std * {_DRAW}, 6) AS value FROM new_cat JOIN moments USING (category)"""))
+SELECT token, id, category, dim, round(mean + std * {_DRAW}, 6) + 0.0 AS value FROM new_cat JOIN moments USING (category)"""))
 def init_by_category(t: Tables):
     old, new = old_matrix(t), new_vocab(t)
     return long_form(embed.init_by_category(old, scripts.script_categories(old, True), scripts.script_categories(new, True)))
@@ -131,7 +131,7 @@ def init_by_category(t: Tables):
 @query("init_combined", q.with_(*_BASE, _OLD_POS, _NEW_POS, _MOMENTS, _OLD_ROWS, _DIMS, f"""
 SELECT token, id, dim, CASE WHEN token IN {_SPECIAL} AND same IS NOT NULL THEN 'special' WHEN same IS NOT NULL THEN 'identity'
     WHEN drawn IS NOT NULL THEN 'script' ELSE 'random' END AS origin,
-  round(coalesce(same, CASE WHEN token NOT IN {_SPECIAL} THEN drawn END, start), 6) AS value
+  round(coalesce(same, CASE WHEN token NOT IN {_SPECIAL} THEN drawn END, start), 6) + 0.0 AS value
 FROM (SELECT n.token, n.id, dim, o.value AS same, m.mean + m.std * {_DRAW.replace('id, dim', 'n.id, dim')} AS drawn, {_START.replace('id, dim', 'n.id, dim')} AS start
   FROM new_vocab n CROSS JOIN dims LEFT JOIN old_rows o USING (token, dim)
   LEFT JOIN (SELECT * FROM new_cat WHERE category <> 'xlmr_special') c ON c.id = n.id LEFT JOIN moments m USING (category, dim))"""))
@@ -144,11 +144,11 @@ def init_combined(t: Tables):
 aux AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 overlap AS (SELECT n.id, o.id AS old_id, a.v FROM new_vocab n JOIN old_vocab o USING (token) JOIN aux a ON a.id = n.id),
 missing AS (SELECT n.id, a.v FROM new_vocab n JOIN aux a USING (id) WHERE token NOT IN (SELECT token FROM old_vocab)),
-similar AS (SELECT m.id, o.old_id, list_cosine_similarity(m.v, o.v) AS z FROM missing m CROSS JOIN overlap o),
-ordered AS (SELECT id, z, row_number() OVER w AS k, sum(z) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM similar WINDOW w AS (PARTITION BY id ORDER BY z DESC)),
+similar_ AS (SELECT m.id, o.old_id, list_cosine_similarity(m.v, o.v) AS z FROM missing m CROSS JOIN overlap o),
+ordered AS (SELECT id, z, row_number() OVER w AS k, sum(z) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM similar_ WINDOW w AS (PARTITION BY id ORDER BY z DESC)),
 cuts AS (SELECT id, arg_max((s - 1.0) / k, k) AS cut FROM ordered WHERE 1 + k * z > s GROUP BY id),
-weighted AS (SELECT id, old_id, z - cut AS w FROM similar JOIN cuts USING (id) WHERE z > cut)""", """
-SELECT w.id, dim, round(sum(w * value), 5) AS value FROM weighted w JOIN vectors v ON v.id = w.old_id GROUP BY w.id, dim"""))
+weighted AS (SELECT id, old_id, z - cut AS w FROM similar_ JOIN cuts USING (id) WHERE z > cut)""", """
+SELECT w.id, dim, round(sum(w * value), 5) + 0.0 AS value FROM weighted w JOIN vectors v ON v.id = w.old_id GROUP BY w.id, dim"""))
 def init_by_similarity(t: Tables):
     new, old = new_vocab(t), old_matrix(t)
     aux = embeddings(t).select("id", F.col("vector").alias("aux"))
@@ -180,8 +180,8 @@ def _points(t: Tables):
 
 
 @query("confidence_ellipse", """
-SELECT script, n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(r, 6) AS pearson, round(sqrt(1 + r), 6) AS radius_x,
-       round(sqrt(1 - r), 6) AS radius_y, round(sqrt(vx) * 3, 6) AS scale_x, round(sqrt(vy) * 3, 6) AS scale_y
+SELECT script, n, round(mean_x, 6) + 0.0 AS mean_x, round(mean_y, 6) + 0.0 AS mean_y, round(r, 6) + 0.0 AS pearson, round(sqrt(1 + r), 6) + 0.0 AS radius_x,
+       round(sqrt(1 - r), 6) + 0.0 AS radius_y, round(sqrt(vx) * 3, 6) + 0.0 AS scale_x, round(sqrt(vy) * 3, 6) + 0.0 AS scale_y
 FROM (SELECT label AS script, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, var_samp(x) AS vx, var_samp(y) AS vy,
         covar_samp(x, y) / sqrt(var_samp(x) * var_samp(y)) AS r
   FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label HAVING count(*) > 2)""")
@@ -194,7 +194,7 @@ def confidence_ellipse(t: Tables):
 points AS (SELECT c.token, c.category, e.embedding[1]::DOUBLE AS x, e.embedding[2]::DOUBLE AS y,
     CASE WHEN c.token LIKE '▁%' THEN 'Initial' ELSE 'Medial' END AS word_position
   FROM old_cat c JOIN embeddings e ON e.vec_id = c.id WHERE c.category <> 'xlmr_special')""", """
-SELECT token, view, word_position, round(x, 6) AS x, round(y, 6) AS y FROM (
+SELECT token, view, word_position, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (
   SELECT *, 'All scripts' AS view FROM points UNION ALL
   SELECT *, 'Common/Cyrillic/Latin' FROM points WHERE category IN ('Common', 'Cyrillic', 'Latin') UNION ALL
   SELECT *, category FROM points)"""))
@@ -207,11 +207,13 @@ def word_position_points(t: Tables):
 @query("pool_word_vectors", q.with_(*_BASE, """
 words AS (SELECT DISTINCT word FROM tokens),
 alignment AS (SELECT word, unnest(""" + q.pieces("word", 3) + """) AS token FROM words)""", """
-SELECT word, dim, round(avg(value), 5) AS value FROM alignment JOIN old_vocab USING (token) JOIN vectors USING (id) WHERE dim < 8 GROUP BY word, dim"""))
+SELECT word, count(*) AS dims, round(sum(value), 4) + 0.0 AS total, round(sum(value * value), 4) + 0.0 AS squares FROM (
+  SELECT word, dim, avg(value) AS value FROM alignment JOIN old_vocab USING (token) JOIN vectors USING (id) GROUP BY word, dim) GROUP BY word"""))
 def pool_word_vectors(t: Tables):
     from lexmesh.functions.text import chunk_pieces
     distinct = tokens(t).select("word").distinct()
     pieces = distinct.select("word", F.explode(chunk_pieces(F.col("word"), 3)).alias("token"))
     alignment = pieces.join(F.broadcast(old_vocab(t)), "token").select("word", "id")
-    head = embeddings(t).select("id", F.slice("vector", 1, 8).alias("vector"))
-    return embed.pool_word_vectors(alignment, head).withColumn("value", F.round("value", 5))
+    pooled = embed.pool_word_vectors(alignment, embeddings(t).select("id", "vector"))
+    return pooled.groupBy("word").agg(F.count(F.lit(1)).alias("dims"), F.round(F.sum("value"), 4).alias("total"),
+                                      F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares"))

@@ -135,7 +135,7 @@ guesses AS (SELECT word, label AS guess FROM (
 
 
 @query("majority_label_baseline", q.with_(q.LINES, q.TOKENS, q.LABELLED, """
-SELECT round(max(n) / sum(n) * 100, 6) AS majority_baseline FROM (
+SELECT round(max(n) / sum(n) * 100, 6) + 0.0 AS majority_baseline FROM (
   SELECT label, count(*) AS n FROM labelled WHERE part = 'train' AND label <> '_' GROUP BY label)"""))
 def majority_label_baseline(t: Tables):
     found = metrics.majority_label_baseline(labelled(t).filter(F.col("part") == "train"))
@@ -161,7 +161,7 @@ noisy_guesses AS (SELECT word, label AS guess FROM (
 
 
 @query("per_word_majority_baseline", q.with_(q.LINES, q.TOKENS, q.LABELLED, _NOISY, """
-SELECT round(sum(CASE WHEN g.guess = n.label THEN 1 ELSE 0 END) / count(*) * 100, 6) AS per_word_baseline
+SELECT round(sum(CASE WHEN g.guess = n.label THEN 1 ELSE 0 END) / count(*) * 100, 6) + 0.0 AS per_word_baseline
 FROM noisy n LEFT JOIN noisy_guesses g USING (word) WHERE n.part = 'test'"""))
 def per_word_majority_baseline(t: Tables):
     noisy = _noisy(t).select("word", "label", "part")
@@ -171,7 +171,7 @@ def per_word_majority_baseline(t: Tables):
 
 @query("accuracy", q.with_(q.LINES, q.TOKENS, q.LABELLED, """
 SELECT lang, count(*) AS words, count(*) FILTER (prediction = label_id) AS correct,
-       round(count(*) FILTER (prediction = label_id) / count(*), 9) AS accuracy FROM labelled GROUP BY lang"""))
+       round(count(*) FILTER (prediction = label_id) / count(*), 9) + 0.0 AS accuracy FROM labelled GROUP BY lang"""))
 def accuracy(t: Tables):
     return metrics.accuracy(labelled(t), ["lang"]).withColumn("accuracy", F.round("accuracy", 9))
 
@@ -188,12 +188,12 @@ _SEQUENCES = """sequences AS (
 
 def _chunks(tag: str, name: str, kind: str) -> str:
     return f"""{name}_rows AS (
-  SELECT batch, {tag} AS tag, {kind} AS kind, row_number() OVER w AS at, lag({tag}) OVER w AS tag_before, lag({kind}) OVER w AS kind_before
+  SELECT batch, {tag} AS tag, {kind} AS kind, row_number() OVER w AS place, lag({tag}) OVER w AS tag_before, lag({kind}) OVER w AS kind_before
   FROM sequences WINDOW w AS (PARTITION BY batch ORDER BY doc_id, line_no, word_no)),
 {name}_numbered AS (
   SELECT *, sum(CASE WHEN tag LIKE 'B%' OR (tag LIKE 'I%' AND (tag_before IS NULL OR tag_before = 'O' OR kind_before <> kind)) THEN 1 ELSE 0 END)
-    OVER (PARTITION BY batch ORDER BY at) AS entity FROM {name}_rows),
-{name} AS (SELECT batch, min(at) AS first, max(at) AS last, kind AS type FROM {name}_numbered WHERE tag <> 'O' GROUP BY batch, entity, kind)"""
+    OVER (PARTITION BY batch ORDER BY place) AS entity FROM {name}_rows),
+{name} AS (SELECT batch, min(place) AS first, max(place) AS last, kind AS type FROM {name}_numbered WHERE tag <> 'O' GROUP BY batch, entity, kind)"""
 
 
 def _sequences(t: Tables):
@@ -208,7 +208,7 @@ def entity_chunks(t: Tables):
 
 
 @query("ner_f1", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), _chunks("pred_tag", "guess", "pred_kind"), """
-SELECT true_entities, predicted_entities, matched, round(2.0 * matched / (true_entities + predicted_entities), 9) AS f1 FROM (
+SELECT true_entities, predicted_entities, matched, round(2.0 * matched / (true_entities + predicted_entities), 9) + 0.0 AS f1 FROM (
   SELECT (SELECT count(*) FROM truth) AS true_entities, (SELECT count(*) FROM guess) AS predicted_entities,
          (SELECT count(*) FROM truth JOIN guess USING (batch, first, last, type)) AS matched)"""))
 def ner_f1(t: Tables):
@@ -256,7 +256,7 @@ def early_stopping_replay(t: Tables):
 
 
 @query("select_best_trial_checkpoint", q.with_(_SERIES, """
-SELECT trial, max(epoch) AS best_epoch, round(max(score), 9) AS best_score FROM (
+SELECT trial, max(epoch) AS best_epoch, round(max(score), 9) + 0.0 AS best_score FROM (
   SELECT *, max(score) OVER (PARTITION BY trial) AS top FROM series) WHERE score = top GROUP BY trial"""))
 def select_best_trial_checkpoint(t: Tables):
     return metrics.select_best_trial_checkpoint(_series(t)).withColumn("best_score", F.round("best_score", 9))

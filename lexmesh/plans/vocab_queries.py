@@ -272,7 +272,7 @@ def chunk_by_length(t: Tables):
 
 
 @query("fertility", q.with_(q.LINES, q.TOKENS, _ENCODED, """
-SELECT lang, sum(len(ids))::BIGINT AS subwords, count(*) AS words, round(sum(len(ids)) / count(*), 9) AS fertility FROM word_ids WHERE len(ids) > 0 GROUP BY lang"""))
+SELECT lang, sum(len(ids))::BIGINT AS subwords, count(*) AS words, round(sum(len(ids)) / count(*), 9) + 0.0 AS fertility FROM word_ids WHERE len(ids) > 0 GROUP BY lang"""))
 def fertility(t: Tables):
     per_word = encoded_words(t).select("lang", F.explode("ids").alias("p")).select("lang", F.size("p").alias("n_pieces"))
     return examples.fertility(per_word).withColumn("fertility", F.round("fertility", 9))
@@ -315,7 +315,7 @@ def mask_tokens(t: Tables):
 @query("batch_class_weight", q.with_(q.LINES, q.TOKENS, q.BIO, f"""
 batched AS (SELECT *, (dense_rank() OVER (ORDER BY doc_id, line_no) - 1) // 8 AS batch, list_position({q.NER}, tag) - 1 AS label_id FROM bio),
 counted AS (SELECT batch, count(*) FILTER (label_id <> 0) AS entity_words, count(*) FILTER (label_id = 0) AS outside_words FROM batched GROUP BY batch)""", """
-SELECT batch, entity_words, outside_words, round(CASE WHEN entity_words > 0 AND outside_words > entity_words THEN entity_words / outside_words ELSE 1.0 END, 9) AS outside_weight
+SELECT batch, entity_words, outside_words, round(CASE WHEN entity_words > 0 AND outside_words > entity_words THEN entity_words / outside_words ELSE 1.0 END, 9) + 0.0 AS outside_weight
 FROM counted"""))
 def batch_class_weight(t: Tables):
     from lexmesh.operators.tagged import NER_LABELS, index_of
