@@ -116,18 +116,20 @@ def head_per_group(df: DataFrame, keep: int, by: str, order: Sequence[str], name
 
 
 def running(df: DataFrame, by: Sequence[str], position: str, value: Column, name: str, how: str = "sum",
-            inclusive: bool = True, chunk: int = 1 << 16) -> DataFrame:
+            inclusive: bool = True, total: str | None = None, chunk: int = 1 << 16) -> DataFrame:
     """Running sum or maximum of ``value`` within ``by`` along a dense integer ``position``.
 
     A file or series of any length is cut into chunks of ``chunk`` positions; chunk totals carry
     over, so a file holding a third of all lines is still spread over many tasks. An exclusive
-    value before the first row is null.
+    value before the first row is null. ``total`` adds the value over all of ``by``.
     """
     combine = {"sum": F.sum, "max": F.max}[how]
     cut = df.withColumn("_bucket", F.floor(F.col(position) / chunk).cast("long")).withColumn("_value", value)
     chunks = Window.partitionBy(*_group(by)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (cut.groupBy(*by, "_bucket").agg(combine("_value").alias("_size"))
-               .select(*by, "_bucket", combine("_size").over(chunks).alias("_before")))
+    carry = [combine("_size").over(chunks).alias("_before")]
+    if total:
+        carry.append(combine("_size").over(Window.partitionBy(*_group(by))).alias(total))
+    carried = cut.groupBy(*by, "_bucket").agg(combine("_value").alias("_size")).select(*by, "_bucket", *carry)
     inside = Window.partitionBy(*by, "_bucket").orderBy(position).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     joined = cut.withColumn("_inside", combine("_value").over(inside)).join(carried, [*by, "_bucket"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,33 +11,38 @@ from lexmesh.functions.hashing import normal
 from lexmesh.operators.scripts import SPECIAL_CATEGORY, is_special, script_categories
 
 
-def explode_dims(vectors: DataFrame, vector: str = "vector") -> DataFrame:
-    others = [c for c in vectors.columns if c != vector]
-    return vectors.select(*others, F.posexplode(vector).alias("dim", "value"))
+def _summary(vectors: DataFrame, *by: str) -> DataFrame:
+    """Row count, mean and sample standard deviation vectors per group, combined per task."""
+    metrics = Summarizer.metrics("count", "mean", "std").summary(array_to_vector(F.col("vector").cast("array<double>")))
+    grouped = vectors.groupBy(*by).agg(metrics.alias("s"))
+    std = F.when(F.col("s.count") > 1, vector_to_array("s.std"))
+    return grouped.select(*by, F.col("s.count").alias("n"), vector_to_array("s.mean").alias("mean"), std.alias("std"))
 
 
 def category_moments(members: DataFrame) -> DataFrame:
-    """Mean and sample standard deviation per ``(category, dim)`` of ``(category, vector)`` rows.
+    """Mean and sample standard deviation vectors per category of ``(category, vector)`` rows.
 
-    Both combine per task, so a category holding a third of all rows shuffles one row per task and
-    dimension. A single member has no standard deviation.
+    A category holding a third of all rows is one buffer per task before the shuffle. A single
+    member has no standard deviation.
     """
-    value = F.col("value").cast("double")
-    return explode_dims(members.select("category", "vector")).groupBy("category", "dim").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return _summary(members, "category")
 
 
 def overall_moments(vectors: DataFrame) -> DataFrame:
-    value = F.col("value").cast("double")
-    return explode_dims(vectors.select("vector")).groupBy("dim").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return _summary(vectors)
+
+
+def moments_by_dim(moments: DataFrame) -> DataFrame:
+    """Moment vectors as one row per dimension."""
+    others = [c for c in moments.columns if c not in ("mean", "std")]
+    spread = moments.select(*others, "std", F.posexplode("mean").alias("dim", "mean"))
+    return spread.select(*others, "dim", "mean", F.get("std", F.col("dim")).alias("std"))
 
 
 def moment_vectors(moments: DataFrame) -> DataFrame:
-    """Moments as arrays, one row per category; a missing standard deviation becomes 0."""
-    entry = F.struct("dim", "mean", F.coalesce("std", F.lit(0.0)).alias("std"))
-    grouped = moments.groupBy("category").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    return grouped.select("category", F.transform("m", lambda x: x["mean"]).alias("mean"), F.transform("m", lambda x: x["std"]).alias("std"))
+    """Moments to draw from: a missing standard deviation becomes 0."""
+    flat = F.transform("mean", lambda x: F.lit(0.0))
+    return moments.select("category", "mean", F.coalesce("std", flat).alias("std"))
 
 
 def random_vector(dims: int, seed: int, key: Column | str) -> Column:
@@ -129,10 +136,10 @@ PRESETS = {
 
 
 def pool_word_vectors(alignment: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Mean of each word's subword vectors, per dimension.
+    """Mean of each word's subword vectors.
 
     ``alignment`` is ``(word keys..., id)``, ``pieces`` ``(id, vector)``.
     """
     keys = [c for c in alignment.columns if c != "id"]
-    exploded = explode_dims(alignment.join(pieces, "id").drop("id"))
-    return exploded.groupBy(*keys, "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    rows = alignment.join(pieces.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("v")), "id")
+    return rows.groupBy(*keys).agg(Summarizer.mean(F.col("v")).alias("v")).select(*keys, vector_to_array("v").alias("vector"))

@@ -1,44 +1,81 @@
-"""Language identification by character n-grams and the inverse confidence filter built on it."""
+"""Language identification by character trigrams, and the inverse confidence filter built on it.
+
+A multinomial naive Bayes model over hashed trigrams: counting is one combining aggregation, and
+scoring keeps every line in its task.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@dataclass
+class LanguageModel:
+    languages: list[str]
+    weights: np.ndarray  # log-likelihood by bucket and language
+    priors: np.ndarray
+
+
+def trigram_buckets(line: str, buckets: int) -> np.ndarray:
+    """Buckets of the overlapping character trigrams of a line, padded with one space on each side."""
+    points = np.frombuffer(f" {line} ".encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return (points[:-2] * 961 + points[1:-1] * 31 + points[2:]) % buckets
+
+
+def fit_language_id(lines: DataFrame, buckets: int = 1 << 14) -> LanguageModel:
+    """Count trigrams per language; a task emits at most one row per language and bucket."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, np.ndarray] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            for lang, line in zip(batch["lang"], batch["line"]):
+                seen = totals.setdefault(lang, np.zeros(buckets, np.int64))
+                seen += np.bincount(trigram_buckets(line, buckets), minlength=buckets)
+                rows[lang] = rows.get(lang, 0) + 1
+        for lang, seen in totals.items():
+            used = np.flatnonzero(seen)
+            yield pd.DataFrame({"lang": lang, "bucket": used, "n": seen[used]})
+            yield pd.DataFrame({"lang": [lang], "bucket": [-1], "n": [rows[lang]]})
 
-def char_ngrams(line: Column, size: int = 3) -> Column:
-    """Overlapping character n-grams of the lowercased line, padded with spaces."""
-    padded = F.concat(F.lit(" "), F.lower(line), F.lit(" "))
-    last = F.greatest(F.char_length(padded) - (size - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(padded, i, F.lit(size)))
+    partial = lines.select("lang", "line").mapInPandas(count, "lang string, bucket long, n long")
+    counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x buckets
+    languages = sorted({r.lang for r in counted})
+    at = {lang: i for i, lang in enumerate(languages)}
+    table, documents = np.zeros((buckets, len(languages))), np.zeros(len(languages))
+    for r in counted:
+        if r.bucket < 0:
+            documents[at[r.lang]] = r.n
+        else:
+            table[r.bucket, at[r.lang]] = r.n
+    smoothed = table + 1.0
+    return LanguageModel(languages, np.log(smoothed / smoothed.sum(axis=0)), np.log(documents / documents.sum()))
 
 
-def fit_language_id(lines: DataFrame, features: int = 1 << 14, size: int = 3) -> PipelineModel:
-    """Multinomial naive Bayes over hashed n-grams; one aggregation pass over the labelled lines."""
-    grams = lines.select("lang", char_ngrams(F.col("line"), size).alias("grams"))
-    return Pipeline(stages=[
-        StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"),
-        HashingTF(inputCol="grams", outputCol="features", numFeatures=features),
-        NaiveBayes(featuresCol="features", labelCol="label", probabilityCol="probability"),
-    ]).fit(grams)
+def identify_language(lines: DataFrame, model: LanguageModel) -> DataFrame:
+    """Add ``(predicted, confidence)`` to each line; confidence is the posterior probability."""
+    shared = lines.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("predicted", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
+    @F.pandas_udf(schema)
+    def identify(line: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        scores = np.stack([m.priors + m.weights[trigram_buckets(x, len(m.weights))].sum(axis=0) for x in line])
+        odds = np.exp(scores - scores.max(axis=1, keepdims=True))
+        best = odds.argmax(axis=1)
+        return pd.DataFrame({"predicted": [m.languages[i] for i in best], "confidence": odds.max(axis=1) / odds.sum(axis=1)})
 
-def identify_language(lines: DataFrame, model: PipelineModel, size: int = 3) -> DataFrame:
-    """Add ``(predicted, confidence)`` to each line."""
-    names = F.array(*[F.lit(name) for name in model.stages[0].labels])
-    scored = model.stages[2].transform(
-        model.stages[1].transform(lines.withColumn("grams", char_ngrams(F.col("line"), size))))
-    p = vector_to_array("probability")
-    return (scored.withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
-            .withColumn("confidence", F.array_max(p))
-            .drop("grams", "features", "rawPrediction", "probability", "prediction"))
+    return lines.withColumn("_id", identify.asNondeterministic()("line")).select(*lines.columns, "_id.predicted", "_id.confidence")
 
 
-def filter_language_id(lines: DataFrame, model: PipelineModel, language: str = "en", threshold: float = 0.9) -> DataFrame:
+def filter_language_id(lines: DataFrame, model: LanguageModel, language: str = "en", threshold: float = 0.9) -> DataFrame:
     """Inverse filter: drop the lines identified as ``language`` with at least ``threshold``."""
     scored = identify_language(lines, model)
     return scored.filter(~((F.col("predicted") == language) & (F.col("confidence") >= threshold))).drop("predicted", "confidence")

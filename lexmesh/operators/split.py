@@ -72,10 +72,9 @@ def group_sentences(lines: DataFrame) -> DataFrame:
     """Blank-separated blocks: ``block_no`` per line; a last block without a closing blank is dropped."""
     stripped = lines.withColumn("line", strip(F.col("line")))
     is_blank = F.when(F.col("line") == "", 1).otherwise(0)
-    counted = running(stripped, ["file"], "line_no", is_blank, "block_no", inclusive=False)
+    counted = running(stripped, ["file"], "line_no", is_blank, "block_no", inclusive=False, total="_blanks")
     counted = counted.withColumn("block_no", F.coalesce("block_no", F.lit(0)).cast("long"))
-    closed = F.max(is_blank).over(Window.partitionBy("file", "block_no"))
-    return counted.withColumn("_closed", closed).filter((F.col("_closed") == 1) & (F.col("line") != "")).drop("_closed")
+    return counted.filter((F.col("block_no") < F.col("_blanks")) & (F.col("line") != "")).drop("_blanks")
 
 
 def count_sentences(lines: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmesh.functions.text import WORD_INITIAL
+from lexmesh.operators.vocabulary import largest
 from lexmesh.session import cut_lineage
 
 PIECES = "piece string, score double"
@@ -36,8 +37,8 @@ def seed_vocabulary(counts: DataFrame, size: int) -> DataFrame:
     """All single characters plus the substrings with the largest frequency x length."""
     weighted = counts.withColumn("weight", F.col("n") * F.char_length("piece"))
     single = weighted.filter(F.char_length("piece") == 1)
-    longer = weighted.filter((F.char_length("piece") > 1) & (F.col("n") > 1)).orderBy(F.desc("weight"), "piece").limit(size)
-    return single.unionByName(longer)
+    longer = weighted.filter((F.char_length("piece") > 1) & (F.col("n") > 1))
+    return single.unionByName(largest(longer, size, "weight", "piece"))
 
 
 def best_segmentation(text: str, scores: dict[str, float], longest: int, unknown: float, forbid: str | None = None) -> tuple[float, list[str]]:
@@ -140,8 +141,8 @@ def train_unigram(frequencies: DataFrame, vocab_size: int, seed_size: int = 1_00
     Expectation-maximisation alternates with dropping the pieces whose removal costs least.
     """
     spark = frequencies.sparkSession
-    words = cut_lineage(frequencies.filter(F.col("word") != "").select(
-        F.concat(F.lit(WORD_INITIAL), F.col("word")).alias("w"), F.col("n").cast("long").alias("n")))
+    marked = frequencies.filter(F.col("word") != "").select(F.concat(F.lit(WORD_INITIAL), F.col("word")).alias("w"), F.col("n").cast("long").alias("n"))
+    words = cut_lineage(marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w"))
     counts = seed_pieces(words.select(F.substr("w", F.lit(2)).alias("word"), "n"), max_length)
     seeds = {r.piece: float(r.weight) for r in seed_vocabulary(counts, seed_size).collect()}  # bounded by seed_size
     log_total = math.log(sum(seeds.values()))

@@ -67,10 +67,25 @@ def alphabet_by_coverage(frequencies: DataFrame, coverage: float = 0.999) -> Dat
         F.col("_share") < coverage).drop("_share")
 
 
-def top_ranked(df: DataFrame, size: int, *order: Column | str, name: str = "rank") -> DataFrame:
-    """The first ``size`` rows of an order, numbered from 1: a vocabulary cut, bounded by its size."""
-    top = df.orderBy(*order).limit(size)
-    return top.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+def largest(df: DataFrame, size: int, score: str, tie: str) -> DataFrame:
+    """The ``size`` rows with the largest ``score``, ties by ascending ``tie``.
+
+    A histogram of the score's magnitude first drops the rows that cannot be among them, so the
+    final top-k does not receive ``size`` rows from every task.
+    """
+    value = F.col(score).cast("double")
+    binned = df.withColumn("_bin", F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))  # a few thousand bins cover all doubles that occur
+    reached = bins.select("_bin", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")).filter(F.col("_above") < size)
+    kept = binned.filter(F.col("_bin") >= reached.agg(F.min("_bin")).scalar()).drop("_bin")
+    return kept.orderBy(F.desc(score), tie).limit(size)
+
+
+def top_ranked(df: DataFrame, size: int, score: str, tie: str, name: str = "rank") -> DataFrame:
+    """``largest`` numbered from 1: a vocabulary cut, bounded by its size."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), tie)
+    return largest(df, size, score, tie).withColumn(name, F.row_number().over(order).cast("long"))
 
 
 def assemble_vocab(pieces: DataFrame, size: int, reserved: Sequence[str] = UNIGRAM_RESERVED) -> DataFrame:
@@ -79,7 +94,7 @@ def assemble_vocab(pieces: DataFrame, size: int, reserved: Sequence[str] = UNIGR
     head = spark.createDataFrame([(token, i, True, 0.0) for i, token in enumerate(reserved)],
                                  "token string, id int, is_special boolean, score double")
     learned = pieces.filter(~F.col("piece").isin(*reserved)).select("piece", F.col("score").cast("double").alias("score"))
-    ranked = top_ranked(learned, max(size - len(reserved), 0), F.desc("score"), "piece")
+    ranked = top_ranked(learned, max(size - len(reserved), 0), "score", "piece")
     tail = ranked.select(F.col("piece").alias("token"), (F.col("rank") + (len(reserved) - 1)).cast("int").alias("id"),
                          F.lit(False).alias("is_special"), "score")
     return head.unionByName(tail)

@@ -80,7 +80,7 @@ def script_cluster_select(t: Tables):
 SELECT label AS category, dim, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
 FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings) GROUP BY label, dim""")
 def category_moments(t: Tables):
-    found = embed.category_moments(embeddings(t).withColumnRenamed("label", "category"))
+    found = embed.moments_by_dim(embed.category_moments(embeddings(t).withColumnRenamed("label", "category")))
     return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
@@ -88,7 +88,7 @@ def category_moments(t: Tables):
 SELECT dim, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
 FROM (SELECT unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings) GROUP BY dim""")
 def overall_moments(t: Tables):
-    return embed.overall_moments(embeddings(t)).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return embed.moments_by_dim(embed.overall_moments(embeddings(t))).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
 _DIMS = "dims AS (SELECT DISTINCT dim FROM vectors)"
@@ -215,5 +215,6 @@ def pool_word_vectors(t: Tables):
     pieces = distinct.select("word", F.explode(chunk_pieces(F.col("word"), 3)).alias("token"))
     alignment = pieces.join(F.broadcast(old_vocab(t)), "token").select("word", "id")
     pooled = embed.pool_word_vectors(alignment, embeddings(t).select("id", "vector"))
-    return pooled.groupBy("word").agg(F.count(F.lit(1)).alias("dims"), F.round(F.sum("value"), 4).alias("total"),
-                                      F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return pooled.select("word", F.size("vector").alias("dims"), F.round(total, 4).alias("total"), F.round(squares, 4).alias("squares"))

@@ -26,6 +26,19 @@ def build_session(app: str = "lexmesh", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to fill them with one file split each.
+
+    A single small file is one task, however much work each of its rows causes. Larger inputs are
+    returned as they are, so the shuffle never exceeds one split per core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split else df
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
