@@ -26,6 +26,10 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _rows(ids: pd.Series, name: str, values: list) -> pd.DataFrame:
+    return pd.DataFrame({"id": ids.to_numpy(), name: pd.Series(values, dtype="object")})
+
+
 def _tiles(rows: DataFrame, own: str, other: str, own_tiles: int, other_tiles: int) -> DataFrame:
     return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_tiles)).cast("int")).withColumn(
         other, F.explode(F.sequence(F.lit(0), F.lit(other_tiles - 1))))
@@ -48,9 +52,9 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
 
     def candidates(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "near": []})
+            return _rows(a["id"][:0], "near", [])
         similar = _unit_rows(a["aux"]) @ _unit_rows(b["aux"]).T
-        return pd.DataFrame({"id": a["id"], "near": [row[row > threshold_of(row)] for row in similar]})
+        return _rows(a["id"], "near", [row[row > threshold_of(row)] for row in similar])
 
     near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(candidates, "id long, near array<double>")
 
@@ -65,11 +69,11 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
 
     def partial_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "part": []})
+            return _rows(a["id"][:0], "part", [])
         weights = np.maximum(_unit_rows(a["aux"]) @ _unit_rows(b["aux"]).T - a["cut"].to_numpy()[:, None], 0.0)
         sums = weights @ np.stack(b["vector"].to_numpy()).astype("float64")
         used = weights.any(axis=1)
-        return pd.DataFrame({"id": a["id"][used], "part": list(sums[used])})
+        return _rows(a["id"][used], "part", list(sums[used]))
 
     parts = weighted.groupBy("i", "j").cogroup(again.groupBy("i", "j")).applyInPandas(partial_sums, "id long, part array<double>")
     return parts.groupBy("id").agg(Summarizer.sum(array_to_vector("part")).alias("v")).select("id", vector_to_array("v").alias("vector"))

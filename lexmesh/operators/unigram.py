@@ -102,7 +102,8 @@ def _expected_counts(words: DataFrame, scores: dict[str, float]) -> dict[str, fl
         for batch in batches:
             for text, n in zip(batch["w"], batch["n"]):
                 _add_expected(text, float(n), shared.value, longest, totals)
-        yield pd.DataFrame({"piece": list(totals), "expected": list(totals.values())})
+        if totals:
+            yield pd.DataFrame({"piece": list(totals), "expected": list(totals.values())})
 
     partial = words.mapInPandas(count, "piece string, expected double")
     rows = partial.groupBy("piece").agg(F.sum("expected").alias("expected")).collect()  # at most one row per piece

@@ -21,6 +21,8 @@ def build_session(app: str = "lexmesh", master: str | None = None, shuffle_parti
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "12g")  # one JVM holds all tasks
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
