@@ -117,16 +117,15 @@ def mask_tokens(df: DataFrame, key: Sequence[str], ids: str = "input_ids", proba
     """
     reserved = F.array(*[F.lit(s) for s in special])
 
-    def chosen(x: Column, i: Column) -> Column:
-        return ~F.array_contains(reserved, x) & (uniform(seed, F.lit("pick"), *key, i) < probability)
-
-    def corrupted(x: Column, i: Column) -> Column:
+    def draw(x: Column, i: Column) -> Column:
+        chosen = ~F.array_contains(reserved, x) & (uniform(seed, F.lit("pick"), *key, i) < probability)
         how = uniform(seed, F.lit("how"), *key, i)
         other = F.floor(uniform(seed, F.lit("other"), *key, i) * vocab_size).cast("int")
-        return F.when(~chosen(x, i), x).when(how < 0.8, F.lit(mask)).when(how < 0.9, other).otherwise(x)
+        return F.struct(x.alias("x"), F.when(chosen, F.when(how < 0.8, F.lit(mask)).when(how < 0.9, other).otherwise(x)).alias("y"))
 
-    return df.withColumn("masked_ids", F.transform(ids, corrupted)).withColumn(
-        "mask_labels", F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(IGNORED))))
+    drawn = df.withColumn("_drawn", F.transform(ids, draw))
+    return drawn.withColumn("masked_ids", F.transform("_drawn", lambda d: F.coalesce(d["y"], d["x"]))).withColumn(
+        "mask_labels", F.transform("_drawn", lambda d: F.when(d["y"].isNull(), F.lit(IGNORED)).otherwise(d["x"]))).drop("_drawn")
 
 
 def batch_class_weight(words: DataFrame, label_id: str = "label_id") -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,31 +32,24 @@ def trigram_buckets(line: str, buckets: int) -> np.ndarray:
 
 
 def fit_language_id(lines: DataFrame, buckets: int = 1 << 14) -> LanguageModel:
-    """Count trigrams per language; a task emits at most one row per language and bucket."""
+    """Count trigrams per language; a task emits one count vector per language, lines in slot 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             for lang, line in zip(batch["lang"], batch["line"]):
-                seen = totals.setdefault(lang, np.zeros(buckets, np.int64))
-                seen += np.bincount(trigram_buckets(line, buckets), minlength=buckets)
-                rows[lang] = rows.get(lang, 0) + 1
-        for lang, seen in totals.items():
-            used = np.flatnonzero(seen)
-            yield pd.DataFrame({"lang": lang, "bucket": used, "n": seen[used]})
-            yield pd.DataFrame({"lang": [lang], "bucket": [-1], "n": [rows[lang]]})
-
-    partial = lines.select("lang", "line").mapInPandas(count, "lang string, bucket long, n long")
-    counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x buckets
-    languages = sorted({r.lang for r in counted})
-    at = {lang: i for i, lang in enumerate(languages)}
-    table, documents = np.zeros((buckets, len(languages))), np.zeros(len(languages))
-    for r in counted:
-        if r.bucket < 0:
-            documents[at[r.lang]] = r.n
-        else:
-            table[r.bucket, at[r.lang]] = r.n
+                seen = totals.setdefault(lang, np.zeros(buckets + 1))
+                seen[0] += 1
+                seen[1:] += np.bincount(trigram_buckets(line, buckets), minlength=buckets)
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "seen": list(totals.values())})
+
+    partial = lines.select("lang", "line").mapInPandas(count, "lang string, seen array<double>")
+    summed = partial.groupBy("lang").agg(Summarizer.sum(array_to_vector("seen")).alias("seen")).collect()  # one row per language
+    by_lang = {r.lang: r.seen.toArray() for r in summed}
+    languages = sorted(by_lang)
+    documents = np.array([by_lang[lang][0] for lang in languages])
+    table = np.stack([by_lang[lang][1:] for lang in languages], axis=1)
     smoothed = table + 1.0
     return LanguageModel(languages, np.log(smoothed / smoothed.sum(axis=0)), np.log(documents / documents.sum()))
 

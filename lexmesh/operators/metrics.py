@@ -73,12 +73,15 @@ def entity_chunks(tags: DataFrame, sequence: Sequence[str], order: Sequence[str]
     return numbered.groupBy(*sequence, "_entity", "type").agg(F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_entity")
 
 
-def ner_f1(true: DataFrame, predicted: DataFrame, sequence: Sequence[str]) -> DataFrame:
-    """Micro entity F1 of two chunk tables; 0 when there is no entity."""
-    keys = [*sequence, "first", "last", "type"]
-    both = true.select(*keys, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
-        predicted.select(*keys, F.lit(0).alias("t"), F.lit(1).alias("p")))
-    spans = both.groupBy(*keys).agg(F.max("t").alias("t"), F.max("p").alias("p"))
+def ner_f1(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag", predicted: str = "pred_tag") -> DataFrame:
+    """Micro entity F1 of predicted against true tags; 0 when there is no entity.
+
+    Both taggings are chunked in the same window pass, under a key that tells them apart.
+    """
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("true"), F.col(tag).alias("tag")), F.struct(F.lit(0).alias("true"), F.col(predicted).alias("tag"))))
+    both = words.select(*dict.fromkeys([*sequence, *order]), sides.alias("_s")).select("*", "_s.true", "_s.tag").drop("_s")
+    found = entity_chunks(both, [*sequence, "true"], order)
+    spans = found.groupBy(*sequence, "first", "last", "type").agg(F.max("true").alias("t"), F.max(1 - F.col("true")).alias("p"))
     totals = spans.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("true_entities"), F.coalesce(F.sum("p"), F.lit(0)).alias("predicted_entities"),
                        F.coalesce(F.sum(F.col("t") * F.col("p")), F.lit(0)).alias("matched"))
     size = F.col("true_entities") + F.col("predicted_entities")
@@ -100,23 +103,23 @@ def early_stopping_replay(series: DataFrame, patience: int, eval_every: int = 2,
     costs a step of patience, and stops once ``patience`` steps are used; equal or higher resets.
     ``reported_epochs`` is the stopping epoch less the counted steps; ``best_epoch`` the last best.
     """
-    evals = series.filter(F.col("epoch") % eval_every == 0).withColumn("step", (F.col("epoch") / eval_every).cast("long"))
-    best = running(evals, ["trial"], "step", F.col("score"), "best_before", "max", inclusive=False, chunk=chunk)
-    best = best.withColumn("improves", F.col("score") >= F.greatest(F.coalesce("best_before", F.lit(0.0)), F.lit(0.0)))
-    last = running(best, ["trial"], "step", F.when(F.col("improves"), F.col("step")), "last_best", "max", chunk=chunk)
-    last = last.withColumn("since", F.col("step") - F.coalesce("last_best", F.lit(0)))
-    stops = last.filter(F.col("since") == patience + 1).groupBy("trial").agg(F.min("step").alias("stop_step"))
-    ran = last.join(stops, "trial", "left").filter(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
-    ended = ran.groupBy("trial").agg(
-        F.max(F.when(F.col("improves"), F.col("epoch"))).alias("best_epoch"), F.max("stop_step").alias("stop_step"),
-        F.max_by("since", "step").alias("last_since"))
-    lengths = series.groupBy("trial").agg(F.max("epoch").alias("epochs"))
-    stopped = F.col("stop_step").isNotNull()
-    last_epoch = F.when(stopped, F.col("stop_step") * eval_every).otherwise(F.col("epochs"))
-    steps = F.when(stopped, F.lit(patience)).otherwise(F.coalesce("last_since", F.lit(0)))
-    return lengths.join(ended, "trial", "left").select(
-        "trial", last_epoch.cast("long").alias("stopped_at"), F.coalesce(stopped, F.lit(False)).alias("early"),
-        (last_epoch - steps * eval_every).cast("long").alias("reported_epochs"), F.col("best_epoch").cast("long").alias("best_epoch"))
+    judged = F.col("epoch") % eval_every == 0
+    scored = series.withColumn("_score", F.when(judged, F.col("score")))
+    best = running(scored, ["trial"], "epoch", F.col("_score"), "_prior", "max", inclusive=False, chunk=chunk)
+    best = best.withColumn("_improves", F.col("_score") >= F.greatest(F.coalesce("_prior", F.lit(0.0)), F.lit(0.0)))
+    last = running(best, ["trial"], "epoch", F.when(F.col("_improves"), F.col("epoch")), "_best", "max", chunk=chunk)
+    lost = (F.col("epoch") - F.coalesce("_best", F.lit(0))) / eval_every  # judged epochs since the best one
+    # what follows the stop does not matter to it, so one aggregation tells both outcomes
+    ends = last.groupBy("trial").agg(
+        F.max("epoch").alias("_epochs"),
+        F.min(F.when(judged & (lost == patience + 1), F.col("epoch"))).alias("_stop"),
+        F.max(F.when(judged, F.col("epoch"))).alias("_last"), F.max("_best").alias("_best"))
+    early = F.col("_stop").isNotNull()
+    unused = F.coalesce(F.col("_last") - F.coalesce("_best", F.lit(0)), F.lit(0))
+    return ends.select(
+        "trial", F.coalesce("_stop", "_epochs").cast("long").alias("stopped_at"), early.alias("early"),
+        F.when(early, F.col("_stop") - patience * eval_every).otherwise(F.col("_epochs") - unused).cast("long").alias("reported_epochs"),
+        F.when(early, F.nullif(F.col("_stop") - (patience + 1) * eval_every, F.lit(0))).otherwise(F.col("_best")).cast("long").alias("best_epoch"))
 
 
 def select_best_trial_checkpoint(series: DataFrame) -> DataFrame:

@@ -68,13 +68,15 @@ def split_size_report(split: DataFrame, by: Sequence[str] = ("lang",)) -> DataFr
     return sizes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
-def group_sentences(lines: DataFrame) -> DataFrame:
+def group_sentences(lines: DataFrame, drop_unterminated: bool = True) -> DataFrame:
     """Blank-separated blocks: ``block_no`` per line; a last block without a closing blank is dropped."""
     stripped = lines.withColumn("line", strip(F.col("line")))
     is_blank = F.when(F.col("line") == "", 1).otherwise(0)
     counted = running(stripped, ["file"], "line_no", is_blank, "block_no", inclusive=False, total="_blanks")
     counted = counted.withColumn("block_no", F.coalesce("block_no", F.lit(0)).cast("long"))
-    return counted.filter((F.col("block_no") < F.col("_blanks")) & (F.col("line") != "")).drop("_blanks")
+    if drop_unterminated:
+        counted = counted.filter(F.col("block_no") < F.col("_blanks"))
+    return counted.filter(F.col("line") != "").drop("_blanks")
 
 
 def count_sentences(lines: DataFrame) -> DataFrame:

@@ -34,28 +34,28 @@ def seed_pieces(frequencies: DataFrame, max_length: int = 16) -> DataFrame:
 
 
 def seed_vocabulary(counts: DataFrame, size: int) -> DataFrame:
-    """All single characters plus the substrings with the largest frequency x length."""
-    weighted = counts.withColumn("weight", F.col("n") * F.char_length("piece"))
+    """All single characters plus the repeated substrings with the largest frequency x length."""
+    useful = cut_lineage(counts.filter((F.col("n") > 1) | (F.char_length("piece") == 1)))
+    weighted = useful.withColumn("weight", F.col("n") * F.char_length("piece"))
     single = weighted.filter(F.char_length("piece") == 1)
-    longer = weighted.filter((F.char_length("piece") > 1) & (F.col("n") > 1))
+    longer = weighted.filter(F.char_length("piece") > 1)
     return single.unionByName(largest(longer, size, "weight", "piece"))
 
 
 def best_segmentation(text: str, scores: dict[str, float], longest: int, unknown: float, forbid: str | None = None) -> tuple[float, list[str]]:
     """Highest-scoring split of ``text`` into pieces; a character without a piece costs ``unknown``."""
-    n = len(text)
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
+    n, find = len(text), scores.get
+    best, back = [0.0], [0]
     for end in range(1, n + 1):
+        single = end - 1
+        top, at = best[single] + unknown, single
         for start in range(max(0, end - longest), end):
             piece = text[start:end]
-            score = scores.get(piece) if piece != forbid else None
-            if score is None:
-                if end - start > 1:
-                    continue
-                score = unknown
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, start
+            score = find(piece)
+            if score is not None and best[start] + score > top and piece != forbid:
+                top, at = best[start] + score, start
+        best.append(top)
+        back.append(at)
     pieces, end = [], n
     while end:
         pieces.append(text[back[end]:end])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmesh.functions.text import WORD_INITIAL, words
-from lexmesh.session import lookup
+from lexmesh.session import cut_lineage, lookup
 
 # Reserved pieces in id order, for the unigram and for the BPE vocabulary.
 UNIGRAM_RESERVED = ("<s>", "<pad>", "</s>", "<unk>", "<mask>")
@@ -71,10 +71,11 @@ def largest(df: DataFrame, size: int, score: str, tie: str) -> DataFrame:
     """The ``size`` rows with the largest ``score``, ties by ascending ``tie``.
 
     A histogram of the score's magnitude first drops the rows that cannot be among them, so the
-    final top-k does not receive ``size`` rows from every task.
+    final top-k does not receive ``size`` rows from every task. The table is checkpointed, because
+    it is usually an aggregate of the whole corpus and read twice here.
     """
     value = F.col(score).cast("double")
-    binned = df.withColumn("_bin", F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long"))
+    binned = cut_lineage(df).withColumn("_bin", F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))  # a few thousand bins cover all doubles that occur
     reached = bins.select("_bin", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")).filter(F.col("_above") < size)

@@ -212,8 +212,7 @@ SELECT true_entities, predicted_entities, matched, round(2.0 * matched / (true_e
   SELECT (SELECT count(*) FROM truth) AS true_entities, (SELECT count(*) FROM guess) AS predicted_entities,
          (SELECT count(*) FROM truth JOIN guess USING (batch, first, last, type)) AS matched)"""))
 def ner_f1(t: Tables):
-    rows = _sequences(t)
-    found = metrics.ner_f1(metrics.entity_chunks(rows, ["batch"], WORD_KEY), metrics.entity_chunks(rows, ["batch"], WORD_KEY, "pred_tag"), ["batch"])
+    found = metrics.ner_f1(_sequences(t), ["batch"], WORD_KEY)
     return found.withColumn("f1", F.round("f1", 9))
 
 

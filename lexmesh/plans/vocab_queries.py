@@ -9,6 +9,7 @@ from lexmesh.operators import bpe, examples, unigram, vocabulary
 from lexmesh.plans import sqltext as q
 from lexmesh.plans.bindings import LINE_KEY, WORD_KEY, labelled, lines, new_vocab, tokens, turn_lines
 from lexmesh.plans.registry import Tables, query
+from lexmesh.session import pin_small
 
 _SPLIT = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\s\\p{Z}]+"
 
@@ -55,8 +56,7 @@ def alphabet_by_coverage(t: Tables):
 
 @query("train_bpe")
 def train_bpe(t: Tables):
-    merges = bpe.train_bpe(frequencies(t), vocab_size=160)
-    return merges
+    return bpe.train_bpe(frequencies(t), vocab_size=160)
 
 
 _SEEDS = """seeds AS (
@@ -116,7 +116,7 @@ def assemble_vocab(t: Tables):
 
 @query("encode_corpus")
 def encode_corpus(t: Tables):
-    weights = scored_pieces(t)
+    weights, _ = pin_small(scored_pieces(t))
     total = weights.agg(F.log(F.sum(F.exp("score")))).scalar()
     vocab = vocabulary.assemble_vocab(weights.select("piece", (F.col("score") - total).alias("score")), _VOCAB_SIZE)
     encoded = unigram.encode_lines(lines(t).select("doc_id", "line_no", "lang", "line"), vocab)

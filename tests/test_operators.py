@@ -399,8 +399,10 @@ def test_entity_crosses_a_sentence_inside_a_batch(spark):
     df = frame(spark, [(0, 1, 1, "B-PER"), (0, 2, 1, "I-PER"), (1, 3, 1, "I-PER")], "batch long, sent long, i long, tag string")
     got = {(r.batch, r.first, r.last) for r in metrics.entity_chunks(df, ["batch"], ["sent", "i"]).collect()}
     assert got == {(0, 1, 2), (1, 1, 1)}
-    empty = metrics.entity_chunks(df.filter("tag = 'O'"), ["batch"], ["sent", "i"])
-    assert metrics.ner_f1(empty, empty, ["batch"]).first().f1 == 0.0
+    nothing = df.select("batch", "sent", "i", F.lit("O").alias("tag"), F.lit("O").alias("pred_tag"))
+    assert metrics.ner_f1(nothing, ["batch"], ["sent", "i"]).first().f1 == 0.0
+    half = df.withColumn("pred_tag", F.when(F.col("batch") == 1, "B-PER").otherwise("O"))
+    assert metrics.ner_f1(half, ["batch"], ["sent", "i"]).first()[:] == (2, 1, 1, pytest.approx(2 / 3))
 
 
 def test_per_word_baseline_rules(spark):
