@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.numbering import running
@@ -56,31 +56,50 @@ def accuracy(words: DataFrame, by: Sequence[str] = (), exclude_unlabelled: bool
         (F.count_if(F.col("prediction") == F.col("label_id")) / F.count(F.lit(1))).alias("accuracy"))
 
 
-def entity_chunks(tags: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag") -> DataFrame:
-    """Entities ``(sequence..., first, last, type)`` of BIO tags, by dense position in the sequence.
+def _kind(tag: Column) -> Column:
+    return F.substring(tag, 3, 100)  # what follows "B-" or "I-"
 
-    An I tag after O, after another type or at the start opens an entity. A sequence is a sentence
-    or a batch, so its windows are small.
+
+def _numbered_entities(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tags: Sequence[str]) -> DataFrame:
+    """Add ``_at``, the position in the sequence, and ``_entity_<tag>``, the entities opened so far.
+
+    A sequence is a sentence or a batch, so its window is small; all taggings share one sort.
     """
     line = Window.partitionBy(*sequence).orderBy(*order)
-    prefix, kind = F.substr(tag, F.lit(1), F.lit(1)), F.element_at(F.split(tag, "-", 2), -1)
-    rows = tags.select(*sequence, *[c for c in order if c not in sequence], prefix.alias("_prefix"), kind.alias("type"),
-                       F.row_number().over(line).cast("long").alias("_at"),
-                       F.lag(prefix).over(line).alias("_before"), F.lag(kind).over(line).alias("_kind_before"))
-    opens = (F.col("_prefix") == "B") | ((F.col("_prefix") == "I") & (
-        F.col("_before").isNull() | (F.col("_before") == "O") | (F.col("_kind_before") != F.col("type"))))
-    numbered = rows.withColumn("_entity", F.sum(opens.cast("int")).over(line)).filter(F.col("_prefix") != "O")
-    return numbered.groupBy(*sequence, "_entity", "type").agg(F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_entity")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = words.select(*dict.fromkeys([*sequence, *order, *tags])).withColumns(
+        {"_at": F.row_number().over(line).cast("long")} | {f"_before_{t}": F.lag(t).over(line) for t in tags})
+
+    def opens(tag: str) -> Column:
+        before, prefix = F.col(f"_before_{tag}"), F.substring(tag, 1, 1)
+        new = before.isNull() | (before == "O") | (_kind(before) != _kind(F.col(tag)))
+        return (prefix == "B") | ((prefix == "I") & new)
+
+    return rows.withColumns({f"_entity_{t}": F.sum(opens(t).cast("int")).over(so_far) for t in tags})
+
+
+def _spans(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return inside.groupBy(*keys, "_entity", "type").agg(F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_entity")
+
+
+def entity_chunks(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag") -> DataFrame:
+    """Entities ``(sequence..., first, last, type)`` of BIO tags, by position in the sequence.
+
+    An I tag after O, after another type or at the start opens an entity.
+    """
+    inside = _numbered_entities(words, sequence, order, [tag]).filter(F.col(tag) != "O")
+    return _spans(inside.select(*sequence, "_at", F.col(f"_entity_{tag}").alias("_entity"), _kind(F.col(tag)).alias("type")), sequence)
 
 
 def ner_f1(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag", predicted: str = "pred_tag") -> DataFrame:
     """Micro entity F1 of predicted against true tags; 0 when there is no entity.
 
-    Both taggings are chunked in the same window pass, under a key that tells them apart.
+    One shuffle by sequence serves the windows of both taggings and all span aggregations.
     """
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("true"), F.col(tag).alias("tag")), F.struct(F.lit(0).alias("true"), F.col(predicted).alias("tag"))))
-    both = words.select(*dict.fromkeys([*sequence, *order]), sides.alias("_s")).select("*", "_s.true", "_s.tag").drop("_s")
-    found = entity_chunks(both, [*sequence, "true"], order)
+    numbered = _numbered_entities(words, sequence, order, [tag, predicted])
+    sides = [F.struct(F.lit(int(t == tag)).alias("true"), F.col(f"_entity_{t}").alias("_entity"), F.col(t).alias("tag")) for t in (tag, predicted)]
+    inside = numbered.select(*sequence, "_at", F.explode(F.array(*sides)).alias("s")).filter(F.col("s.tag") != "O")
+    found = _spans(inside.select(*sequence, "_at", "s.true", "s._entity", _kind(F.col("s.tag")).alias("type")), [*sequence, "true"])
     spans = found.groupBy(*sequence, "first", "last", "type").agg(F.max("true").alias("t"), F.max(1 - F.col("true")).alias("p"))
     totals = spans.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("true_entities"), F.coalesce(F.sum("p"), F.lit(0)).alias("predicted_entities"),
                        F.coalesce(F.sum(F.col("t") * F.col("p")), F.lit(0)).alias("matched"))

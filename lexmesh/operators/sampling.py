@@ -17,6 +17,11 @@ def _everything() -> Window:
     return Window.partitionBy(F.lit(0))
 
 
+def file_order() -> Window:
+    """The files before a file, over a table with one row per file."""
+    return Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def language_composition(lines: DataFrame) -> DataFrame:
     counts = lines.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"))
     return counts.withColumn("proportion", F.col("lines") / F.sum("lines").over(_everything()))
@@ -42,8 +47,9 @@ def sample_languages(lines: DataFrame, alpha: float, key: Sequence[str], size: i
     weights = alpha_weights(language_composition(lines), alpha)
     rows = size if size is not None else lines.count()
     by_name = _everything().orderBy("lang")
+    upto = F.sum("weight").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
     ladder = weights.select(
-        F.when(F.lead("lang").over(by_name).isNull(), F.lit(2.0)).otherwise(F.sum("weight").over(by_name)).alias("upto"),
+        F.when(F.lead("lang").over(by_name).isNull(), F.lit(2.0)).otherwise(upto).alias("upto"),
         "lang", "lines")
     steps = ladder.agg(F.array_sort(F.collect_list(F.struct("upto", "lang", "lines")))).scalar()
     chance = lines.sparkSession.range(rows).select(
@@ -60,7 +66,7 @@ def poisson_ladder(rates: DataFrame) -> DataFrame:
     """Per language the Poisson distribution function, up to where it is 1 in double precision."""
     last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 30)
     terms = rates.select("lang", "mean", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    upto = Window.partitionBy("lang").orderBy("k")
+    upto = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     log_factorial = F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(upto)
     terms = terms.withColumn("p", F.exp(F.col("k") * F.log("mean") - F.col("mean") - log_factorial))
     cumulative = terms.withColumn("cdf", F.sum("p").over(upto))

@@ -163,8 +163,9 @@ def train_unigram(frequencies: DataFrame, vocab_size: int, seed_size: int = 1_00
     return spark.createDataFrame(list(scores.items()), PIECES)
 
 
-def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
-    """Add ``ids``, the piece ids of the line's words, without shuffling any text.
+def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000, per_word: bool = False) -> DataFrame:
+    """Add ``ids``, the piece ids of the line's words (one array per word if ``per_word``), without
+    shuffling any text.
 
     Each worker remembers the segmentation of frequent words, so nothing is joined on hot words.
     """
@@ -175,7 +176,8 @@ def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vo
     scores = {r.token: float(r.score) for r in rows}
     longest, unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - _UNKNOWN_PENALTY
     shared = lines.sparkSession.sparkContext.broadcast((ids, scores))
-    schema = T.StructType([*lines.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    ids_type = T.ArrayType(T.ArrayType(T.IntegerType()) if per_word else T.IntegerType())
+    schema = T.StructType([*lines.schema.fields, T.StructField("ids", ids_type)])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, weights = shared.value
@@ -195,7 +197,8 @@ def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vo
             return found
 
         for batch in batches:
-            batch["ids"] = [[i for word in line.split() for i in word_ids(word)] for line in batch["line"]]
+            pieces = [[word_ids(word) for word in line.split()] for line in batch["line"]]
+            batch["ids"] = pieces if per_word else [[i for ids in words for i in ids] for words in pieces]
             yield batch
 
     return lines.mapInPandas(encode, schema)

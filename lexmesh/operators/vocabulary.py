@@ -67,6 +67,18 @@ def alphabet_by_coverage(frequencies: DataFrame, coverage: float = 0.999) -> Dat
         F.col("_share") < coverage).drop("_share")
 
 
+def restrict_to_alphabet(frequencies: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """Words cut at the characters outside the alphabet, which then belong to no piece.
+
+    The alphabet is at most one row per Unicode character and is broadcast as one array.
+    """
+    kept = alphabet.agg(F.collect_list("ch").alias("kept")).scalar()
+    chars = frequencies.select("word", "n", kept.alias("kept"))
+    masked = F.array_join(F.transform(characters(F.col("word")), lambda c: F.when(F.array_contains("kept", c), c).otherwise(F.lit("\x00"))), "")
+    parts = chars.select(F.explode(F.split(masked, "\x00")).alias("word"), "n")
+    return parts.filter(F.col("word") != "").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def largest(df: DataFrame, size: int, score: str, tie: str) -> DataFrame:
     """The ``size`` rows with the largest ``score``, ties by ascending ``tie``.
 

@@ -52,16 +52,23 @@ def labelled(t: Tables) -> DataFrame:
         F.when(uniform("split", "doc_id") < 0.8, "train").otherwise("test").alias("part"))
 
 
-def bio(t: Tables) -> DataFrame:
-    """Word rows with a rule-made BIO tag and a predicted one; built inside each line's word array."""
+def bio(t: Tables, source: DataFrame | None = None) -> DataFrame:
+    """Word rows with a rule-made BIO tag and a predicted one; built inside each line's word array.
+
+    ``source`` may be the lines with further columns, which every word then carries.
+    """
     def capital(x: Column) -> Column:
         return x.rlike(r"^\p{Lu}")
 
-    ws = words(F.col("line"))
+    # the word array is its own column, so that looking at the word before does not split again
+    ws = F.col("_ws")
     marked = F.transform(ws, lambda x, i: F.struct(x.alias("word"), F.when(
         ~capital(x), F.lit("O")).when((i > 0) & capital(F.get(ws, i - 1)), F.lit("I-")).otherwise(F.lit("B-")).alias("prefix")))
-    rows = lines(t).select("doc_id", "lang", "source", "line_no", F.posexplode(marked).alias("_pos", "w")).select(
-        "doc_id", "lang", "source", "line_no", (F.col("_pos") + 1).cast("long").alias("word_no"), "w.word", "w.prefix")
+    found = lines(t) if source is None else source
+    others = [c for c in found.columns if c != "line"]
+    split = found.select(*others, words(F.col("line")).alias("_ws"))
+    rows = split.select(*others, F.posexplode(marked).alias("_pos", "w")).select(
+        *others, (F.col("_pos") + 1).cast("long").alias("word_no"), "w.word", "w.prefix")
     kinds, size = F.array(*[F.lit(k) for k in _KINDS]), F.char_length("word")
 
     def tag(shift: Column) -> Column:

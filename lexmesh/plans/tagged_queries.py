@@ -198,8 +198,9 @@ def _chunks(tag: str, name: str, kind: str) -> str:
 
 def _sequences(t: Tables):
     """BIO words with the batch of their sentence: eight sentences per batch, in corpus order."""
-    batches = examples.assign_batches(lines(t).select(*LINE_KEY), LINE_KEY, 8).select(*LINE_KEY, "batch")
-    return bio(t).join(batches, LINE_KEY)
+    found = lines(t)
+    batches = examples.assign_batches(found.select(*LINE_KEY), LINE_KEY, 8).select(*LINE_KEY, "batch")
+    return bio(t, found.join(batches, LINE_KEY))
 
 
 @query("entity_chunks", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), "SELECT batch, first, last, type FROM truth"))
