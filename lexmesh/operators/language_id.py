@@ -36,11 +36,19 @@ def fit_language_id(lines: DataFrame, buckets: int = 1 << 14) -> LanguageModel:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+
+        def add(lang: str) -> None:
+            totals[lang][1:] += np.bincount(np.concatenate(waiting.pop(lang)), minlength=buckets)
+
         for batch in batches:
             for lang, line in zip(batch["lang"], batch["line"]):
-                seen = totals.setdefault(lang, np.zeros(buckets + 1))
-                seen[0] += 1
-                seen[1:] += np.bincount(trigram_buckets(line, buckets), minlength=buckets)
+                totals.setdefault(lang, np.zeros(buckets + 1))[0] += 1
+                waiting.setdefault(lang, []).append(trigram_buckets(line, buckets))
+                if len(waiting[lang]) == 256:
+                    add(lang)
+        for lang in list(waiting):
+            add(lang)
         if totals:
             yield pd.DataFrame({"lang": list(totals), "seen": list(totals.values())})
 

@@ -163,42 +163,60 @@ def train_unigram(frequencies: DataFrame, vocab_size: int, seed_size: int = 1_00
     return spark.createDataFrame(list(scores.items()), PIECES)
 
 
-def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000, per_word: bool = False) -> DataFrame:
-    """Add ``ids``, the piece ids of the line's words (one array per word if ``per_word``), without
-    shuffling any text.
-
-    Each worker remembers the segmentation of frequent words, so nothing is joined on hot words.
-    """
+def _encoder(vocab: DataFrame, unknown_id: int, max_vocab: int):
+    """A function for tasks: a word, which may hold spaces, to its piece ids, remembering frequent words."""
     rows = vocab.filter(~F.col("is_special")).select("token", "id", "score").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary exceeds {max_vocab} entries")
-    ids = {r.token: int(r.id) for r in rows}
-    scores = {r.token: float(r.score) for r in rows}
+    ids, scores = {r.token: int(r.id) for r in rows}, {r.token: float(r.score) for r in rows}
     longest, unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - _UNKNOWN_PENALTY
-    shared = lines.sparkSession.sparkContext.broadcast((ids, scores))
-    ids_type = T.ArrayType(T.ArrayType(T.IntegerType()) if per_word else T.IntegerType())
-    schema = T.StructType([*lines.schema.fields, T.StructField("ids", ids_type)])
+    shared = vocab.sparkSession.sparkContext.broadcast((ids, scores))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known, weights = shared.value
         memo: dict[str, list[int]] = {}
 
-        def word_ids(word: str) -> list[int]:
+        def encode(word: str) -> list[int]:
             found = memo.get(word)
             if found is None:
                 found = []
-                for piece in best_segmentation(WORD_INITIAL + word, weights, longest, unknown)[1]:
-                    piece_id = known.get(piece, unknown_id)
-                    if piece_id != unknown_id or not found or found[-1] != unknown_id:
-                        found.append(piece_id)  # a run of unknown characters is one unknown piece
+                for part in word.split():
+                    for piece in best_segmentation(WORD_INITIAL + part, weights, longest, unknown)[1]:
+                        piece_id = known.get(piece, unknown_id)
+                        if piece_id != unknown_id or not found or found[-1] != unknown_id:
+                            found.append(piece_id)  # a run of unknown characters is one unknown piece
                 if len(memo) >= _MEMO_ENTRIES:
                     memo.clear()
                 memo[word] = found
             return found
 
+        return encode
+
+    return make
+
+
+def _with_ids(df: DataFrame, vocab: DataFrame, source: str, ids_type: T.DataType, encode_all, unknown_id: int, max_vocab: int) -> DataFrame:
+    make = _encoder(vocab, unknown_id, max_vocab)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
         for batch in batches:
-            pieces = [[word_ids(word) for word in line.split()] for line in batch["line"]]
-            batch["ids"] = pieces if per_word else [[i for ids in words for i in ids] for words in pieces]
+            batch["ids"] = [encode_all(encode, value) for value in batch[source]]
             yield batch
 
-    return lines.mapInPandas(encode, schema)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ids", ids_type)]))
+
+
+def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
+    """Add ``ids``, the piece ids of the line's words, without shuffling any text.
+
+    Each worker remembers the segmentation of frequent words, so nothing is joined on hot words.
+    """
+    return _with_ids(lines, vocab, "line", T.ArrayType(T.IntegerType()),
+                     lambda encode, line: [i for word in line.split() for i in encode(word)], unknown_id, max_vocab)
+
+
+def encode_words(sentences: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
+    """Add ``ids``, one array of piece ids per entry of ``words``."""
+    return _with_ids(sentences, vocab, "words", T.ArrayType(T.ArrayType(T.IntegerType())),
+                     lambda encode, words: [encode(word) for word in words], unknown_id, max_vocab)

@@ -164,8 +164,7 @@ def treebank_baselines(spark: SparkSession, train: str, test: str) -> DataFrame:
 def tagging_examples(sentences: DataFrame, vocab: DataFrame, labels: Sequence[str], max_length: int = 512) -> DataFrame:
     """Sentences ``(keys..., words, labels)`` to aligned examples of at most ``max_length`` ids."""
     keys = [c for c in sentences.columns if c not in ("words", "labels")]
-    rows = sentences.withColumn("line", F.array_join("words", " "))
-    encoded = unigram.encode_lines(rows, vocab, per_word=True)
+    encoded = unigram.encode_words(sentences, vocab)
     chunked = examples.chunk_by_length(encoded.select(*keys, "ids", "labels"), max_length, labels="labels")
     index = F.transform("labels", lambda l: F.coalesce(tagged.index_of(l, labels), F.lit(tagged.IGNORED)))
     return chunked.withColumn("labels", index)

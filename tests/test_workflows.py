@@ -105,10 +105,10 @@ def test_vocabularies_and_counts(spark, tmp_path):
     workflows.count_tokens(spark, {"et": files[:1], "fi": files[1:]}, vocab, str(tmp_path / "counts"), max_lines=10)
     rows = {r["token"]: (int(r["et"]), int(r["fi"])) for r in csv.DictReader(written(tmp_path / "counts", "*.csv"))}
     assert set(rows) == tokens and rows["<s>"] == rows["</s>"] == (10, 10) and rows["<mask>"] == (0, 0)
-    sentences = spark.createDataFrame([(1, ["tere", "maailm"], ["INTJ", "?"])], "k long, words array<string>, labels array<string>")
+    sentences = spark.createDataFrame([(1, ["tere", "maa ilm"], ["INTJ", "?"])], "k long, words array<string>, labels array<string>")
     row = workflows.tagging_examples(sentences, vocab, ("INTJ",), 64).first()
     names = {r.id: r.token for r in vocab.collect()}
-    assert "".join(names[i] for i in row.input_ids) == "<s>▁tere▁maailm</s>" and row.labels == [0, -100] and row.alignment[0][0] == 1
+    assert "".join(names[i] for i in row.input_ids) == "<s>▁tere▁maa▁ilm</s>" and row.labels == [0, -100] and row.alignment[0][0] == 1
 
 
 def test_presets_written(spark, tmp_path):
