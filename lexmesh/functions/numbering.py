@@ -31,6 +31,11 @@ def _group(by: Sequence[str]) -> list:
     return list(by) if by else [F.lit(0)]
 
 
+def _never_null(bucket: Column) -> Column:
+    """Keeps Catalyst from adding a null filter, which would compute the bucket a second time."""
+    return F.coalesce(bucket, F.lit(0))
+
+
 def _offsets(df: DataFrame, by: Sequence[str], value: Column, total: str | None) -> DataFrame:
     whole = Window.partitionBy(*_group(by))
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +57,7 @@ def rank_by_hash(df: DataFrame, seed: int | str, key: Sequence[str], by: Sequenc
     count = buckets or default_buckets(df.sparkSession)
     digits = F.conv(F.substring("_hash", 1, 5), 16, 10).cast("long")
     hashed = df.withColumn("_hash", hash_key(seed, *key)).withColumn(
-        "_bucket", F.floor(digits * F.lit(count) / F.lit(_HEX_BUCKETS)).cast("int"))
+        "_bucket", _never_null(F.floor(digits * F.lit(count) / F.lit(_HEX_BUCKETS)).cast("int")))
     offsets = _offsets(hashed, by, F.count(F.lit(1)), total)
     if keep is not None:
         reached = offsets.filter(F.col("_before") < keep)
@@ -124,7 +129,7 @@ def running(df: DataFrame, by: Sequence[str], position: str, value: Column, name
     value before the first row is null. ``total`` adds the value over all of ``by``.
     """
     combine = {"sum": F.sum, "max": F.max}[how]
-    cut = df.withColumn("_bucket", F.floor(F.col(position) / chunk).cast("long")).withColumn("_value", value)
+    cut = df.withColumn("_bucket", _never_null(F.floor(F.col(position) / chunk).cast("long"))).withColumn("_value", value)
     chunks = Window.partitionBy(*_group(by)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = [combine("_size").over(chunks).alias("_before")]
     if total:
