@@ -28,14 +28,6 @@ def test_row_wise_operators_do_not_shuffle_or_leave_the_jvm(spark, name):
     assert "Python" not in text and "Pandas" not in text
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"train_bpe", "train_unigram", "train_probe", "zero_shot_evaluation"}))
-def test_no_cross_or_nested_loop_join(spark, name):
-    if name.startswith("write_"):
-        return
-    text = plan(entry.queries()[name](spark, TESTDATA))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-
-
 def test_scan_reads_only_the_needed_columns(spark):
     text = plan(entry.queries()["seeded_shuffle"](spark, TESTDATA))
     assert set(re.findall(r"ReadSchema: (\S+)", text)) == {"struct<doc_id:bigint,text:string>"}

@@ -23,6 +23,8 @@ def test_query(spark, duck, name):
         assert name not in entry.oracle_sql() and df.count() > 0
     else:
         assert compare(df, duck, entry.oracle_sql()[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_entry_has_rows(spark):
