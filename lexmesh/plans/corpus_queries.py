@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmesh.functions.text import physical_lines, strip
 from lexmesh.operators import clean, language_id, sampling, split
 from lexmesh.plans import sqltext as q
-from lexmesh.plans.bindings import LINE_KEY, doc_lines, lines, records
+from lexmesh.plans.bindings import LINE_KEY, doc_lines, lines
 from lexmesh.plans.registry import Tables, query
 from lexmesh.sources import corpus
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.functions.text import chunk_pieces
 from lexmesh.operators import embed, projection, scripts, similarity
 from lexmesh.operators.vocabulary import characters
 from lexmesh.plans import sqltext as q
-from lexmesh.plans.bindings import LINE_KEY, dims, embeddings, lines, long_form, new_vocab, old_matrix, old_vocab, tokens
+from lexmesh.plans.bindings import dims, embeddings, lines, long_form, new_vocab, old_matrix, old_vocab, tokens
 from lexmesh.plans.registry import Tables, query
+from lexmesh.session import lookup
 from lexmesh.sources.scripts import jvm_script
 from lexmesh.sources.vectors import load_vocab_embeddings as join_vectors
 
@@ -140,6 +145,36 @@ def init_combined(t: Tables):
     return long_form(found)
 
 
+def _moments(categories: str, name: str) -> str:
+    return _MOMENTS.replace("moments AS", f"{name} AS").replace("old_cat", categories)
+
+
+_PRESETS = """presets(preset, by_script, by_position, by_identity) AS (VALUES ('script', true, false, false), ('identity', false, false, true),
+  ('script+identity', true, false, true), ('script+position', true, true, false), ('script+pos+ident', true, true, true))"""
+
+
+@query("init_presets", q.with_(
+    *_BASE, *[q.categories(f"{v}_vocab", f"{v}_{k}", k == "pos") for v in ("old", "new") for k in ("plain", "pos")],
+    _moments("old_plain", "moments_plain"), _moments("old_pos", "moments_pos"), _OLD_ROWS, _DIMS, _PRESETS, f"""
+starts AS (SELECT token, id, dim, {_START} AS start, {_DRAW} AS z FROM new_vocab CROSS JOIN dims),
+plain_draws AS (SELECT c.id, m.dim, mean, std FROM new_plain c JOIN moments_plain m USING (category) WHERE category <> 'xlmr_special'),
+pos_draws AS (SELECT c.id, m.dim, mean, std FROM new_pos c JOIN moments_pos m USING (category) WHERE category <> 'xlmr_special'),
+cells AS (SELECT s.*, o.value AS same, a.mean + a.std * z AS plain_draw, b.mean + b.std * z AS pos_draw, s.token IN {_SPECIAL} AS special
+  FROM starts s LEFT JOIN old_rows o USING (token, dim) LEFT JOIN plain_draws a ON a.id = s.id AND a.dim = s.dim LEFT JOIN pos_draws b ON b.id = s.id AND b.dim = s.dim),
+drawn AS (SELECT *, CASE WHEN by_script AND NOT special THEN CASE WHEN by_position THEN pos_draw ELSE plain_draw END END AS draw FROM cells CROSS JOIN presets),
+chosen AS (SELECT preset, CASE WHEN special AND same IS NOT NULL THEN 'special' WHEN by_identity AND NOT special AND same IS NOT NULL THEN 'identity'
+    WHEN draw IS NOT NULL THEN 'script' ELSE 'random' END AS origin, same, draw, start FROM drawn)""", """
+SELECT preset, origin, count(*) AS entries,
+       round(sum(CASE origin WHEN 'special' THEN same WHEN 'identity' THEN same WHEN 'script' THEN draw ELSE start END), 4) + 0.0 AS total
+FROM chosen GROUP BY preset, origin"""))
+def init_presets(t: Tables):
+    old, new, width = old_matrix(t), new_vocab(t), dims(t)
+    matrices = [embed.init_combined(old, new, width, **flags).withColumn("preset", F.lit(name)) for name, flags in embed.PRESETS.items()]
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    rows = reduce(DataFrame.unionByName, matrices).select("preset", "origin", F.size("vector").alias("entries"), total.alias("total"))
+    return rows.groupBy("preset", "origin").agg(F.sum("entries").alias("entries"), F.round(F.sum("total"), 4).alias("total"))
+
+
 @query("init_by_similarity", q.with_(*_BASE, f"""
 aux AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 overlap AS (SELECT n.id, o.id AS old_id, a.v FROM new_vocab n JOIN old_vocab o USING (token) JOIN aux a ON a.id = n.id),
@@ -210,10 +245,9 @@ alignment AS (SELECT word, unnest(""" + q.pieces("word", 3) + """) AS token FROM
 SELECT word, count(*) AS dims, round(sum(value), 4) + 0.0 AS total, round(sum(value * value), 4) + 0.0 AS squares FROM (
   SELECT word, dim, avg(value) AS value FROM alignment JOIN old_vocab USING (token) JOIN vectors USING (id) GROUP BY word, dim) GROUP BY word"""))
 def pool_word_vectors(t: Tables):
-    from lexmesh.functions.text import chunk_pieces
     distinct = tokens(t).select("word").distinct()
     pieces = distinct.select("word", F.explode(chunk_pieces(F.col("word"), 3)).alias("token"))
-    alignment = pieces.join(F.broadcast(old_vocab(t)), "token").select("word", "id")
+    alignment = lookup(pieces, old_vocab(t), ["token"]).select("word", "id")
     pooled = embed.pool_word_vectors(alignment, embeddings(t).select("id", "vector"))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)

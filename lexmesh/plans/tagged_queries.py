@@ -196,7 +196,7 @@ def _chunks(tag: str, name: str, kind: str) -> str:
 {name} AS (SELECT batch, min(place) AS first, max(place) AS last, kind AS type FROM {name}_numbered WHERE tag <> 'O' GROUP BY batch, entity, kind)"""
 
 
-def _sequences(t: Tables):
+def sequences(t: Tables):
     """BIO words with the batch of their sentence: eight sentences per batch, in corpus order."""
     found = lines(t)
     batches = examples.assign_batches(found.select(*LINE_KEY), LINE_KEY, 8).select(*LINE_KEY, "batch")
@@ -205,7 +205,7 @@ def _sequences(t: Tables):
 
 @query("entity_chunks", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), "SELECT batch, first, last, type FROM truth"))
 def entity_chunks(t: Tables):
-    return metrics.entity_chunks(_sequences(t), ["batch"], WORD_KEY)
+    return metrics.entity_chunks(sequences(t), ["batch"], WORD_KEY)
 
 
 @query("ner_f1", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), _chunks("pred_tag", "guess", "pred_kind"), """
@@ -213,7 +213,7 @@ SELECT true_entities, predicted_entities, matched, round(2.0 * matched / (true_e
   SELECT (SELECT count(*) FROM truth) AS true_entities, (SELECT count(*) FROM guess) AS predicted_entities,
          (SELECT count(*) FROM truth JOIN guess USING (batch, first, last, type)) AS matched)"""))
 def ner_f1(t: Tables):
-    found = metrics.ner_f1(_sequences(t), ["batch"], WORD_KEY)
+    found = metrics.ner_f1(sequences(t), ["batch"], WORD_KEY)
     return found.withColumn("f1", F.round("f1", 9))
 
 

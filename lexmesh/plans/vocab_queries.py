@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.text import chunk_pieces, words
 from lexmesh.operators import bpe, examples, unigram, vocabulary
+from lexmesh.operators.split import head_per_language
+from lexmesh.operators.tagged import NER_LABELS, index_of
 from lexmesh.plans import sqltext as q
-from lexmesh.plans.bindings import LINE_KEY, WORD_KEY, labelled, lines, new_vocab, tokens, turn_lines
+from lexmesh.plans.bindings import LINE_KEY, lines, tokens, turn_lines
 from lexmesh.plans.registry import Tables, query
+from lexmesh.plans.tagged_queries import sequences
 from lexmesh.session import pin_small
 
 _SPLIT = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\s\\p{Z}]+"
@@ -132,7 +135,6 @@ def encode_corpus(t: Tables):
     """grid AS (SELECT token, lang FROM vocab, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang))""",
     "SELECT g.token, g.lang, coalesce(c.n, 0) AS n FROM grid g LEFT JOIN counted c USING (token, lang)"))
 def token_language_counts(t: Tables):
-    from lexmesh.operators.split import head_per_language
     heads = head_per_language(lines(t).select("doc_id", "lang", "line_no", "line"), 100_000, LINE_KEY)
     found = heads.select("lang", F.explode(F.concat(F.array(F.lit("<s>")), words(F.col("line")), F.array(F.lit("</s>")))).alias("token"))
     reserved = t.spark.createDataFrame([(x,) for x in vocabulary.UNIGRAM_RESERVED], "token string")
@@ -318,7 +320,5 @@ counted AS (SELECT batch, count(*) FILTER (label_id <> 0) AS entity_words, count
 SELECT batch, entity_words, outside_words, round(CASE WHEN entity_words > 0 AND outside_words > entity_words THEN entity_words / outside_words ELSE 1.0 END, 9) + 0.0 AS outside_weight
 FROM counted"""))
 def batch_class_weight(t: Tables):
-    from lexmesh.operators.tagged import NER_LABELS, index_of
-    from lexmesh.plans.tagged_queries import _sequences
-    rows = _sequences(t).withColumn("label_id", index_of(F.col("tag"), NER_LABELS))
+    rows = sequences(t).withColumn("label_id", index_of(F.col("tag"), NER_LABELS))
     return examples.batch_class_weight(rows).withColumn("outside_weight", F.round("outside_weight", 9))

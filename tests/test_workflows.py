@@ -7,7 +7,6 @@ import json
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from lexmesh.operators import language_id
 from lexmesh.plans import workflows
