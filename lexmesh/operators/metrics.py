@@ -60,46 +60,31 @@ def _kind(tag: Column) -> Column:
     return F.substring(tag, 3, 100)  # what follows "B-" or "I-"
 
 
-def _numbered_entities(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tags: Sequence[str]) -> DataFrame:
-    """Add ``_at``, the position in the sequence, and ``_entity_<tag>``, the entities opened so far.
+def entity_chunks(words: DataFrame, sequence: Sequence[str], position: str, tag: str = "tag") -> DataFrame:
+    """Entities ``(sequence..., first, last, type)`` of BIO tags.
 
-    A sequence is a sentence or a batch, so its window is small; all taggings share one sort.
+    ``position`` numbers the words of a sequence (a sentence or a batch) without gaps. An I tag
+    after O, after another type or at the start opens an entity. Only tagged words are shuffled: a
+    gap in their positions shows where an O word was.
     """
-    line = Window.partitionBy(*sequence).orderBy(*order)
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    rows = words.select(*dict.fromkeys([*sequence, *order, *tags])).withColumns(
-        {"_at": F.row_number().over(line).cast("long")} | {f"_before_{t}": F.lag(t).over(line) for t in tags})
+    tagged = words.filter(F.col(tag) != "O").select(*sequence, F.col(position).alias("_at"), F.col(tag).alias("_tag"))
+    line = Window.partitionBy(*sequence).orderBy("_at")
+    rows = tagged.withColumns({"_tag_before": F.lag("_tag").over(line), "_at_before": F.lag("_at").over(line)})
+    joined = (F.col("_at_before") == F.col("_at") - 1) & (_kind(F.col("_tag_before")) == _kind(F.col("_tag")))
+    opens = (F.substring("_tag", 1, 1) == "B") | ~F.coalesce(joined, F.lit(False))
+    numbered = rows.withColumn("_entity", F.sum(opens.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*sequence, "_entity", _kind(F.col("_tag")).alias("type")).agg(
+        F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_entity")
 
-    def opens(tag: str) -> Column:
-        before, prefix = F.col(f"_before_{tag}"), F.substring(tag, 1, 1)
-        new = before.isNull() | (before == "O") | (_kind(before) != _kind(F.col(tag)))
-        return (prefix == "B") | ((prefix == "I") & new)
 
-    return rows.withColumns({f"_entity_{t}": F.sum(opens(t).cast("int")).over(so_far) for t in tags})
-
-
-def _spans(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return inside.groupBy(*keys, "_entity", "type").agg(F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_entity")
-
-
-def entity_chunks(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag") -> DataFrame:
-    """Entities ``(sequence..., first, last, type)`` of BIO tags, by position in the sequence.
-
-    An I tag after O, after another type or at the start opens an entity.
-    """
-    inside = _numbered_entities(words, sequence, order, [tag]).filter(F.col(tag) != "O")
-    return _spans(inside.select(*sequence, "_at", F.col(f"_entity_{tag}").alias("_entity"), _kind(F.col(tag)).alias("type")), sequence)
-
-
-def ner_f1(words: DataFrame, sequence: Sequence[str], order: Sequence[str], tag: str = "tag", predicted: str = "pred_tag") -> DataFrame:
+def ner_f1(words: DataFrame, sequence: Sequence[str], position: str, tag: str = "tag", predicted: str = "pred_tag") -> DataFrame:
     """Micro entity F1 of predicted against true tags; 0 when there is no entity.
 
-    One shuffle by sequence serves the windows of both taggings and all span aggregations.
+    Both taggings go through the same window pass, under a key that tells them apart.
     """
-    numbered = _numbered_entities(words, sequence, order, [tag, predicted])
-    sides = [F.struct(F.lit(int(t == tag)).alias("true"), F.col(f"_entity_{t}").alias("_entity"), F.col(t).alias("tag")) for t in (tag, predicted)]
-    inside = numbered.select(*sequence, "_at", F.explode(F.array(*sides)).alias("s")).filter(F.col("s.tag") != "O")
-    found = _spans(inside.select(*sequence, "_at", "s.true", "s._entity", _kind(F.col("s.tag")).alias("type")), [*sequence, "true"])
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("true"), F.col(tag).alias("tag")), F.struct(F.lit(0).alias("true"), F.col(predicted).alias("tag"))))
+    both = words.filter((F.col(tag) != "O") | (F.col(predicted) != "O")).select(*sequence, position, sides.alias("_s"))
+    found = entity_chunks(both.select(*sequence, position, "_s.true", "_s.tag"), [*sequence, "true"], position)
     spans = found.groupBy(*sequence, "first", "last", "type").agg(F.max("true").alias("t"), F.max(1 - F.col("true")).alias("p"))
     totals = spans.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("true_entities"), F.coalesce(F.sum("p"), F.lit(0)).alias("predicted_entities"),
                        F.coalesce(F.sum(F.col("t") * F.col("p")), F.lit(0)).alias("matched"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.text import words
@@ -197,15 +198,18 @@ def _chunks(tag: str, name: str, kind: str) -> str:
 
 
 def sequences(t: Tables):
-    """BIO words with the batch of their sentence: eight sentences per batch, in corpus order."""
-    found = lines(t)
-    batches = examples.assign_batches(found.select(*LINE_KEY), LINE_KEY, 8).select(*LINE_KEY, "batch")
-    return bio(t, found.join(batches, LINE_KEY))
+    """BIO words with the batch of their sentence, eight sentences per batch in corpus order, and
+    their position in it, which is counted on the lines before these become words."""
+    batches = examples.assign_batches(lines(t).select(*LINE_KEY), LINE_KEY, 8).select(*LINE_KEY, "batch")
+    before = Window.partitionBy("batch").orderBy(*LINE_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    found = lines(t).join(batches, LINE_KEY)
+    placed = found.withColumn("offset", F.coalesce(F.sum(F.size(words(F.col("line")))).over(before), F.lit(0)))
+    return bio(t, placed).withColumn("place", F.col("offset") + F.col("word_no"))
 
 
 @query("entity_chunks", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), "SELECT batch, first, last, type FROM truth"))
 def entity_chunks(t: Tables):
-    return metrics.entity_chunks(sequences(t), ["batch"], WORD_KEY)
+    return metrics.entity_chunks(sequences(t), ["batch"], "place")
 
 
 @query("ner_f1", q.with_(q.LINES, q.TOKENS, q.BIO, _SEQUENCES, _chunks("tag", "truth", "kind"), _chunks("pred_tag", "guess", "pred_kind"), """
@@ -213,7 +217,7 @@ SELECT true_entities, predicted_entities, matched, round(2.0 * matched / (true_e
   SELECT (SELECT count(*) FROM truth) AS true_entities, (SELECT count(*) FROM guess) AS predicted_entities,
          (SELECT count(*) FROM truth JOIN guess USING (batch, first, last, type)) AS matched)"""))
 def ner_f1(t: Tables):
-    found = metrics.ner_f1(sequences(t), ["batch"], WORD_KEY)
+    found = metrics.ner_f1(sequences(t), ["batch"], "place")
     return found.withColumn("f1", F.round("f1", 9))
 
 

@@ -381,7 +381,7 @@ def test_ellipse_and_views(spark):
 
 def chunks(spark, tags):
     df = frame(spark, [(0, i, t) for i, t in enumerate(tags)], "batch long, i long, tag string")
-    return {(r.first, r.last, r.type) for r in metrics.entity_chunks(df, ["batch"], ["i"]).collect()}
+    return {(r.first, r.last, r.type) for r in metrics.entity_chunks(df.withColumn("i", F.col("i") + 1), ["batch"], "i").collect()}
 
 
 @pytest.mark.parametrize("tags,expected", [
@@ -396,13 +396,13 @@ def test_entity_chunks(spark, tags, expected):
 
 
 def test_entity_crosses_a_sentence_inside_a_batch(spark):
-    df = frame(spark, [(0, 1, 1, "B-PER"), (0, 2, 1, "I-PER"), (1, 3, 1, "I-PER")], "batch long, sent long, i long, tag string")
-    got = {(r.batch, r.first, r.last) for r in metrics.entity_chunks(df, ["batch"], ["sent", "i"]).collect()}
+    df = frame(spark, [(0, 1, 1, "B-PER"), (0, 2, 2, "I-PER"), (1, 3, 1, "I-PER")], "batch long, sent long, i long, tag string")
+    got = {(r.batch, r.first, r.last) for r in metrics.entity_chunks(df, ["batch"], "i").collect()}
     assert got == {(0, 1, 2), (1, 1, 1)}
     nothing = df.select("batch", "sent", "i", F.lit("O").alias("tag"), F.lit("O").alias("pred_tag"))
-    assert metrics.ner_f1(nothing, ["batch"], ["sent", "i"]).first().f1 == 0.0
+    assert metrics.ner_f1(nothing, ["batch"], "i").first().f1 == 0.0
     half = df.withColumn("pred_tag", F.when(F.col("batch") == 1, "B-PER").otherwise("O"))
-    assert metrics.ner_f1(half, ["batch"], ["sent", "i"]).first()[:] == (2, 1, 1, pytest.approx(2 / 3))
+    assert metrics.ner_f1(half, ["batch"], "i").first()[:] == (2, 1, 1, pytest.approx(2 / 3))
 
 
 def test_per_word_baseline_rules(spark):
