@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import line_dedup, secrets, substring_dedup, warc
+from lexmesh.llm import jaccard_join, line_dedup, secrets, substring_dedup, warc
 from lexmesh.session import scratch_folder
 
 
@@ -30,4 +30,8 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, archive)
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_line_dedup, op7_substring_dedup, op8_warc)}
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join)}

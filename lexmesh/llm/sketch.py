@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lexmesh.llm.words import mix
 
 MAX_BITS = 28
-_SEGMENTS = 64
+_SEGMENTS = 16
 _FLUSH = 1 << 22
 
 
