@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import jaccard_join, line_dedup, secrets, substring_dedup, warc
+from lexmesh.llm import jaccard_join, line_dedup, nearest, secrets, substring_dedup, warc
 from lexmesh.session import scratch_folder
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, folder, "documents"))
 
@@ -34,4 +39,4 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join)}
