@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.sketch import bits_for, repeated_keys
+from lexmesh.llm.storage import written
 
 _TRIM = b" \t\n\x0b\x0c\r"
 
@@ -107,6 +108,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     suspects = rows.mapInArrow(_suspects(least, twice.reader()), "doc_id long, row long, digest binary, lines array<int>")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     repeats = suspects.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
+    repeats = written(repeats, "repeated-lines")  # read again, the join deals out both sides itself and can split a hot line
     later = suspects.join(repeats, "digest").filter(order > F.col("first"))
     drops = later.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("lines").alias("groups"))
     same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
