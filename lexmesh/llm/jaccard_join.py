@@ -257,8 +257,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     shared = repeated_keys(texts, _key_sets(size, order, threshold, boundary), bits_for(total // 3, per_key=6), depth=2)
     raw = texts.mapInArrow(_members(size, order, threshold, boundary, shared.reader()), "key long, cid binary, n int, room int")
     members = raw.groupBy("key", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
+    members = written(members, "keys")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("others")).filter("others > 1").select("key")
-    members = written(members.join(counts, "key"), "list-members")
+    members = written(members.join(written(counts, "lists"), "key"), "list-members")
 
     listed = members.select("cid").distinct()
     needed = repeated_keys(listed, _twice, bits_for(listed.count(), per_key=12), depth=4)
@@ -269,6 +270,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     centre = [F.min(F.struct(F.xxhash64("cid", F.lit(s)), "cid", "n", "room")).alias(f"c{s}") for s in range(_CENTRES)]
     centres = members.groupBy("key").agg(*centre).select("key", F.explode(F.array(*[f"c{s}" for s in range(_CENTRES)])).alias("c"))
     centres = centres.select("key", F.col("c.cid").alias("b"), F.col("c.n").alias("n_b"), F.col("c.room").alias("room_b")).distinct()
+    centres = written(centres, "centres")
     tested = written(_ordered(other.join(centres, "key"), threshold), "tested-pairs")
     links = written(_verified(tested, sets, threshold), "links")
     roots = written(connected(links), "roots")
@@ -277,6 +279,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
+    largest = written(largest, "divided-lists")
     open_lists = written(placed.join(largest, "key"), "open-lists")
     rest = open_lists.filter("root <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("root").alias("root_a"))
     every = open_lists.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("root").alias("root_b"))
@@ -288,9 +291,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     smallest = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")
     classes = people.filter("n > 0").groupBy("cid").agg(smallest)
+    classes = written(classes, "classes")
     joined = roots.join(classes, F.col("node") == F.col("cid")).select("cid", "root", "first")
     whole = joined.join(joined.groupBy("root").agg(F.min("first").alias("least")), "root").select("cid", "least")
-    labels = classes.join(whole, "cid", "left").select("cid", F.coalesce("least", "first").alias("label"))
+    labels = written(classes.join(whole, "cid", "left").select("cid", F.coalesce("least", "first").alias("label")), "labels")
     out = people.join(labels, "cid", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("label") < (1 << 63) - 1, F.col("label"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -194,7 +194,7 @@ def remove_repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_col
 
     place = ["doc_id", "row", "start", "count"]
     later_blocks = blocks.join(classes.filter("first < last"), ["anchor", "b1", "b2"]).filter(order > F.col("first")).select(place)
-    repeated = windows.groupBy("w1", "w2").agg(*span).filter("first < last")
+    repeated = written(windows.groupBy("w1", "w2").agg(*span).filter("first < last"), "repeated-windows")
     later_windows = windows.join(repeated, ["w1", "w2"]).filter(order > F.col("first")).withColumn("count", F.lit(1)).select(place)
     cuts = later_blocks.unionByName(later_windows).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "count")).alias("cuts"))
     same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))

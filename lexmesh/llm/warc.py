@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 256 << 20, s
     sizes = written(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, size long"), "warc-digests")
     low, width, cuts = _shards(sizes, shard_bytes)
     # max per payload is combined in every task first, so a payload of a third of all pages is one row a task
-    last = sizes.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+    last = written(sizes.groupBy("digest").agg(F.max("page_id").alias("refers_to")), "warc-last")
     revisits = sizes.join(last, "digest").filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
     marks = revisits.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
     plain = rows.select("page_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
