@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import jaccard_join, line_dedup, nearest, secrets, substring_dedup, warc
+from lexmesh.llm import decontaminate, html_text, jaccard_join, line_dedup, nearest, secrets, substring_dedup, warc
 from lexmesh.session import scratch_folder
 
 
@@ -21,6 +21,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, folder, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("row")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(_table(spark, folder, "documents"), keep_text=False)
 
@@ -39,4 +43,8 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join)}
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text)}
