@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import decontaminate, html_text, jaccard_join, line_dedup, nearest, secrets, substring_dedup, warc
+from lexmesh.llm import decontaminate, html_text, jaccard_join, line_dedup, nearest, pieces, secrets, substring_dedup, warc
 from lexmesh.session import scratch_folder
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -29,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(_table(spark, folder, "documents"), keep_text=False)
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str, model: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    return pieces.encode(_table(spark, folder, "documents"), model, keep_ids=False)
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_table(spark, folder, "documents"), keep_text=False)
 
@@ -47,4 +53,4 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(_table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text)}
