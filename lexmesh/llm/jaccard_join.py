@@ -82,11 +82,11 @@ def _survey(size: int):
             keys, times, kinds = (np.concatenate((x[often], x[some])) for x in (keys, times, np.ones(len(keys), np.int32)))
             kinds[int(often.sum()):] = 2
             none = pa.nulls(len(keys))
-            return pa.RecordBatch.from_pydict({"kind": pa.array(kinds), "doc_id": none.cast(pa.int64()), "n": pa.array(times.astype(np.int64)), "cid": none.cast(pa.binary()), "key": pa.array(signed(keys))})
+            return pa.RecordBatch.from_pydict({"kind": pa.array(kinds), "doc_id": none.cast(pa.int64()), "row": none.cast(pa.int64()), "n": pa.array(times.astype(np.int64)), "cid": none.cast(pa.binary()), "key": pa.array(signed(keys))})
 
         for batch in batches:
             ids, sizes, classes = batch.column(0), [], []
-            for _, found in shingle_sets(batch.column(1), size):
+            for _, found in shingle_sets(batch.column(2), size):
                 sizes.append(len(found))
                 classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 held.append(found)
@@ -95,7 +95,7 @@ def _survey(size: int):
                     yield counted()
                     held, count = [], 0
             rows = len(sizes)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(rows, np.int32)), "doc_id": ids, "n": pa.array(sizes, pa.int64()), "cid": pa.array(classes, pa.binary()), "key": pa.nulls(rows, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(rows, np.int32)), "doc_id": ids, "row": batch.column(1), "n": pa.array(sizes, pa.int64()), "cid": pa.array(classes, pa.binary()), "key": pa.nulls(rows, pa.int64())})
         if count:
             yield counted()
     return run
@@ -234,7 +234,7 @@ def _ordered(pairs: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, top: int = 3, bottom: int = 4) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id.
+    """Per row: doc_id, row (a hash of the text), n_shingles, component_id.
 
     Words are runs of characters other than ``[\\x20\\x09-\\x0D]``, with A-Z lower-cased; a set holds the distinct
     shingles of ``size`` words, or all words as one shingle if there are fewer. Two rows are linked when their
@@ -243,10 +243,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     id take part; a component of such rows alone has no component_id. Extra columns are not read.
     """
     spark, threshold = docs.sparkSession, Threshold(top, bottom)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    text = F.col(text_column).cast("string")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     texts = rows.select("text")
-    survey = written(rows.mapInArrow(_survey(size), "kind int, doc_id long, n long, cid binary, key long"), "shingle-survey")
-    people = survey.filter("kind = 0").select("doc_id", "n", "cid")
+    survey = written(rows.mapInArrow(_survey(size), "kind int, doc_id long, row long, n long, cid binary, key long"), "shingle-survey")
+    people = survey.filter("kind = 0").select("doc_id", "row", "n", "cid")
 
     frequent = survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "key").limit(_FREQUENT)
     known = frequent.collect()  # at most _FREQUENT rows of two numbers
@@ -297,4 +298,15 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     labels = written(classes.join(whole, "cid", "left").select("cid", F.coalesce("least", "first").alias("label")), "labels")
     out = people.join(labels, "cid", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("label") < (1 << 63) - 1, F.col("label"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is their component's; the others have a near copy that stays.
+
+    Rows that repeat an id and a text are one document and stay together. Rows without an id stay unless one with an id is linked.
+    """
+    found = jaccard_components(docs).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = written(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "near-copies")
+    same = (F.xxhash64(docs["text"].cast("string")) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti")

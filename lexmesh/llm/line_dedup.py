@@ -8,7 +8,7 @@ confirm the repeat and to find the smallest document that holds it. Nothing else
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +70,12 @@ def _suspects(least: int, test: Callable[[np.ndarray], np.ndarray]):
     return run
 
 
-def _rewrite(keep_text: bool):
-    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", *["text"] * keep_text]
+def _rewrite(keep_text: bool, carried: int):
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", *["text"] * keep_text, *(f"c{i}" for i in range(carried))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in range(4 + keep_text)]
             for doc_id, text, groups in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
                 lines = text.split(b"\n")
                 dropped = {i for group in groups or () for i in group}
@@ -83,29 +83,31 @@ def _rewrite(keep_text: bool):
                 values = [doc_id, len(lines), len(dropped), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")]
                 for column, value in zip(out, values):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] * 2)], names)
+            arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] * 2)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(3 + i) for i in range(carried))], names)
     return run
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = 10, keep_text: bool = True,
-                        expected_lines: int | None = None) -> DataFrame:
+                        carry: Sequence[str] = (), expected_lines: int | None = None) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, the kept text.
 
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased. A key of at least
     ``least`` code points that occurs in two documents or more loses all its lines but those of the smallest id.
     Null or empty text is one empty line. Rows without an id take part as one document larger than all others;
-    rows that repeat an id count as one document when keys are compared, and each row is returned. Other columns
-    of ``docs`` are not read, whatever their names. ``expected_lines`` sizes the filters (counted by default); the
+    rows that repeat an id count as one document when keys are compared, and each row is returned. The columns
+    in ``carry`` come back behind the others; further columns are not read, whatever their names. ``expected_lines`` sizes the filters (counted by default); the
     result does not depend on it.
     """
     text = F.col(text_column).cast("string")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), *carried)
     if expected_lines is None:
         # line ends per text: a scan of one column without a shuffle of rows
         ends = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
         expected_lines = rows.agg(F.sum(ends + 1)).first()[0] or 0
     twice = repeated_keys(rows.select("text"), _line_hashes(least), bits_for(expected_lines), depth=4)
-    suspects = rows.mapInArrow(_suspects(least, twice.reader()), "doc_id long, row long, digest binary, lines array<int>")
+    suspects = rows.select("doc_id", "row", "text").mapInArrow(_suspects(least, twice.reader()), "doc_id long, row long, digest binary, lines array<int>")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     repeats = suspects.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
     repeats = written(repeats, "repeated-lines")  # read again, the join deals out both sides itself and can split a hot line
@@ -114,4 +116,6 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     placed = rows.join(drops.hint("shuffle_hash"), same, "left")
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * keep_text
-    return placed.select("doc_id", "text", "groups").mapInArrow(_rewrite(keep_text), schema)
+    schema += "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    kept = placed.select("doc_id", "text", "groups", *(f"c{i}" for i in range(len(carry)))).mapInArrow(_rewrite(keep_text, len(carry)), schema)
+    return kept.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import decontaminate, html_text, jaccard_join, line_dedup, nearest, pieces, secrets, substring_dedup, warc
+from lexmesh.llm import decontaminate, html_text, jaccard_join, language, line_dedup, nearest, pieces, secrets, substring_dedup, warc
 from lexmesh.session import scratch_folder
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents (by doc_id) and pages (by page_id) as one set of records: pages alone have addresses and markup."""
+    records = language.document_records(_table(spark, folder, "documents")).unionByName(language.page_records(_table(spark, folder, "pages")))
+    return language.identify(records, ["doc_id", "page_id"])
+
+
 def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     return nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -46,11 +52,11 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+    return jaccard_join.jaccard_components(_table(spark, folder, "documents")).drop("row")
 
 
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(_table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text)}
