@@ -5,13 +5,15 @@ rightmost of equals. A run of windows with one anchor is a block. A first pass a
 count-min sketches that are merged; an anchor's estimate is never below the number of times any of its windows
 occurs, so windows whose anchor is estimated at one cannot repeat. The second pass groups, exactly and by 128-bit
 digests, only blocks of anchors estimated as repeated. Where an anchor has several different blocks (the
-ends of a copied passage), a third pass groups their single windows. Text is moved once, to be rewritten.
+ends of a copied passage), a sketch of their windows leaves those estimated as repeated for a third pass, which groups
+single windows. Text is moved once, to be rewritten.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.sketch import bits_for, repeated_keys
 from lexmesh.llm.storage import written
-from lexmesh.llm.words import Polynomial, documents, grams, signed, utf8
+from lexmesh.llm.words import Polynomial, documents, grams, signed
 
 _ANCHOR_WORDS = 8
 _ANCHOR, _FIRST, _SECOND = Polynomial(21), Polynomial(22), Polynomial(23)
@@ -94,7 +96,17 @@ def _suspect_blocks(window: int, test: Callable[[np.ndarray], np.ndarray]):
     return run
 
 
-def _single_windows(window: int, test: Callable[[np.ndarray], np.ndarray]):
+def _window_keys(window: int, test: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for _, bounds, h, _, _ in documents(batch.column(0)):
+                starts, at, inner = _anchors(h, bounds, window)
+                if len(starts) and len(starts := starts[test(inner[at])]):
+                    yield _FIRST.between(_FIRST.prefix(h), starts, starts + window)
+    return run
+
+
+def _single_windows(window: int, test: Callable[[np.ndarray], np.ndarray], repeated: Callable[[np.ndarray], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
@@ -103,11 +115,14 @@ def _single_windows(window: int, test: Callable[[np.ndarray], np.ndarray]):
                 if not len(starts):
                     continue
                 starts = starts[test(inner[at])]
+                w1 = _FIRST.between(_FIRST.prefix(h), starts, starts + window)
+                chosen = repeated(w1)
+                starts, w1 = starts[chosen], w1[chosen]
                 if not len(starts):
                     continue
                 doc = np.searchsorted(bounds, starts, side="right") - 1
                 take = pa.array(doc + row)
-                yield _table({"w1": pa.array(signed(_FIRST.between(_FIRST.prefix(h), starts, starts + window))),
+                yield _table({"w1": pa.array(signed(w1)),
                               "w2": pa.array(signed(_SECOND.between(_SECOND.prefix(h), starts, starts + window))),
                               "doc_id": ids.take(take), "row": rows.take(take), "start": pa.array((starts - bounds[doc]).astype(np.int32))})
     return run
@@ -141,12 +156,13 @@ def _rewrite(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cuts = batch.column(0).to_pylist(), batch.column(2)
-            data, offsets = utf8(batch.column(1))
+            texts = batch.column(1).cast(pa.large_binary())
             out: list[list] = [[] for _ in names]
-            for row, bounds, h, byte_starts, byte_ends in documents(batch.column(1)):
+            for row, bounds, h, _, _ in documents(batch.column(1)):
                 for i in range(len(bounds) - 1):
                     low, high = int(bounds[i]), int(bounds[i + 1])
                     words = high - low
+                    split = (texts[row + i].as_py() or b"").split()  # splits bytes at the same six characters
                     change = np.zeros(words + 1, np.int32)
                     for pair in cuts[row + i].as_py() or ():
                         change[pair["start"]] += 1
@@ -154,12 +170,9 @@ def _rewrite(window: int, keep_text: bool):
                     inside = _repeats_inside(h[low:high], window)
                     np.add.at(change, inside, 1)
                     np.add.at(change, inside + window, -1)
-                    kept = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                    begin = int(offsets[row + i])
-                    text = data[begin:int(offsets[row + i + 1])].tobytes()
-                    s, e = byte_starts[low:high], byte_ends[low:high]
-                    joined = b" ".join(text[a:b] for a, b in zip(s[kept].tolist(), e[kept].tolist()))
-                    values = [ids[row + i], words, words - len(kept), hashlib.sha256(joined).hexdigest()]
+                    kept = np.cumsum(change[:-1]) == 0
+                    joined = b" ".join(split if kept.all() else compress(split, kept.tolist()))
+                    values = [ids[row + i], words, words - int(kept.sum()), hashlib.sha256(joined).hexdigest()]
                     if keep_text:
                         values.append(joined.decode("utf-8", "replace"))
                     for column, value in zip(out, values):
@@ -188,9 +201,11 @@ def remove_repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_col
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     span = [F.min(order).alias("first"), F.max(order).alias("last")]
     classes = written(blocks.groupBy("anchor", "b1", "b2").agg(*span), "block-classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    several = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "mixed-anchors")
     mixed = repeated_keys(several, _several, bits_for(several.count(), per_key=12), depth=4)
-    windows = written(rows.mapInArrow(_single_windows(window, mixed.reader()), "w1 long, w2 long, doc_id long, row long, start int"), "suspect-windows")
+    lengths = blocks.join(several, "anchor").agg(F.sum("count")).first()[0] or 0
+    singles = repeated_keys(rows.select("text"), _window_keys(window, mixed.reader()), bits_for(lengths, per_key=6), depth=2)
+    windows = written(rows.mapInArrow(_single_windows(window, mixed.reader(), singles.reader()), "w1 long, w2 long, doc_id long, row long, start int"), "suspect-windows")
 
     place = ["doc_id", "row", "start", "count"]
     later_blocks = blocks.join(classes.filter("first < last"), ["anchor", "b1", "b2"]).filter(order > F.col("first")).select(place)
