@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.sketch import bits_for, repeated_keys
-from lexmesh.llm.storage import written
+from lexmesh.llm.storage import without, written
 from lexmesh.llm.words import documents, mix, signed
 
 WINDOW = 15
@@ -156,6 +156,4 @@ def contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap with no test item."""
-    bad = written(contaminated(docs, tests).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "contaminated")
-    same = (F.xxhash64(docs["text"].cast("string")) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    return docs.join(bad, same, "left_anti")
+    return without(docs, contaminated(docs, tests), "contaminated")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.components import connected
 from lexmesh.llm.sketch import bits_for, repeated_keys
-from lexmesh.llm.storage import written
+from lexmesh.llm.storage import without, written
 from lexmesh.llm.words import Polynomial, documents, grams, mix, signed
 
 _SHINGLE = Polynomial(31)
@@ -307,6 +307,4 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and a text are one document and stay together. Rows without an id stay unless one with an id is linked.
     """
     found = jaccard_components(docs).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = written(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "near-copies")
-    same = (F.xxhash64(docs["text"].cast("string")) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, found, "near-copies")

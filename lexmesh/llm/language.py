@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.storage import written
+from lexmesh.llm.storage import without, written
 from lexmesh.llm.words import utf8
 
 TRAIN_ROWS = 4000
@@ -232,6 +232,4 @@ def page_records(pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``identify`` keeps, with all their columns."""
     found = identify(document_records(docs), ["doc_id", "row"])
-    gone = written(found.filter(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "rejected")
-    same = (F.xxhash64(docs["text"].cast("string")) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, found.filter(~F.col("keep")), "rejected")

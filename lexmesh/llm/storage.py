@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexmesh.session import scratch_folder
 
@@ -14,5 +15,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose (doc_id, row) is not in ``gone``; ``row`` is a hash of the text.
+
+    What goes is written first: Spark then knows its size and moves the texts only if it is too large to send around.
+    """
+    gone = written(gone.select(F.col("doc_id").alias("id"), F.col("row").alias("hash")).distinct(), name)
+    return docs.join(gone, (F.xxhash64(docs["text"].cast("string")) == gone["hash"]) & docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
