@@ -1,13 +1,13 @@
 """Jaccard self-join on word shingles, split by set size into a light and a heavy side.
 
-Shingles have one global order: those that many texts hold come last (a bounded table of frequent shingles, counted over all texts,
-gives their ranks), all others by hash. Two sets that reach the threshold must share
+Shingles have one global order from rare to frequent: first those that a sketch over all sets shows to be in one set alone, then
+others by hash, last those that many texts hold (a bounded table, counted over all texts, gives their ranks). Two sets that reach the threshold must share
 
 * for small sets: at least two shingles among their first few, so every pair of those is a key (fixed-size subsets);
 * for large sets: at least one shingle among their first quarter, so each of those is a key (inverted lists).
 
 The size that divides them is where enumerating subsets costs as much as scanning lists, from the list lengths of
-a hash sample of shingles. Keys that a sketch shows to be unique are never shuffled. Equal sets are one class
+a hash sample of shingles. A shingle of one set alone is never a key, so most sets that are like no other send nothing. Equal sets are one class
 from the start. Inside a list candidates are first tested against a few centres; what that leaves in one component needs
 no further test, and the other pairs of the list are tested exhaustively. Links are decided on whole sets.
 """
@@ -102,65 +102,63 @@ def _survey(size: int):
 
 
 class Order:
-    """The global order of shingles: frequent ones last and by count, the others by hash."""
+    """The global order of shingles: those of one set alone, then the others by hash, then frequent ones by count."""
 
-    def __init__(self, spark, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, spark, keys: np.ndarray, counts: np.ndarray, shared):
         at = np.argsort(keys)
-        self._value = spark.sparkContext.broadcast((keys[at], counts[at]))
+        self._value, self._shared = spark.sparkContext.broadcast((keys[at], counts[at])), shared
 
     def sort(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The set in this order, and which of its shingles are frequent."""
+        """The set in this order, and which of its shingles other sets may hold."""
+        if not len(found):
+            return found, np.zeros(0, bool)
         keys, counts = self._value.value
-        if not len(keys) or not len(found):
-            return found, np.zeros(len(found), bool)
-        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        often = np.where(keys[at] == found, counts[at], 0)
-        order = np.argsort(often, kind="stable")  # sets come sorted by hash
-        return found[order], often[order] > 0
+        shared = self._shared(found)
+        rank = shared.astype(np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            rank = np.where(keys[at] == found, counts[at] + 1, rank)
+        order = np.argsort(rank, kind="stable")  # sets come sorted by hash
+        return found[order], shared[order]
 
 
-def _keys(found: np.ndarray, often: np.ndarray, threshold: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, room, surely shared) of an ordered set; room is the largest overlap that a first meeting at this key allows."""
+def _keys(found: np.ndarray, shared: np.ndarray, threshold: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, room) of an ordered set; room is the largest overlap that a first meeting at this key allows."""
     n = len(found)
     none = np.zeros(0, np.uint64)
     if n < 2:  # one shingle: every partner is the same set
-        return none, none.astype(np.int64), none.astype(bool)
+        return none, none.astype(np.int64)
     least = threshold.least(n)
-    keys, room, sure = [], [], []
+    keys, room = [], []
     if n > boundary or threshold.bottom * n >= threshold.top * (boundary + 1):
-        first = np.arange(n - least + 1)
+        first = np.flatnonzero(shared[:n - least + 1])
         keys.append(found[first])
         room.append(n - first)
-        sure.append(often[first])
     if n <= boundary:
-        pairs = np.array(list(combinations(range(min(n, n - least + 2)), 2)))
+        first = np.flatnonzero(shared[:n - least + 2])
+        pairs = np.array(list(combinations(first.tolist(), 2)), np.int64).reshape(-1, 2)
         keys.append(mix(found[pairs[:, 0]] * np.uint64(0x9FB21C651E98DF25) + mix(found[pairs[:, 1]])))
         room.append(n - pairs[:, 1] + 1)
-        sure.append(np.zeros(len(pairs), bool))
-    return np.concatenate(keys), np.concatenate(room), np.concatenate(sure)
+    return np.concatenate(keys), np.concatenate(room)
 
 
-def _key_sets(size: int, order: Order, threshold: Threshold, boundary: int):
+def _all_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for _, found in shingle_sets(batch.column(0), size):
-                keys, _, sure = _keys(*order.sort(found), threshold, boundary)
-                if len(keys):
-                    yield keys[~sure]
+                if len(found):
+                    yield found
     return run
 
 
-def _members(size: int, order: Order, threshold: Threshold, boundary: int, test):
+def _members(size: int, order: Order, threshold: Threshold, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             for _, found in shingle_sets(batch.column(0), size):
-                keys, room, sure = _keys(*order.sort(found), threshold, boundary)
-                if not len(keys):
-                    continue
-                sure |= test(keys)
-                if sure.any():
-                    held.append((keys[sure], room[sure], len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest()))
+                keys, room = _keys(*order.sort(found), threshold, boundary)
+                if len(keys):
+                    held.append((keys, room, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest()))
             if held:
                 counts = [len(k) for k, *_ in held]
                 classes = pa.array([c for *_, c in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
@@ -251,12 +249,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     frequent = survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "key").limit(_FREQUENT)
     known = frequent.collect()  # at most _FREQUENT rows of two numbers
-    order = Order(spark, np.array([r["key"] for r in known], np.int64).view(np.uint64), np.array([r["n"] for r in known], np.int64))
     boundary = _boundary(survey.filter("kind = 2"), spark.createDataFrame(known, "key long, n long"), threshold)
 
     total = people.agg(F.sum("n")).first()[0] or 0
-    shared = repeated_keys(texts, _key_sets(size, order, threshold, boundary), bits_for(total // 3, per_key=6), depth=2)
-    raw = texts.mapInArrow(_members(size, order, threshold, boundary, shared.reader()), "key long, cid binary, n int, room int")
+    shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=2)
+    order = Order(spark, np.array([r["key"] for r in known], np.int64).view(np.uint64), np.array([r["n"] for r in known], np.int64), shared.reader())
+    raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, cid binary, n int, room int")
     members = raw.groupBy("key", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
     members = written(members, "keys")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("others")).filter("others > 1").select("key")
