@@ -75,17 +75,12 @@ def rank_by_hash(df: DataFrame, seed: int | str, key: Sequence[str], by: Sequenc
 
 
 def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no",
-                total: str | None = None, single_group_rows: int = 1_000_000) -> DataFrame:
+                total: str | None = None) -> DataFrame:
     """1-based dense row number in ascending ``order`` within ``by``; the order must be total.
 
-    Up to ``single_group_rows`` rows (counted, not guessed) a plain window is used. Beyond that the
-    rows are range-shuffled, checkpointed with their position in the partition, and shifted by
+    The rows are range-shuffled, checkpointed with their position in the partition, and shifted by
     per-partition offsets, so no task ever holds a whole group.
     """
-    if df.select(*by, *order).count() <= single_group_rows:
-        group = Window.partitionBy(*_group(by))
-        numbered = df.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("long"))
-        return numbered.withColumn(total, F.count(F.lit(1)).over(group)) if total else numbered
     sort = list(dict.fromkeys([*by, *order]))
     placed = cut_lineage(df.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_bucket", F.shiftright("_at", 33).cast("int")).withColumn(
@@ -105,19 +100,20 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
 def head_per_group(df: DataFrame, keep: int, by: str, order: Sequence[str], name: str = "row_no", bins: int = 4096) -> DataFrame:
     """First ``keep`` rows of every group in ``order``; the leading order column must be an integer.
 
-    A histogram of the leading column finds, per group, the last bin that can still matter. Rows
-    behind it are dropped before anything is shuffled; the rest is ranked exactly.
+    A histogram of the leading column tells, per group and bin, how many rows come before. Rows of bins that
+    cannot matter are dropped before anything is shuffled; the others are ranked inside their bin, so a group
+    is never sorted as a whole.
     """
     lead = order[0]
     low, high = df.agg(F.min(lead), F.max(lead)).first()
-    if low is not None:
-        width = max(1, -(-(high - low + 1) // bins))
-        binned = df.withColumn("_bucket", F.floor((F.col(lead) - low) / width).cast("int"))
-        reached = _offsets(binned, [by], F.count(F.lit(1)), None).filter(F.col("_before") < keep)
-        last = reached.groupBy(by).agg(F.max("_bucket").alias("_last"))
-        df = lookup(binned, last, [by]).filter(F.col("_bucket") <= F.col("_last")).drop("_bucket", "_last")
-    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
-    return numbered.filter(F.col(name) <= keep)
+    if low is None:
+        return df.withColumn(name, F.lit(0).cast("long")).filter(F.col(name) > 0)
+    width = max(1, -(-(high - low + 1) // bins))
+    binned = df.withColumn("_bucket", _never_null(F.floor((F.col(lead) - low) / width).cast("int")))
+    reached = _offsets(binned, [by], F.count(F.lit(1)), None).filter(F.col("_before") < keep)
+    inside = Window.partitionBy(by, "_bucket").orderBy(*order)
+    numbered = lookup(binned, reached, [by, "_bucket"]).withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("long"))
+    return numbered.filter(F.col(name) <= keep).drop("_bucket", "_before")
 
 
 def running(df: DataFrame, by: Sequence[str], position: str, value: Column, name: str, how: str = "sum",

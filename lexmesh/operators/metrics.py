@@ -57,7 +57,7 @@ def accuracy(words: DataFrame, by: Sequence[str] = (), exclude_unlabelled: bool
 
 
 def _kind(tag: Column) -> Column:
-    return F.substring(tag, 3, 100)  # what follows "B-" or "I-"
+    return F.substr(tag, F.lit(3))  # what follows "B-" or "I-"
 
 
 def entity_chunks(words: DataFrame, sequence: Sequence[str], position: str, tag: str = "tag") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.hashing import uniform
@@ -62,26 +62,41 @@ def sample_languages(lines: DataFrame, alpha: float, key: Sequence[str], size: i
     return draws.join(indexed, ["lang", "_index"]).drop("_index")
 
 
+_LARGEST_MEAN = 32.0
+
+
 def poisson_ladder(rates: DataFrame) -> DataFrame:
-    """Per language the Poisson distribution function, up to where it is 1 in double precision."""
+    """Per language the number of equal parts of its mean, and the distribution function of one part.
+
+    A Poisson number is the sum of independent ones over the parts of its mean. No part is above ``_LARGEST_MEAN``, so a
+    ladder has at most 130 steps and ends where the function is 1 in double precision, whatever the mean.
+    """
+    parts = F.greatest(F.ceil(F.col("mean") / F.lit(_LARGEST_MEAN)), F.lit(1))
+    split = rates.select("lang", parts.cast("int").alias("parts"), (F.col("mean") / parts).alias("mean"))
     last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 30)
-    terms = rates.select("lang", "mean", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    terms = split.select("lang", "parts", "mean", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
     upto = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     log_factorial = F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(upto)
     terms = terms.withColumn("p", F.exp(F.col("k") * F.log("mean") - F.col("mean") - log_factorial))
     cumulative = terms.withColumn("cdf", F.sum("p").over(upto))
-    return cumulative.groupBy("lang").agg(F.array_sort(F.collect_list("cdf")).alias("ladder"))
+    return cumulative.groupBy("lang", "parts").agg(F.array_sort(F.collect_list("cdf")).alias("ladder"))
 
 
 def sample_languages_rate(lines: DataFrame, alpha: float, key: Sequence[str], size: int | None = None, seed: int = 1) -> DataFrame:
     """Scale form of ``sample_languages``: each line is repeated Poisson(rate) times.
 
-    No line is shuffled; the size is met in expectation. ``copy`` numbers the repeats from 1.
+    No line is shuffled; the size is met in expectation. ``copy`` numbers the repeats from 1. The draw of a
+    line's first part is that of its key, further parts have draws of their own.
     """
     weights = alpha_weights(language_composition(lines), alpha)
     wanted = F.lit(float(size)) if size is not None else F.sum("lines").over(_everything()).cast("double")
     ladders = poisson_ladder(weights.withColumn("mean", F.col("weight") * wanted / F.col("lines")))
-    drawn = lookup(lines, ladders, ["lang"]).withColumn("_u", uniform(seed, F.lit("copies"), *key))
-    copies = F.size(F.filter("ladder", lambda c: c <= F.col("_u")))
-    repeated = drawn.withColumn("_copies", copies).filter(F.col("_copies") > 0).drop("ladder", "_u")
-    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    drawn = lookup(lines, ladders, ["lang"])
+
+    def copies(chance: Column) -> Column:
+        return F.size(F.filter("ladder", lambda c: c <= chance))
+
+    further = F.aggregate(F.when(F.col("parts") > 1, F.sequence(F.lit(2), F.col("parts"))).otherwise(F.array().cast("array<int>")), F.lit(0),
+                          lambda sum_, part: sum_ + copies(uniform(seed, F.lit("copies"), part, *key)))
+    repeated = drawn.withColumn("_copies", copies(uniform(seed, F.lit("copies"), *key)) + further).filter(F.col("_copies") > 0)
+    return repeated.drop("ladder", "parts").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")

@@ -16,17 +16,22 @@ def seeded_shuffle(df: DataFrame, key: Sequence[str], seed: int = 1, name: str =
     return rank_by_hash(df, seed, key, name=name)
 
 
-def split_ratio(df: DataFrame, key: Sequence[str], train: float, dev: float, seed: int = 1) -> DataFrame:
+def split_ratio(df: DataFrame, key: Sequence[str], train: float, dev: float, seed: int = 1, position: str | None = None) -> DataFrame:
+    """Shares of the seeded shuffle; ``position`` names a column for the place in it, in which order to write."""
     if not (0 < train < 1 and 0 < dev < 1 and train + dev <= 1):
         raise ValueError("need 0 < train, dev < 1 and train + dev <= 1")
     ranked = rank_by_hash(df, seed, key, name="_rank", total="_n")
     first, second = F.ceil(F.col("_n") * train), F.ceil(F.col("_n") * dev)
     split = (F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= first + second, "dev").otherwise("test"))
-    return ranked.withColumn("split", split).drop("_rank", "_n")
+    return _placed(ranked.withColumn("split", split), position)
+
 
+def _placed(ranked: DataFrame, position: str | None) -> DataFrame:
+    return ranked.drop("_n").withColumnRenamed("_rank", position) if position else ranked.drop("_rank", "_n")
 
-def split_absolute(df: DataFrame, key: Sequence[str], dev: int, test: int, seed: int = 1) -> DataFrame:
-    """The last ``dev + test`` rows of the shuffle become dev, then test."""
+
+def split_absolute(df: DataFrame, key: Sequence[str], dev: int, test: int, seed: int = 1, position: str | None = None) -> DataFrame:
+    """The last ``dev + test`` rows of the shuffle become dev, then test; ``position`` as for ``split_ratio``."""
     if dev + test <= 0:
         raise ValueError("dev + test must be positive")
     ranked = rank_by_hash(df, seed, key, name="_rank", total="_n")
@@ -34,7 +39,7 @@ def split_absolute(df: DataFrame, key: Sequence[str], dev: int, test: int, seed:
     split = (F.when(F.col("_n") < dev + test, short.cast("string"))
              .when(F.col("_rank") <= F.col("_n") - (dev + test), "train")
              .when(F.col("_rank") <= F.col("_n") - test, "dev").otherwise("test"))
-    return ranked.withColumn("split", split).drop("_rank", "_n")
+    return _placed(ranked.withColumn("split", split), position)
 
 
 def split_threshold(df: DataFrame, key: Sequence[str], by: Sequence[str] = (), threshold: int = 1792, min_dev: int = 256,
@@ -119,10 +124,10 @@ def shard_of(row_no: Column, total: Column, shards: int) -> Column:
     return F.when(index < few, early).otherwise(late).cast("long") + 1
 
 
-def make_shards(df: DataFrame, shards: int, order: Sequence[str], shuffle_seed: int | None = None) -> DataFrame:
-    """Contiguous shards of the corpus in ``order``, or of its seeded shuffle."""
+def make_shards(df: DataFrame, shards: int, order: Sequence[str], shuffle_seed: int | None = None, position: str | None = None) -> DataFrame:
+    """Contiguous shards of the corpus in ``order``, or of its seeded shuffle; ``position`` names the column of that order."""
     if shuffle_seed is None:
-        numbered = number_rows(df, order, name="_row", total="_n")
+        numbered = number_rows(df, order, name="_rank", total="_n")
     else:
-        numbered = rank_by_hash(df, shuffle_seed, order, name="_row", total="_n")
-    return numbered.withColumn("shard_id", shard_of(F.col("_row"), F.col("_n"), shards)).drop("_row", "_n")
+        numbered = rank_by_hash(df, shuffle_seed, order, name="_rank", total="_n")
+    return _placed(numbered.withColumn("shard_id", shard_of(F.col("_rank"), F.col("_n"), shards)), position)

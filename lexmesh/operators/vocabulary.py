@@ -113,20 +113,25 @@ def assemble_vocab(pieces: DataFrame, size: int, reserved: Sequence[str] = UNIGR
     return head.unionByName(tail)
 
 
-def token_language_counts(tokens: DataFrame, vocab: DataFrame, languages: Sequence[str]) -> DataFrame:
+def token_language_counts(tokens: DataFrame, vocab: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
     """Occurrences of every vocabulary token in every language, zeros kept.
 
     Counts are combined per task before the shuffle; the grid of zeros is the vocabulary with the
-    given languages attached to each row, joined to the counts once per vocabulary row.
+    given languages attached to each row, joined to the counts once per vocabulary row. Without
+    ``languages`` the grid has all languages that occur in ``tokens``.
     """
     counted = tokens.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("_n"))
-    grid = vocab.select("token", F.explode(F.array(*[F.lit(lang) for lang in languages])).alias("lang"))
+    if languages is None:
+        named = counted.agg(F.array_sort(F.collect_set("lang"))).scalar()
+    else:
+        named = F.array(*[F.lit(lang) for lang in languages])
+    grid = vocab.select("token", F.explode(named).alias("lang"))
     return grid.join(counted, ["token", "lang"], "left").select("token", "lang", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
 def attach_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = 3) -> DataFrame:
     """Vocabulary ids by equi-join; unknown tokens get the unknown id."""
-    found = lookup(tokens, vocab.select("token", "id"), ["token"], "left", max_rows=2_000_000)
+    found = lookup(tokens, vocab.select("token", "id"), ["token"], "left")
     return found.withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 

@@ -10,7 +10,7 @@ from lexmesh.functions.text import chunk_pieces, physical_lines, strip, words
 from lexmesh.operators.tagged import IGNORED, POS_LABELS, label_array
 from lexmesh.operators.vocabulary import UNIGRAM_RESERVED, top_ranked, word_frequencies
 from lexmesh.plans.registry import Tables
-from lexmesh.session import pin_small
+from lexmesh.session import stored
 from lexmesh.sources.corpus import record_lines
 
 LINE_KEY = ["doc_id", "line_no"]
@@ -88,7 +88,7 @@ def dims(t: Tables) -> int:
 def _vocab(t: Tables, pieces: DataFrame) -> DataFrame:
     """The commonest pieces, one per embedding row, behind the reserved tokens."""
     room = t.embeddings.count() - len(UNIGRAM_RESERVED)
-    ranked, _ = pin_small(top_ranked(word_frequencies(pieces, "token"), max(room, 0), "n", "token"))
+    ranked = stored(top_ranked(word_frequencies(pieces, "token"), max(room, 0), "n", "token"))
     head = t.spark.createDataFrame([(token, i) for i, token in enumerate(UNIGRAM_RESERVED)], "token string, id long")
     return head.unionByName(ranked.select("token", (F.col("rank") + len(UNIGRAM_RESERVED) - 1).alias("id")))
 

@@ -8,6 +8,7 @@ from lexmesh.operators import clean, language_id, sampling, split
 from lexmesh.plans import sqltext as q
 from lexmesh.plans.bindings import LINE_KEY, doc_lines, lines
 from lexmesh.plans.registry import Tables, query
+from lexmesh.session import scratch_folder
 from lexmesh.sources import corpus
 
 ALPHA = 0.2
@@ -26,18 +27,16 @@ def explode_records(t: Tables):
     return corpus.explode_records(t.documents.select("doc_id", "text"))
 
 
-def _file_languages(t: Tables):
-    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
-    codes = F.array(*[F.lit(c) for c in ("et", "fi", "hu", "ru")])
-    return t.documents.select("source").distinct().select(F.col("source").alias("file"), F.get(codes, number % 4).alias("lang"))
-
-
 @query("scan_language_files", q.with_(q.LINES, """
-SELECT source AS file, ['et','fi','hu','ru'][regexp_extract(source, '(\\d+)$', 1)::INT % 4 + 1] AS lang, doc_id, line_no, line
-FROM lines"""))
+SELECT lang, line, count(*) AS n FROM lines GROUP BY lang, line"""))
 def scan_language_files(t: Tables):
-    found = lines(t).select(F.col("source").alias("file"), "doc_id", "line_no", "line")
-    return corpus.attach_language(found, _file_languages(t)).select("file", "lang", "doc_id", "line_no", "line")
+    """The lines of each language written to files of its own and read back as a collection."""
+    path = scratch_folder(t.spark, "languages")
+    written = lines(t).select("lang", "line")
+    languages = [r["lang"] for r in written.select("lang").distinct().collect()]  # one entry per language
+    written.write.partitionBy("lang").text(path)
+    found = corpus.scan_language_files(t.spark, {lang: [f"{path}/lang={lang}"] for lang in languages})
+    return found.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(t: Tables):

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.text import chunk_pieces
 from lexmesh.operators import embed, projection, scripts, similarity
-from lexmesh.operators.vocabulary import characters
+from lexmesh.operators.vocabulary import attach_ids, characters
 from lexmesh.plans import sqltext as q
 from lexmesh.plans.bindings import dims, embeddings, lines, long_form, new_vocab, old_matrix, old_vocab, tokens
 from lexmesh.plans.registry import Tables, query
-from lexmesh.session import lookup
-from lexmesh.sources.scripts import jvm_script
+from lexmesh.session import lookup, scratch_folder
+from lexmesh.sources.scripts import UNLISTED, expand_ranges, read_script_table, unicode_script_ranges
 from lexmesh.sources.vectors import load_vocab_embeddings as join_vectors
 
 _BASE = (q.LINES, q.TOKENS, q.VOCABS)
@@ -31,7 +31,13 @@ SELECT unicode(ch)::BIGINT AS cp, {q.script('ch')} AS script, count(*) AS n
 FROM (SELECT unnest(string_split(line, '')) AS ch FROM lines) GROUP BY ch"""))
 def load_script_table(t: Tables):
     counted = lines(t).select(F.explode(characters(F.col("line"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.ascii("ch").alias("cp"), jvm_script(F.ascii("ch")).alias("script"), "n")
+    path = scratch_folder(t.spark, "scripts")
+    bound = lambda c: F.lpad(F.hex(c), 4, "0")
+    span = F.when(F.col("cp_from") == F.col("cp_to"), bound("cp_from")).otherwise(F.concat(bound("cp_from"), F.lit(".."), bound("cp_to")))
+    unicode_script_ranges(t.spark).select(F.concat(span, F.lit(" ; "), "script", F.lit(" # listed"))).write.text(path)
+    table = expand_ranges(read_script_table(t.spark, path))
+    points = counted.select(F.ascii("ch").alias("cp"), "n")
+    return lookup(points, table, ["cp"], "left").select("cp", F.coalesce("script", F.lit(UNLISTED)).alias("script"), "n")
 
 
 @query("char_scripts", q.with_(*_BASE, f"""
@@ -243,11 +249,11 @@ def word_position_points(t: Tables):
 words AS (SELECT DISTINCT word FROM tokens),
 alignment AS (SELECT word, unnest(""" + q.pieces("word", 3) + """) AS token FROM words)""", """
 SELECT word, count(*) AS dims, round(sum(value), 4) + 0.0 AS total, round(sum(value * value), 4) + 0.0 AS squares FROM (
-  SELECT word, dim, avg(value) AS value FROM alignment JOIN old_vocab USING (token) JOIN vectors USING (id) GROUP BY word, dim) GROUP BY word"""))
+  SELECT word, dim, avg(value) AS value FROM (SELECT word, coalesce(id, 3) AS id FROM alignment LEFT JOIN old_vocab USING (token)) JOIN vectors USING (id) GROUP BY word, dim) GROUP BY word"""))
 def pool_word_vectors(t: Tables):
     distinct = tokens(t).select("word").distinct()
     pieces = distinct.select("word", F.explode(chunk_pieces(F.col("word"), 3)).alias("token"))
-    alignment = lookup(pieces, old_vocab(t), ["token"]).select("word", "id")
+    alignment = attach_ids(pieces, old_vocab(t)).select("word", "id")
     pooled = embed.pool_word_vectors(alignment, embeddings(t).select("id", "vector"))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)

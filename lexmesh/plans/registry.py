@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmesh.session import spread_small
+from lexmesh.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +21,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def _plain_types(df: DataFrame) -> DataFrame:

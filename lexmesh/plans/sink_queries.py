@@ -61,12 +61,12 @@ def write_ner_json(t: Tables):
     return flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_token_counts", f"SELECT token, sum(n) FILTER (lang = 'de')::BIGINT AS de, sum(n) FILTER (lang = 'en')::BIGINT AS en, "
-       f"sum(n) FILTER (lang = 'es')::BIGINT AS es, sum(n) FILTER (lang = 'fr')::BIGINT AS fr FROM ({ORACLES['token_language_counts']}) GROUP BY token")
+@query("write_token_counts", f"PIVOT ({ORACLES['token_language_counts']}) ON lang USING sum(n)::BIGINT GROUP BY token")
 def write_token_counts(t: Tables):
     path = scratch_folder(t.spark, "counts")
-    writers.write_token_counts(vocab_queries.token_language_counts(t), path, ["de", "en", "es", "fr"])
-    return t.spark.read.option("header", True).schema("token string, de long, en long, es long, fr long").csv(path)
+    languages = sorted(r["lang"] for r in lines(t).select("lang").distinct().collect())  # one entry per language
+    writers.write_token_counts(vocab_queries.token_language_counts(t), path, languages)
+    return t.spark.read.option("header", True).schema(", ".join(["token string", *(f"`{x}` long" for x in languages)])).csv(path)
 
 
 @query("write_composition", ORACLES["language_composition"])

@@ -12,7 +12,7 @@ from lexmesh.plans import sqltext as q
 from lexmesh.plans.bindings import LINE_KEY, lines, tokens, turn_lines
 from lexmesh.plans.registry import Tables, query
 from lexmesh.plans.tagged_queries import sequences
-from lexmesh.session import pin_small
+from lexmesh.session import stored
 
 _SPLIT = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\s\\p{Z}]+"
 
@@ -119,7 +119,7 @@ def assemble_vocab(t: Tables):
 
 @query("encode_corpus")
 def encode_corpus(t: Tables):
-    weights, _ = pin_small(scored_pieces(t))
+    weights = stored(scored_pieces(t))
     total = weights.agg(F.log(F.sum(F.exp("score")))).scalar()
     vocab = vocabulary.assemble_vocab(weights.select("piece", (F.col("score") - total).alias("score")), _VOCAB_SIZE)
     encoded = unigram.encode_lines(lines(t).select("doc_id", "line_no", "lang", "line"), vocab)
@@ -132,14 +132,14 @@ def encode_corpus(t: Tables):
     "counted AS (SELECT token, lang, count(*) AS n FROM seen GROUP BY token, lang)",
     f"words AS (SELECT unnest({q.split_words('line')}) AS token FROM lines)",
     "vocab AS (SELECT DISTINCT token FROM words UNION SELECT unnest(['<s>', '<pad>', '</s>', '<unk>', '<mask>']))",
-    """grid AS (SELECT token, lang FROM vocab, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang))""",
+    """grid AS (SELECT token, lang FROM vocab, (SELECT DISTINCT lang FROM heads))""",
     "SELECT g.token, g.lang, coalesce(c.n, 0) AS n FROM grid g LEFT JOIN counted c USING (token, lang)"))
 def token_language_counts(t: Tables):
     heads = head_per_language(lines(t).select("doc_id", "lang", "line_no", "line"), 100_000, LINE_KEY)
     found = heads.select("lang", F.explode(F.concat(F.array(F.lit("<s>")), words(F.col("line")), F.array(F.lit("</s>")))).alias("token"))
     reserved = t.spark.createDataFrame([(x,) for x in vocabulary.UNIGRAM_RESERVED], "token string")
     vocab = tokens(t).select(F.col("word").alias("token")).unionByName(reserved).distinct()
-    return vocabulary.token_language_counts(found, vocab, ["de", "en", "es", "fr"])
+    return vocabulary.token_language_counts(found, vocab)
 
 
 # --- examples -------------------------------------------------------------------------------------

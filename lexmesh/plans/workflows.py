@@ -30,11 +30,15 @@ def merge_distinct(spark: SparkSession, inputs: list[str], output: str) -> None:
 
 def clean_files(spark: SparkSession, inputs: list[str], output: str, model: language_id.LanguageModel | None = None,
                 language: str = "en", threshold: float = 0.9) -> None:
-    """Merge, deduplicate, drop lines of one language if a model is given, apply the line filters."""
-    lines = clean.dedup_normalized(corpus.scan_lines(spark, inputs), KEY)
+    """Merge in the order of ``inputs``, deduplicate, drop lines of one language if a model is given, apply the line filters.
+
+    Of duplicates the first in input order stays, and the output keeps that order.
+    """
+    order = ["input_no", "line_no"]
+    lines = clean.dedup_normalized(corpus.with_input_order(corpus.scan_lines(spark, inputs), inputs), order)
     if model is not None:
         lines = language_id.filter_language_id(lines, model, language, threshold)
-    writers.write_lines(clean.filter_quality(lines), output, KEY)
+    writers.write_lines(clean.filter_quality(lines), output, order)
 
 
 def detokenize_file(spark: SparkSession, inputs: str | list[str], output: str) -> None:
@@ -51,16 +55,19 @@ def multilingual_set(spark: SparkSession, files: dict[str, list[str]], alpha: fl
 
 
 def shard_file(spark: SparkSession, inputs: str | list[str], output: str, shards: int, seed: int | None = None) -> None:
-    """Contiguous shards; a seed shuffles first."""
-    writers.write_shards(split.make_shards(corpus.scan_lines(spark, inputs), shards, KEY, seed), output, KEY)
+    """Contiguous shards; a seed shuffles first, and each shard is then written in shuffled order."""
+    sharded = split.make_shards(corpus.scan_lines(spark, inputs), shards, KEY, seed, position="position")
+    writers.write_shards(sharded, output, ["position"])
 
 
 def split_file(spark: SparkSession, inputs: str | list[str], output: str, train: float, dev: float, seed: int = 1, drop_blank: bool = False) -> None:
-    writers.write_splits(split.split_ratio(raw_lines(spark, inputs, drop_blank), KEY, train, dev, seed), output, KEY)
+    parts = split.split_ratio(raw_lines(spark, inputs, drop_blank), KEY, train, dev, seed, position="position")
+    writers.write_splits(parts, output, ["position"])
 
 
 def split_file_absolute(spark: SparkSession, inputs: str | list[str], output: str, dev: int, test: int, seed: int = 1, drop_blank: bool = False) -> None:
-    writers.write_splits(split.split_absolute(raw_lines(spark, inputs, drop_blank), KEY, dev, test, seed), output, KEY)
+    parts = split.split_absolute(raw_lines(spark, inputs, drop_blank), KEY, dev, test, seed, position="position")
+    writers.write_splits(parts, output, ["position"])
 
 
 def downsample_treebank(spark: SparkSession, inputs: str | list[str], output: str, size: int | None = None, eval_size: int | None = None,

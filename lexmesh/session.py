@@ -28,17 +28,13 @@ def build_session(app: str = "lexmesh", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small to fill them with one file split each.
+def spread(df: DataFrame) -> DataFrame:
+    """The frame dealt out over ``spark.lexmesh.input.partitions`` partitions, if that is set; as read otherwise.
 
-    A single small file is one task, however much work each of its rows causes. Larger inputs are
-    returned as they are, so the shuffle never exceeds one split per core.
+    For inputs of a few files that Spark cannot split, on a machine with more cores than files.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < cores * split else df
+    wanted = df.sparkSession.conf.get("spark.lexmesh.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -59,32 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pin_small(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
-    """Turn a result that is expected to be small into a table of known size.
-
-    At most ``max_rows`` + 1 rows reach the driver. If the result fits, it comes back as a local
-    relation and may be broadcast; otherwise it is checkpointed and must be joined by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
-    return cut_lineage(df), False
+def stored(df: DataFrame) -> DataFrame:
+    """A result as a table in the shared folder: computed once, and of a size that the planner knows."""
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 100_000,
-           salts: int = 32) -> DataFrame:
-    """Equi-join a corpus-sized frame to a per-language or per-file table.
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join a corpus-sized frame to a per-language, per-file or per-token table.
 
-    The small side is broadcast only when its counted size is within ``max_rows``. Beyond that the
-    key of a hot group is spread over ``salts`` copies of the lookup rows, so one language holding a
-    third of the corpus does not end up in one task.
+    The small side is stored first, so its bytes are known: Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle beyond, where adaptive execution splits the
+    partitions of a hot key.
     """
-    table, fits = pin_small(small, max_rows)
-    if fits:
-        return big.join(F.broadcast(table), keys, how)
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), F.lit(salts)).cast("int"))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return big.join(stored(small), keys, how)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

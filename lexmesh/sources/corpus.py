@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def read_records(spark: SparkSession, paths: str | list[str], separator: str | N
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
         "file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    placed = lookup(rows, blocks, ["file", "_block"], max_rows=1_000_000)
+    placed = lookup(rows, blocks, ["file", "_block"])
     return placed.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("record_no"), "value")
 
 
@@ -40,10 +40,29 @@ def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", strip(F.col("line"))).filter(F.col("line") != "")
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files under a path, by name, spelt as in the ``file`` column: Spark writes one or three slashes behind ``file:``."""
+    return sorted(re.sub(r"^file:/+", "file:/", file) for file in spark.read.text(path).inputFiles())
+
+
+def _by_file(lines: DataFrame, table: DataFrame) -> DataFrame:
+    named = table.withColumnRenamed("file", "_file")
+    return lookup(lines.withColumn("_file", F.regexp_replace("file", "^file:/+", "file:/")), named, ["_file"]).drop("_file")
+
+
 def scan_language_files(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame:
-    """A language collection (language -> files) as lines tagged ``lang``."""
-    parts = [scan_lines(spark, paths).withColumn("lang", F.lit(lang)) for lang, paths in files.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """A language collection (language -> files) as lines tagged ``lang``: all files are read at once."""
+    named = [(lang, file) for lang, paths in files.items() for path in paths for file in _files(spark, path)]
+    table = spark.createDataFrame(named, "lang string, file string")
+    return _by_file(scan_lines(spark, [p for paths in files.values() for p in paths]), table)
+
+
+def with_input_order(lines: DataFrame, paths: list[str]) -> DataFrame:
+    """Add ``input_no``, the place of the line's file among ``paths`` (a folder's files by name)."""
+    spark = lines.sparkSession
+    named = [(file, i) for i, path in enumerate(paths) for file in _files(spark, path)]
+    order = spark.createDataFrame([(file, i) for i, (file, _) in enumerate(named)], "file string, input_no long")
+    return _by_file(lines, order)
 
 
 def attach_language(lines: DataFrame, files: DataFrame) -> DataFrame:

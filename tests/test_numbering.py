@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.numbering import head_per_group, number_rows, rank_by_hash, running
@@ -42,10 +43,11 @@ def test_keep_is_a_prefix_of_the_full_rank(spark, keep):
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_number_rows_by_checkpoint_equals_window(spark, by):
     df = skewed(spark, 6)
-    small = number_rows(df, ["k"], by=by, total="n")
-    large = number_rows(df, ["k"], by=by, total="n", single_group_rows=10)
-    assert sorted(small.select("k", "g", "row_no", "n").collect()) == sorted(large.select("k", "g", "row_no", "n").collect())
-    assert sorted(number_rows(df, ["k"], by=by, single_group_rows=10).columns) == ["g", "k", "row_no"]
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    plain = df.withColumn("row_no", F.row_number().over(group.orderBy("k")).cast("long")).withColumn("n", F.count(F.lit(1)).over(group))
+    found = number_rows(df, ["k"], by=by, total="n")
+    assert sorted(plain.select("k", "g", "row_no", "n").collect()) == sorted(found.select("k", "g", "row_no", "n").collect())
+    assert sorted(number_rows(df, ["k"], by=by).columns) == ["g", "k", "row_no"]
 
 
 @pytest.mark.parametrize("keep", [1, 50, 5000])
@@ -72,9 +74,17 @@ def test_running_across_chunks(spark, how, inclusive):
             assert found[g, i] == (reduce(seen) if seen else None, reduce(series))
 
 
-def test_lookup_without_broadcast_is_salted_and_complete(spark):
+def test_lookup_is_chosen_by_bytes_and_complete(spark):
     big, small = skewed(spark, 4), spark.createDataFrame([("a", 1), ("b", 2)], "g string, v long")
     expected = sorted(big.join(small, "g", "left").select("k", "g", "v").collect(), key=str)
-    beyond = lookup(big, small, ["g"], "left", max_rows=1, salts=8)
-    assert sorted(beyond.select("k", "g", "v").collect(), key=str) == expected
-    assert "BroadcastHashJoin" in lookup(big, small, ["g"])._jdf.queryExecution().executedPlan().toString()
+    joined = lookup(big, small, ["g"], "left")
+    assert sorted(joined.select("k", "g", "v").collect(), key=str) == expected
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        beyond = lookup(big, small, ["g"], "left")
+        assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
+        assert sorted(beyond.select("k", "g", "v").collect(), key=str) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

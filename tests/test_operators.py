@@ -143,7 +143,8 @@ def sequential_merges(words, count):
 
 def test_bpe_equals_one_merge_at_a_time(spark):
     rng = random.Random(3)
-    for words in (WORDS, {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))): rng.randint(1, 9) for _ in range(60)}):
+    runs = {"aaaa": 10, "xy": 5, "aaaaaaa": 3, "baab": 4, "a\x03\x02b": 6, "\x02\x03": 7}
+    for words in (WORDS, runs, {"a" * k + "b" * (k % 3): k for k in range(1, 12)}, {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))): rng.randint(1, 9) for _ in range(60)}):
         frequencies = frame(spark, list(words.items()), "word string, n long")
         letters = len(set("".join(words)))
         got = bpe.train_bpe(frequencies, letters + 5 + 25, rounds_per_checkpoint=3).orderBy("rank").collect()

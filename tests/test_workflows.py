@@ -41,6 +41,24 @@ def test_clean_with_a_language_model(spark, corpora):
     assert "Hello there world" not in written(folder / "clean")
 
 
+def test_clean_files_keeps_input_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("The second text has enough words here\nShared line that stands in both files\n")
+    (tmp_path / "b.txt").write_text("Shared line that stands in both FILES\nThe first text has enough words too\n")
+    workflows.clean_files(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt")], str(tmp_path / "out"))
+    found = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert found == ["Shared line that stands in both FILES", "The first text has enough words too", "The second text has enough words here"]
+
+
+def test_shuffled_shards_are_written_in_shuffled_order(spark, tmp_path):
+    from lexmesh.operators import split
+    (tmp_path / "in.txt").write_text("".join(f"line {i}\n" for i in range(50)))
+    workflows.shard_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), 3, seed=1)
+    lines = workflows.raw_lines(spark, str(tmp_path / "in.txt"))
+    ranked = [r.line for r in split.seeded_shuffle(lines, workflows.KEY, 1).orderBy("position").collect()]
+    found = [line for k in (1, 2, 3) for f in sorted((tmp_path / "out" / f"shard_id={k}").glob("part-*")) for line in f.read_text().splitlines()]
+    assert found == ranked
+
+
 def test_multilingual_set(spark, corpora):
     folder, inputs = corpora
     workflows.multilingual_set(spark, {"a": inputs[:1], "b": inputs[1:]}, 0.2, str(folder / "set"), 40, str(folder / "composition"))
