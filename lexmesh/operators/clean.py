@@ -72,7 +72,12 @@ def filter_quality(lines: DataFrame, max_words: int = 100, max_average: float =
     return filter_alphabet_ratio(filter_long_word(kept, long_word), alphabet)
 
 
+# Punctuation that loses the space before it, and that loses the space behind it.
+CLOSING = r" ([,.;:?!\)\]»“])"
+OPENING = r"([\(\[«„]) "
+
+
 def detokenize_punctuation(lines: DataFrame) -> DataFrame:
     """Drop the space before closing and after opening punctuation."""
-    closed = F.regexp_replace("line", r" ([,.;:?!\)\]»“])", "$1")
-    return lines.withColumn("line", F.regexp_replace(closed, r"([\(\[«„]) ", "$1"))
+    closed = F.regexp_replace("line", CLOSING, "$1")
+    return lines.withColumn("line", F.regexp_replace(closed, OPENING, "$1"))

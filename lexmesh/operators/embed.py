@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.hashing import normal
 from lexmesh.operators.scripts import SPECIAL_CATEGORY, is_special, script_categories
+from lexmesh.operators.similarity import init_by_similarity
 
 
 def _summary(vectors: DataFrame, *by: str) -> DataFrame:
@@ -95,10 +96,12 @@ def init_by_category(old: DataFrame, old_categories: DataFrame, new_categories:
 
 def init_combined(old: DataFrame, new_vocab: DataFrame, dims: int, by_script: bool = False, by_position: bool = False,
                   by_identity: bool = False, seed: int = 1, table: DataFrame | None = None,
-                  reproduce_special_overwrite: bool = False) -> DataFrame:
+                  reproduce_special_overwrite: bool = False, auxiliary: DataFrame | None = None) -> DataFrame:
     """A full new matrix ``(token, id, origin, vector)`` in one pass over the new vocabulary.
 
-    Precedence: identity, special rows, script draw, random start. ``old`` is ``(token, id, vector)``.
+    Precedence: identity, special rows, similarity, script draw, random start. ``old`` is ``(token, id, vector)``.
+    ``auxiliary`` vectors ``(id, aux)`` of the new vocabulary ask for similarity: tokens of both vocabularies keep their
+    old rows, and new ones become weighted means of these.
     By default the special rows stay copies; ``reproduce_special_overwrite`` lets a script draw
     replace them.
     """
@@ -115,16 +118,33 @@ def init_combined(old: DataFrame, new_vocab: DataFrame, dims: int, by_script: bo
         script = F.col("mean").isNotNull()
         if not reproduce_special_overwrite:
             script = script & ~is_special(token)
+    similar = F.lit(False)
+    if auxiliary is not None:
+        described = new_vocab.select("token", "id").join(auxiliary.select("id", "aux"), "id")
+        overlap = described.join(same.withColumnRenamed("_same", "vector"), "token").select("id", "aux", "vector")
+        missing = described.join(same.select("token"), "token", "left_anti").select("id", "aux")
+        rows = rows.join(init_by_similarity(missing, overlap).withColumnRenamed("vector", "_similar"), "id", "left")
+        similar = F.col("_similar").isNotNull()
     origin = (F.when(is_special(token) & F.col("_same").isNotNull() & ~script, "special")
-              .when(F.lit(by_identity) & ~is_special(token) & F.col("_same").isNotNull(), "identity")
+              .when(F.lit(by_identity or auxiliary is not None) & ~is_special(token) & F.col("_same").isNotNull(), "identity")
+              .when(similar, "similarity")
               .when(script, "script").otherwise("random"))
     rows = rows.withColumn("origin", origin)
     drawn = F.when(F.col("origin").isin("special", "identity"), F.col("_same"))
+    if auxiliary is not None:
+        drawn = drawn.when(F.col("origin") == "similarity", F.col("_similar"))
     if by_script:
         drawn = drawn.when(F.col("origin") == "script", category_vector(seed, "id"))
     return rows.select("token", "id", "origin", drawn.otherwise(random_vector(dims, seed, "id")).alias("vector"))
 
 
+def matched_tokens(old: DataFrame, new_vocab: DataFrame) -> DataFrame:
+    """How many tokens of the new vocabulary the old one has: ``matched``, ``new_tokens`` and their ``share``."""
+    both = new_vocab.select("token").join(old.select("token", F.lit(1).alias("_hit")), "token", "left")
+    counts = both.agg(F.count("_hit").alias("matched"), F.count(F.lit(1)).alias("new_tokens"))
+    return counts.withColumn("share", F.try_divide(F.col("matched"), F.col("new_tokens")))
+
+
 # The flag sets offered as presets.
 PRESETS = {
     "script": {"by_script": True},

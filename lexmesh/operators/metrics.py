@@ -126,6 +126,7 @@ def early_stopping_replay(series: DataFrame, patience: int, eval_every: int = 2,
         F.when(early, F.nullif(F.col("_stop") - (patience + 1) * eval_every, F.lit(0))).otherwise(F.col("_best")).cast("long").alias("best_epoch"))
 
 
-def select_best_trial_checkpoint(series: DataFrame) -> DataFrame:
-    """Epoch with the best score per trial, the latest of equals."""
-    return series.groupBy("trial").agg(F.max_by("epoch", F.struct("score", "epoch")).alias("best_epoch"), F.max("score").alias("best_score"))
+def select_best_trial_checkpoint(series: DataFrame, eval_every: int = 1) -> DataFrame:
+    """Epoch with the best score per trial, the latest of equals; only every ``eval_every``-th epoch is judged."""
+    judged = series.filter(F.col("epoch") % eval_every == 0)
+    return judged.groupBy("trial").agg(F.max_by("epoch", F.struct("score", "epoch")).alias("best_epoch"), F.max("score").alias("best_score"))

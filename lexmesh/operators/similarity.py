@@ -48,7 +48,7 @@ def init_by_similarity(new: DataFrame, overlap: DataFrame, tile: int = 4096) ->
     old_tiles = max(1, -(-overlap.count() // tile))
     # toDF gives every use of an input its own columns, so that no cogroup or join is ambiguous
     left = _tiles(new.select("id", "aux").toDF("id", "aux"), "i", "j", new_tiles, old_tiles)
-    right = _tiles(overlap.select("id", "aux", "vector").toDF("id", "aux", "vector"), "j", "i", old_tiles, new_tiles)
+    right = _tiles(overlap.select("id", "aux").toDF("id", "aux"), "j", "i", old_tiles, new_tiles)  # vectors are not needed yet
 
     def candidates(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -18,7 +18,7 @@ from lexmesh.sources.scripts import UNLISTED, expand_ranges, read_script_table,
 from lexmesh.sources.vectors import load_vocab_embeddings as join_vectors
 
 _BASE = (q.LINES, q.TOKENS, q.VOCABS)
-_SPECIAL = "('<s>', '<pad>', '</s>', '<unk>', '<mask>')"
+_SPECIAL = str(scripts.SPECIAL_TOKENS)
 
 
 @query("load_vocab_embeddings", q.with_(*_BASE, "SELECT id, token, dim, round(value, 6) + 0.0 AS value FROM old_vocab JOIN vectors USING (id)"))
@@ -155,8 +155,8 @@ def _moments(categories: str, name: str) -> str:
     return _MOMENTS.replace("moments AS", f"{name} AS").replace("old_cat", categories)
 
 
-_PRESETS = """presets(preset, by_script, by_position, by_identity) AS (VALUES ('script', true, false, false), ('identity', false, false, true),
-  ('script+identity', true, false, true), ('script+position', true, true, false), ('script+pos+ident', true, true, true))"""
+_FLAGS = ", ".join(f"('{name}', {', '.join(str(flag in flags).lower() for flag in ('by_script', 'by_position', 'by_identity'))})" for name, flags in embed.PRESETS.items())
+_PRESETS = f"presets(preset, by_script, by_position, by_identity) AS (VALUES {_FLAGS})"
 
 
 @query("init_presets", q.with_(

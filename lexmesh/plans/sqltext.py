@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lexmesh.operators.tagged import NER_LABELS, POS_LABELS
+from lexmesh.operators.vocabulary import UNIGRAM_RESERVED
+
 # Unicode white space as an RE2 class, plus the separators a Unicode-aware strip also removes.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -60,7 +63,7 @@ TOKENS = f"""tokens AS (
   FROM (SELECT *, {split_words('line')} AS w FROM lines))"""
 
 # labels, predictions and BIO tags made from the words by rule
-POS = "['ADJ','ADP','ADV','AUX','CCONJ','DET','INTJ','NOUN','NUM','PART','PRON','PROPN','PUNCT','SCONJ','SYM','VERB','X']"
+POS = str(list(POS_LABELS))
 _HIT = f"(CASE WHEN substr({digest('pred', 'doc_id', 'line_no', 'word_no')}, 1, 1) = '0' THEN 1 ELSE 0 END)"
 LABELLED = f"""labelled AS (
   SELECT *, CASE WHEN length(word) = 13 THEN '_' ELSE {POS}[length(word) % 17 + 1] END AS label,
@@ -78,10 +81,10 @@ bio AS (
   SELECT *, CASE WHEN NOT cap THEN 'O' WHEN cap_before THEN 'I-' || kind ELSE 'B-' || kind END AS tag,
          CASE WHEN NOT cap THEN 'O' WHEN cap_before THEN 'I-' || pred_kind ELSE 'B-' || pred_kind END AS pred_tag
   FROM capital)"""
-NER = "['O','B-PER','I-PER','B-ORG','I-ORG','B-LOC','I-LOC']"
+NER = str(list(NER_LABELS))
 
 # old and new vocabulary, each with the reserved tokens on ids 0-4
-RESERVED = "reserved(token, id) AS (VALUES ('<s>', 0), ('<pad>', 1), ('</s>', 2), ('<unk>', 3), ('<mask>', 4))"
+RESERVED = f"reserved(token, id) AS (VALUES {str(list(zip(UNIGRAM_RESERVED, range(9))))[1:-1]})"
 VOCABS = f"""{RESERVED},
 old_tokens AS (SELECT unnest({pieces('word', 3)}) AS token FROM tokens),
 old_ranked AS (

@@ -153,8 +153,14 @@ def head_of_files(spark: SparkSession, paths: list[str], max_lines: int) -> Data
 
 
 def initialize_embeddings(old: DataFrame, new_vocab: DataFrame, dims: int, output: str, presets: Sequence[str] = tuple(embed.PRESETS),
-                          seed: int = 1, table: DataFrame | None = None) -> None:
-    """One matrix per preset under ``<output>/<preset>``. ``old`` is ``(token, id, vector)``."""
+                          seed: int = 1, table: DataFrame | None = None, auxiliary: DataFrame | None = None) -> None:
+    """One matrix per preset under ``<output>/<preset>``, and the matched tokens under ``<output>/matched``.
+
+    ``old`` is ``(token, id, vector)``. With ``auxiliary`` vectors of the new vocabulary ``<output>/similarity`` is made too.
+    """
+    embed.matched_tokens(old, new_vocab).write.mode("overwrite").option("header", True).csv(f"{output}/matched")
+    if auxiliary is not None:
+        writers.write_embeddings(embed.init_combined(old, new_vocab, dims, seed=seed, auxiliary=auxiliary), f"{output}/similarity")
     for name in presets:
         matrix = embed.init_combined(old, new_vocab, dims, seed=seed, table=table, **embed.PRESETS[name])
         writers.write_embeddings(matrix, f"{output}/{name}")

@@ -443,3 +443,13 @@ def test_trial_summary_uses_population_deviation(spark):
     df = frame(spark, [("x", 1.0, 2.0), ("x", 3.0, 4.0)], "lang string, score double, epochs double")
     row = metrics.trial_summary(df, ["lang"]).first()
     assert (row.mean_score, row.std_score, row.mean_epochs, row.std_epochs) == (2.0, 1.0, 3.0, 1.0)
+
+
+def test_similarity_as_a_flag(spark):
+    old = frame(spark, [("<s>", 0, [9.0, 9.0]), ("a", 1, [1.0, 0.0]), ("b", 2, [0.0, 1.0])], "token string, id long, vector array<double>")
+    new = frame(spark, [("<s>", 0), ("b", 1), ("c", 2), ("a", 3), ("d", 4)], "token string, id long")
+    aux = frame(spark, [(0, [-1.0, -1.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.0])], "id long, aux array<double>")
+    found = {r.token: r for r in embed.init_combined(old, new, 2, auxiliary=aux).collect()}
+    assert {t: r.origin for t, r in found.items()} == {"<s>": "special", "a": "identity", "b": "identity", "c": "similarity", "d": "random"}
+    assert list(found["b"].vector) == [0.0, 1.0] and list(found["c"].vector) == [0.0, 1.0]  # c's description equals b's
+    assert embed.matched_tokens(old, new).first().asDict() == {"matched": 3, "new_tokens": 5, "share": 0.6}
