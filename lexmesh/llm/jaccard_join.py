@@ -30,7 +30,7 @@ from lexmesh.llm.words import Polynomial, documents, grams, mix, signed
 
 _SHINGLE = Polynomial(31)
 _FREQUENT = 1 << 17
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _SAMPLE = np.uint64(1023)
 _LARGEST_SMALL = 64
 _TEST_COST = 4.0

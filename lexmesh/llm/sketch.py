@@ -24,7 +24,7 @@ from lexmesh.llm.words import mix
 
 MAX_BITS = 28
 _SEGMENTS = 16
-_FLUSH = 1 << 22
+_FLUSH = 1 << 20
 
 
 def bits_for(keys: int, per_key: int = 8) -> int:
@@ -39,11 +39,13 @@ def _positions(keys: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(values, prepend=0).astype(np.uint32).tobytes(), 1)
+    gaps = np.diff(values, prepend=0).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)  # high bytes, mostly zero, lie together
 
 
 def _unpack(payload: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(payload), np.uint32).astype(np.int64))
+    planes = np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
 def _partials(contributions: Iterator[np.ndarray], bits: int, depth: int) -> Iterator[pa.RecordBatch]:
