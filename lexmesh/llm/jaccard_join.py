@@ -9,7 +9,8 @@ others by hash, last those that many texts hold (a bounded table, counted over a
 The size that divides them is where enumerating subsets costs as much as scanning lists, from the list lengths of
 a hash sample of shingles. A shingle of one set alone is never a key, so most sets that are like no other send nothing. Equal sets are one class
 from the start. Inside a list candidates are first tested against a few centres; what that leaves in one component needs
-no further test, and the other pairs of the list are tested exhaustively. Links are decided on whole sets.
+no further test, and of the other pairs of the list all are tested that the distances to the centres allow. Links are decided on
+whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from lexmesh.llm.storage import without, written
 from lexmesh.llm.words import Polynomial, documents, grams, mix, signed
 
 _SHINGLE = Polynomial(31)
-_FREQUENT = 1 << 17
+_FREQUENT = 1 << 15
 _FLUSH = 1 << 21
 _SAMPLE = np.uint64(1023)
 _LARGEST_SMALL = 64
@@ -193,15 +194,17 @@ def _whole_sets(size: int, test):
 
 
 def _overlaps(top: int, bottom: int):
+    """Each pair's decision, from whole sets in integers, and its Jaccard distance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            linked, distance = [], []
             for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(bottom * shared >= top * (len(x) + len(y) - shared))
-            chosen = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], ["u", "v"])
+                either = len(np.union1d(x, y))
+                shared = len(x) + len(y) - either
+                linked.append(bottom * shared >= top * either)
+                distance.append(1 - shared / either)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["u", "v", "linked", "distance"])
     return run
 
 
@@ -222,7 +225,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
     a = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("cid").alias("v"), F.col("shingles").alias("sv"))
     both = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "su", "sv")
-    return both.mapInArrow(_overlaps(threshold.top, threshold.bottom), "u binary, v binary")
+    return both.mapInArrow(_overlaps(threshold.top, threshold.bottom), "u binary, v binary, linked boolean, distance double")
 
 
 def _ordered(pairs: DataFrame, threshold: Threshold) -> DataFrame:
@@ -248,12 +251,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     people = survey.filter("kind = 0").select("doc_id", "row", "n", "cid")
 
     frequent = survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "key").limit(_FREQUENT)
-    known = frequent.collect()  # at most _FREQUENT rows of two numbers
-    boundary = _boundary(survey.filter("kind = 2"), spark.createDataFrame(known, "key long, n long"), threshold)
+    ranked = frequent.collect()  # at most _FREQUENT rows of two numbers
+    boundary = _boundary(survey.filter("kind = 2"), spark.createDataFrame(ranked, "key long, n long"), threshold)
 
     total = people.agg(F.sum("n")).first()[0] or 0
-    shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=2)
-    order = Order(spark, np.array([r["key"] for r in known], np.int64).view(np.uint64), np.array([r["n"] for r in known], np.int64), shared.reader())
+    shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=1)
+    order = Order(spark, np.array([r["key"] for r in ranked], np.int64).view(np.uint64), np.array([r["n"] for r in ranked], np.int64), shared.reader())
     raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, cid binary, n int, room int")
     members = raw.groupBy("key", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
     members = written(members, "keys")
@@ -267,11 +270,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     other = members.select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
     centre = [F.min(F.struct(F.xxhash64("cid", F.lit(s)), "cid", "n", "room")).alias(f"c{s}") for s in range(_CENTRES)]
-    centres = members.groupBy("key").agg(*centre).select("key", F.explode(F.array(*[f"c{s}" for s in range(_CENTRES)])).alias("c"))
-    centres = centres.select("key", F.col("c.cid").alias("b"), F.col("c.n").alias("n_b"), F.col("c.room").alias("room_b")).distinct()
-    centres = written(centres, "centres")
-    tested = written(_ordered(other.join(centres, "key"), threshold), "tested-pairs")
-    links = written(_verified(tested, sets, threshold), "links")
+    chosen = members.groupBy("key").agg(*centre).select("key", F.posexplode(F.array(*[f"c{s}" for s in range(_CENTRES)])).alias("s", "c"))
+    chosen = written(chosen.select("key", "s", F.col("c.cid").alias("b"), F.col("c.n").alias("n_b"), F.col("c.room").alias("room_b")), "centres")
+    centres = chosen.drop("s").distinct()
+    tested = written(_verified(_ordered(other.join(centres, "key"), threshold), sets, threshold), "tested-pairs")
+    links = tested.filter("linked").select("u", "v")
     roots = written(connected(links), "roots")
 
     # pairs of a list that lie in different components: everything outside the list's largest component against all
@@ -280,12 +283,21 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
     largest = written(largest, "divided-lists")
     open_lists = written(placed.join(largest, "key"), "open-lists")
-    rest = open_lists.filter("root <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("root").alias("root_a"))
-    every = open_lists.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("root").alias("root_b"))
+    # distances obey the triangle inequality, so two sets whose distances to a centre differ too much cannot be linked
+    pairs = open_lists.select("key", "cid").join(chosen.select("key", "s", "b"), "key").select(
+        "key", "cid", "s", F.least("cid", "b").alias("u"), F.greatest("cid", "b").alias("v"))
+    known = pairs.join(tested.select("u", "v", "distance"), ["u", "v"]).groupBy("key", "cid").agg(*[F.max(F.when(F.col("s") == s, F.col("distance"))).alias(f"d{s}") for s in range(_CENTRES)])
+    open_lists = written(open_lists.join(known, ["key", "cid"], "left"), "open-lists")
+    far = [f"d{s}" for s in range(_CENTRES)]
+    rest = open_lists.filter("root <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("root").alias("root_a"), *[F.col(d).alias(f"{d}_a") for d in far])
+    every = open_lists.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("root").alias("root_b"), *[F.col(d).alias(f"{d}_b") for d in far])
     need = threshold.pair(F.col("n_a"), F.col("n_b"))
-    apart = rest.join(every, (rest["key"] == every["key"]) & (F.col("root_a") != F.col("root_b")) & (F.least("room_a", "room_b") >= need))
+    possible = (F.col("root_a") != F.col("root_b")) & (F.least("room_a", "room_b") >= need)
+    for d in far:
+        possible &= F.coalesce(F.abs(F.col(f"{d}_a") - F.col(f"{d}_b")) <= 1 - top / bottom + 1e-9, F.lit(True))
+    apart = rest.join(every, (rest["key"] == every["key"]) & possible)
     missing = _ordered(apart, threshold).join(tested, ["u", "v"], "left_anti")
-    links = written(links.unionByName(_verified(missing, sets, threshold)), "links")
+    links = written(links.unionByName(_verified(missing, sets, threshold).filter("linked").select("u", "v")), "links")
     roots = connected(links)
 
     smallest = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")
