@@ -6,7 +6,7 @@ count-min sketches that are merged; an anchor's estimate is never below the numb
 occurs, so windows whose anchor is estimated at one cannot repeat. The second pass groups, exactly and by 128-bit
 digests, only blocks of anchors estimated as repeated. Where an anchor has several different blocks (the
 ends of a copied passage), a sketch of their windows leaves those estimated as repeated for a third pass, which groups
-single windows. Text is moved once, to be rewritten.
+single windows. Only texts that lose something are moved, once, to be rewritten.
 """
 
 from __future__ import annotations
@@ -134,6 +134,14 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate((keys, keys))  # twice each: the filter then answers "is one of these"
 
 
+def _chosen(test: Callable[[np.ndarray], np.ndarray], wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(test(np.asarray(batch.column(1)).view(np.uint64)) == wanted))
+    return run
+
+
 def _repeats_inside(h: np.ndarray, window: int) -> np.ndarray:
     """Starts of windows that also start earlier in the same document."""
     at = np.arange(len(h) - window + 1)
@@ -212,7 +220,13 @@ def remove_repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_col
     repeated = written(windows.groupBy("w1", "w2").agg(*span).filter("first < last"), "repeated-windows")
     later_windows = windows.join(repeated, ["w1", "w2"]).filter(order > F.col("first")).withColumn("count", F.lit(1)).select(place)
     cuts = later_blocks.unionByName(later_windows).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "count")).alias("cuts"))
+    cuts = written(cuts, "cuts")
+
+    # texts without a cut are rewritten where they are read; only the others move
+    moved = repeated_keys(cuts.select("_row"), _several, bits_for(cuts.count(), per_key=16), depth=4)
     same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    placed = rows.join(cuts.hint("shuffle_hash"), same, "left")
+    there = rows.mapInArrow(_chosen(moved.reader(), False), rows.schema).withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))
+    placed = rows.mapInArrow(_chosen(moved.reader(), True), rows.schema).join(cuts.hint("shuffle_hash"), same, "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return placed.select("doc_id", "text", "cuts").mapInArrow(_rewrite(window, keep_text), schema)
+    rewritten = [df.select("doc_id", "text", "cuts").mapInArrow(_rewrite(window, keep_text), schema) for df in (there, placed)]
+    return rewritten[0].unionByName(rewritten[1])
