@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm import decontaminate, jaccard_join, language, line_dedup, pieces
 from lexmesh.llm.queries import SENTENCEPIECE_MODEL
-from lexmesh.llm.storage import written
+from lexmesh.llm.storage import small_batches, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language stays unknown or doubtful, go."""
+    small_batches(spark)
     return language.accepted(docs)
 
 

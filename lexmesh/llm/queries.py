@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmesh.llm import decontaminate, html_text, jaccard_join, language, line_dedup, nearest, pieces, secrets, substring_dedup, warc
+from lexmesh.llm.storage import small_batches
 from lexmesh.session import scratch_folder
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

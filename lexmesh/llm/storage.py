@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmesh.session import scratch_folder
@@ -15,6 +15,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of long texts in thousands of rows, not tens of thousands: a worker holds one batch and what it makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose (doc_id, row) is not in ``gone``; ``row`` is a hash of the text.
 
