@@ -1,7 +1,7 @@
 """Language identification by fusing evidence: text, declared language, address suffix and host.
 
-Text likelihoods come from a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of rows whose
-declared language is a common one. The other three kinds of evidence are counted over all rows, by the language that
+Text likelihoods come from a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of distinct texts of each
+language that enough texts declare. No text model can speak for or against a rarer language, so there the declaration decides. The other three kinds of evidence are counted over all rows, by the language that
 the text alone suggests: how often rows of a language declare each value, how often they lie under each suffix, and how
 the languages of a host are spread. A host's prior is smoothed towards that of its domain, this towards its suffix
 and that towards all rows, so a small host says little and a large one much; a row's own vote is left out of its host's counts.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,19 +90,31 @@ class TextModel:
         return total, count
 
 
+def training_texts(labelled: DataFrame, per_language: int) -> tuple[list[str], DataFrame]:
+    """Languages with ``LEAST_RECORDS`` distinct texts or more among all rows, and about ``per_language`` distinct texts (declared, text) of each.
+
+    Copies count once: what is counted and drawn are hashes of (language, text). Hashes are evenly spread, so the texts whose hash lies in the
+    first ``per_language`` / n of the range are a sample of a language's n texts; a language with fewer gives all.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.withColumn("h", F.xxhash64("declared", "text"))
+    sizes = rows.select("declared", "h").distinct().groupBy("declared").count().filter(F.col("count") >= min(LEAST_RECORDS, per_language)).collect()  # one row per language
+    names = sorted(r["declared"] for r in sizes)
+    # the last hash drawn, in steps of the whole range of 64 bits
+    last = [(r["declared"], min((1 << 63) - 1, -(1 << 63) + (per_language << 64) // r["count"])) for r in sizes]
+    bounds = F.broadcast(spark.createDataFrame(last, "name string, last long"))
+    drawn = rows.join(bounds, (F.col("declared") == F.col("name")) & (F.col("h") <= F.col("last")))
+    return names, drawn.select("declared", "h", "text").dropDuplicates(["declared", "h"]).select("declared", "text")
+
+
 def fit(records: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit on the ``train_rows`` labelled rows of the smallest hash; fewer languages than rows, so the model is bounded."""
-    labelled = records.filter("declared is not null and text is not null").withColumn("h", F.xxhash64("text", "declared"))
-    top = labelled.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    if top is None:
-        return TextModel([], np.zeros((0, BUCKETS)))
-    sample = labelled.filter(F.col("h") <= top)
-    common = [r["declared"] for r in sample.groupBy("declared").count().filter(F.col("count") >= min(LEAST_RECORDS, train_rows)).orderBy("declared").collect()]
+    """Fit on about ``train_rows`` distinct texts of each language that enough of all rows declare."""
+    labelled = records.filter(F.col("text").isNotNull() & (F.col("declared") != UNKNOWN)).select("declared", "text")
+    common, sample = training_texts(labelled, train_rows)
     counts = np.zeros((len(common), BUCKETS))
-    at = {name: i for i, name in enumerate(common)}
-    rows = sample.filter(F.col("declared").isin(common)).select("declared", "text").mapInArrow(_training_counts, "lang string, bucket int, n long")
-    for row in rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x BUCKETS at most
-        counts[at[row["lang"]], row["bucket"]] = row["n"]
+    if common:
+        found = sample.mapInArrow(_training_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
+        counts[pc.index_in(found["lang"], pa.array(common)).to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return TextModel(common, counts)
 
 
@@ -163,8 +176,9 @@ def identify(records: DataFrame, keys: list[str], train_rows: int = TRAIN_ROWS,
     ``records`` has the keys and text, markup (declared language tag), address (URL) and host; each of the last four may be null, which is
     no evidence. The host is taken from the address where it is null. ``lang`` is the most probable language, the
     first in alphabetical order of equals, or ``und``; ``keep`` is false for texts without a letter, for ``und`` and below
-    ``least_posterior``. Repeated rows are each returned and each counted. An empty table, or one in which no language is
-    declared often enough to be learnt, gives ``und`` throughout. Other columns are dropped.
+    ``least_posterior``. A row that declares a language with too few distinct texts for a text model (``LEAST_RECORDS``) and has a letter gets
+    that language with a posterior of 1; ``text_lang`` still says what the text alone suggests. Repeated rows are each returned and each
+    counted. Rows that declare nothing are ``und`` where no language has a text model. Other columns are dropped.
     """
     spark = records.sparkSession
     address = F.col("address").cast("string")
@@ -208,7 +222,9 @@ def identify(records: DataFrame, keys: list[str], train_rows: int = TRAIN_ROWS,
     told = joined.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
     weight = _total(F.transform("fused", lambda x: F.exp(x - F.col("top"))))
     lang = F.get(names, _argmax(F.col("fused")))
-    out = told.select(*keys, F.when(F.col("trigrams") > 0, lang).otherwise(UNKNOWN).alias("lang"), F.when(F.col("trigrams") > 0, 1.0 / weight).otherwise(0.0).alias("posterior"),
+    unlearnt = F.col("declared").isNotNull() & ~F.array_contains(names, F.col("declared"))
+    lang, posterior = F.when(unlearnt, F.col("declared")).otherwise(lang), F.when(unlearnt, 1.0).otherwise(1.0 / weight)
+    out = told.select(*keys, F.when(F.col("trigrams") > 0, lang).otherwise(UNKNOWN).alias("lang"), F.when(F.col("trigrams") > 0, posterior).otherwise(0.0).alias("posterior"),
                       F.coalesce(F.get(names, F.col("best")), F.lit(UNKNOWN)).alias("text_lang"))
     return out.withColumn("keep", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= least_posterior))
 

@@ -211,6 +211,21 @@ def test_languages_of_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(train) + len(odd) - 3
 
 
+def test_rare_languages_and_copies(spark):
+    rows = [(i, f"the house of the man and the water {i} was there", "en") for i in range(600)] + [(1000 + i, "one text that very many rows hold", "en") for i in range(600)]
+    rows += [(2000 + i, f"maja ja mees ning vesi {i} on siin kuskil", "et") for i in range(25)] + [(3000 + i, f"den mann an d'haus mat waasser {i}", "lb") for i in range(3)]
+    rows += [(4000, "mees ja maja on kuskil", None), (4001, "12 %%", "lb"), (4002, "mann an d'haus", None), (4003, "the man was there", "und")]
+    docs = spark.createDataFrame([(i, t, lang, None) for i, t, lang in rows], "doc_id long, text string, lang string, source string")
+    records = language.document_records(docs)
+    found = {r.doc_id: (r.lang, r.keep) for r in language.identify(records, ["doc_id"], train_rows=100).collect()}
+    assert all(found[i] == (lang, True) for i, _, lang in rows if i < 4000)  # et: 2 % of the rows, lb: without a text model
+    assert found[4000] == ("et", True) and found[4001] == ("und", False) and found[4002][0] != "lb" and found[4003] == ("en", True)
+    names, drawn = language.training_texts(records.select(F.col("markup").alias("declared"), "text").filter("declared != 'und'"), 100)
+    held = [tuple(r) for r in drawn.collect()]
+    assert names == ["en", "et"] and len(set(held)) == len(held) and sum(lang == "et" for lang, _ in held) == 25
+    assert 60 < sum(lang == "en" for lang, _ in held) < 140
+
+
 def test_pages_use_markup_and_address(spark):
     pages = [(i, f"https://www.site{i % 3}.de/x", f"<html lang='de-DE'><body><p>das haus und der mann mit dem wasser {i}</body>") for i in range(30)]
     pages += [(100 + i, f"http://news{i % 3}.co/x", f'<html lang="en"><p>the house of the man and the water {i}') for i in range(30)]
