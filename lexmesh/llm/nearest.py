@@ -32,13 +32,13 @@ def _usable(dims: int):
     """One row per distinct vector of a batch with its ids, smallest first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[bytes, list[int]] = {}
+            groups: dict[bytes, set[int]] = {}
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if i is None or not value.is_valid or len(value.values) != dims or value.values.null_count:
                     continue
                 vector = value.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # -0.0 is 0.0
                 if np.isfinite(vector).all() and vector.any():
-                    groups.setdefault(vector.tobytes(), []).append(i)
+                    groups.setdefault(vector.tobytes(), set()).add(i)
             if groups:
                 yield pa.RecordBatch.from_pydict({"vector": pa.array(groups, pa.binary()), "ids": pa.array([sorted(g) for g in groups.values()], pa.list_(pa.int64()))})
     return run
@@ -49,10 +49,10 @@ def distinct_vectors(parts: DataFrame, keep: int) -> DataFrame:
 
     A vector's copies all have the same score for any query, and ties go to smaller ids, so further ids can never be
     among the nearest. They are combined in each task and then in two steps, so a vector that is a third of all
-    rows is never gathered in one place.
+    rows is never gathered in one place. Rows that repeat an id are one before anything is cut off.
     """
-    least = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")
-    spread = parts.select("vector", F.slice("ids", 1, keep).alias("ids")).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
+    spread = parts.select("vector", F.slice(F.array_distinct("ids"), 1, keep).alias("ids")).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
     return spread.groupBy("vector", "part").agg(least).groupBy("vector").agg(least)
 
 
@@ -245,7 +245,7 @@ def _best(keep: int):
     def run(table: pa.Table) -> pa.Table:
         found = {}
         for score, ids in zip(table["score"].to_pylist(), table["ids"].to_pylist()):
-            found.update(dict.fromkeys(ids, score))
+            found.update((i, max(score, found.get(i, score))) for i in ids)
         top = heapq.nsmallest(keep, found.items(), key=lambda x: (-x[1], x[0]))
         return pa.Table.from_pydict({"query": pa.array([table["query"][0].as_py()], pa.int64()), "vec_ids": pa.array([[i for i, _ in top]], pa.list_(pa.int64())),
                                      "scores": pa.array([[s for _, s in top]], pa.list_(pa.float64()))})

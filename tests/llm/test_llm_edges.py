@@ -255,6 +255,15 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.rank) for r in nearest.nearest(few, few.filter("vec_id = 0")).collect()) == [(0, 1), (0, 2)]
 
 
+def test_nearest_of_repeated_rows(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(40)] * 2 + [(50, [2.0, 1.0])] * 30 + [(60 + i, [2.0, 1.0]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in nearest.nearest(vectors.repartition(3), vectors.filter("vec_id in (0, 50)")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [i for _, i in sorted(found[0])] == list(range(1, 21)) and [i for _, i in sorted(found[50])] == list(range(60, 80))
+
+
 def test_extraction(spark):
     menu = "<nav><a href=x>Home</a> <a>About us</a></nav><div class='ad-box'>Buy now</div>"
     foot = "<p>All rights reserved by the owner of this site since long ago</p>"
