@@ -277,6 +277,23 @@ def test_extraction(spark):
     assert found == {k: len(k[1]) for k in wanted}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a <svg width='5'/> b</p><p>c</article>", "a b\nc"),
+    ("<article><p>a <svg><path class=share d='x'/><p>b</p></article>", "a\nb"),
+    ("<article><p>a <svg><title>t</title><text>no</text></svg> b</p>c</article>", "a b\nc"),
+    ("<article><p>x <math><mi>y</mi><mo>=</mo><mspace/><mn>2</mn></math> z<math/></p><p>q</article>", "x y=2 z\nq"),
+    ("<article><div><select><option>no</div><p>b</article>", "b"),
+    ("<article><select><option>no<p>b</article>", "b"),
+    ("<article><div><video src=x>no</div><p>b<canvas>no</p><p>c</article>", "b\nc"),
+    ("<article><object data=x><param name=a><p>kept</p></object><p>c</article>", "kept\nc"),
+    ("<article><div><object data=x></div><p>b</article>", "b"),
+    ("<article><p>a<template><p>no</p></template>b<noscript><div>no</div></noscript>c</article>", "abc"),
+    ("<article><p>a<script>'<p>'</script>b<style>p{}</style><textarea><p>no</textarea>c</article>", "abc"),
+])
+def test_elements_without_text_end_with_their_parent(page, text):
+    assert "\n".join(t for t, article, chrome in html_text.blocks(page) if article and not chrome) == text
+
+
 def test_suffix_order_agrees_with_sorting():
     rng = np.random.default_rng(2)
     for depth in (1, 2, 3, 8):
