@@ -277,6 +277,20 @@ def test_extraction(spark):
     assert found == {k: len(k[1]) for k in wanted}
 
 
+def test_boilerplate_of_a_host(spark):
+    own = lambda i, n=30: " ".join(f"w{i}x{k}" for k in range(n))
+    plea = "<p>Please subscribe to our weekly letter and never miss a story"
+    phrase = "this is one of the most common phrases that people use"
+    rows = [(i, "http://marked/", f"<article><p>{own(i)}{plea}</article>") for i in range(10)] + [(10 + i, "http://marked/", f"<article><p>{own(99)}<p>{own(98)}</article>") for i in range(4)]
+    rows += [(20 + i, "http://copies/", f"<p>{own(20)}<p>{own(21)}") for i in range(2)] + [(30 + i, "http://open/", f"<p>{own(i)} {phrase if i < 4 else ''} {own(i + 50)}{plea}") for i in range(40)]
+    rows += [(80 + i, "http://near/", f"<article><h1>Copy {i}</h1><p>{own(80)}</article>") for i in range(5)] + [(90 + i, "http://two/", f"<article><p>{own(90 + i)}{plea}</article>") for i in range(2)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(found[i].startswith(f"{own(i)}\nPlease") for i in range(10)) and all(found[10 + i] == f"{own(99)}\n{own(98)}" for i in range(4))
+    assert all(found[20 + i] == f"{own(20)}\n{own(21)}" for i in range(2))
+    assert all(found[30 + i] == " ".join(f"{own(i)} {phrase if i < 4 else ''} {own(i + 50)}".split()) for i in range(40))
+    assert all(found[80 + i] == f"Copy {i}\n{own(80)}" for i in range(5)) and found[90].startswith(own(90)) and "letter" in found[90]
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article><p>a <svg width='5'/> b</p><p>c</article>", "a b\nc"),
     ("<article><p>a <svg><path class=share d='x'/><p>b</p></article>", "a\nb"),
