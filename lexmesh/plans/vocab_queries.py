@@ -9,7 +9,7 @@ from lexmesh.operators import bpe, examples, unigram, vocabulary
 from lexmesh.operators.split import head_per_language
 from lexmesh.operators.tagged import NER_LABELS, index_of
 from lexmesh.plans import sqltext as q
-from lexmesh.plans.bindings import LINE_KEY, lines, tokens, turn_lines
+from lexmesh.plans.bindings import LINE_KEY, lines, tokens
 from lexmesh.plans.registry import Tables, query
 from lexmesh.plans.tagged_queries import sequences
 from lexmesh.session import stored
@@ -89,13 +89,9 @@ def bpe_pair_counts(t: Tables):
     return first_pairs(t)
 
 
-def _turn_frequencies(t: Tables):
-    return vocabulary.word_frequencies(turn_lines(t).select(F.explode(words(F.col("line"))).alias("word")))
-
-
 @query("train_unigram")
 def train_unigram(t: Tables):
-    pieces = unigram.train_unigram(_turn_frequencies(t), vocab_size=400, seed_size=1500)
+    pieces = unigram.train_unigram(frequencies(t), vocab_size=32_768)
     return pieces.withColumn("score", F.round("score", 6))
 
 

@@ -35,3 +35,9 @@ def test_query(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_unigram_pieces_come_from_the_whole_corpus(spark):
+    pieces = {r.piece for r in entry.queries()["train_unigram"](spark, TESTDATA).collect()}
+    text = {c for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect() for c in r.text if not c.isspace()}
+    assert len(pieces) > 400 and len(text - pieces) <= len(text) // 100
