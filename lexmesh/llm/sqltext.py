@@ -103,6 +103,27 @@ d AS (SELECT page_id, url, n, trim(regexp_replace(block, '[\x20\x09-\x0D]+', ' '
 e AS (SELECT page_id, any_value(url) AS url, coalesce(string_agg(block, chr(10) ORDER BY n) FILTER (block <> ''), '') AS text FROM d GROUP BY page_id)
 SELECT page_id, url, text, length(text) AS n_chars FROM e"""
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, size, list_slice(ws, i, i + size - 1) AS ws
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM pieces, range(1, 5) s(size))),
+f AS (SELECT lang, size, ws, count(*) AS a FROM grams GROUP BY ALL),
+candidates AS (SELECT * FROM f WHERE size >= 2 AND a >= 30),
+cuts AS (SELECT c.lang, c.ws, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, k) JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, k + 1, c.size)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, a, list_slice(ws, i, i + part - 1) AS ws
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM candidates, range(2, 4) p(part) WHERE part < size)),
+longer AS (SELECT lang, ws, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN longer g USING (lang, ws)
+  WHERE g.most IS NULL OR 100 * g.most < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op3_secret_scan": SECRETS,
     "op4_decontamination": DECONTAMINATION,
@@ -111,4 +132,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": ARCHIVES,
     "op9_jaccard_join": JACCARD,
     "op10_html_text": MAIN_TEXT,
+    "op11_collocations": COLLOCATIONS,
 }
