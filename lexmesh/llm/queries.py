@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import collocations, decontaminate, html_text, jaccard_join, language, line_dedup, nearest, pieces, secrets, substring_dedup, warc
+from lexmesh.llm import collocations, decontaminate, divergence, html_text, jaccard_join, language, line_dedup, nearest, pieces, secrets, substring_dedup, warc
 from lexmesh.llm.storage import small_batches
 from lexmesh.session import scratch_folder
 
@@ -65,4 +65,8 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text, op11_collocations)}
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text, op11_collocations, op13_source_divergence)}

@@ -108,22 +108,41 @@ WITH pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
 sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
-grams AS (SELECT lang, size, list_slice(ws, i, i + size - 1) AS ws
+grams AS (SELECT lang, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS phrase
   FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM pieces, range(1, 5) s(size))),
-f AS (SELECT lang, size, ws, count(*) AS a FROM grams GROUP BY ALL),
-candidates AS (SELECT * FROM f WHERE size >= 2 AND a >= 30),
-cuts AS (SELECT c.lang, c.ws, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
-  JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, k) JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, k + 1, c.size)),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
-inner_parts AS (SELECT lang, a, list_slice(ws, i, i + part - 1) AS ws
+f AS MATERIALIZED (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2),
+parts AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, f.a AS l, g.a AS r, (2000000::HUGEINT * c.a) // (f.a + g.a) AS score
+  FROM parts c JOIN f ON f.lang = c.lang AND f.phrase = c.x JOIN f g ON g.lang = c.lang AND g.phrase = c.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, a, array_to_string(ws[i:i + part - 1], ' ') AS phrase
   FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM candidates, range(2, 4) p(part) WHERE part < size)),
-longer AS (SELECT lang, ws, max(a) AS most FROM inner_parts GROUP BY ALL),
-kept AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN longer g USING (lang, ws)
-  WHERE g.most IS NULL OR 100 * g.most < 80 * b.a)
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.most IS NULL OR 100 * g.most < 80 * b.a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000"""
 
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS everywhere FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = d.lang) AS v FROM (SELECT DISTINCT lang FROM d) d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (n.n + v.v))::BIGINT AS p
+  FROM n JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (everywhere + 1)) // (sum(everywhere) OVER (PARTITION BY lang) + v))::BIGINT AS q FROM kept JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200"""
+
 ORACLES: dict[str, str] = {
     "op3_secret_scan": SECRETS,
     "op4_decontamination": DECONTAMINATION,
@@ -133,4 +152,5 @@ ORACLES: dict[str, str] = {
     "op9_jaccard_join": JACCARD,
     "op10_html_text": MAIN_TEXT,
     "op11_collocations": COLLOCATIONS,
+    "op13_source_divergence": DIVERGENCE,
 }
