@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmesh.llm import collocations, decontaminate, divergence, html_text, jaccard_join, language, line_dedup, nearest, pieces, secrets, substring_dedup, warc
+from lexmesh.llm import collocations, decontaminate, divergence, html_text, jaccard_join, language, line_dedup, nearest, packing, pieces, secrets, substring_dedup, warc
 from lexmesh.llm.storage import small_batches
 from lexmesh.session import scratch_folder
 
@@ -65,8 +66,12 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
+def op12_packing(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text, op11_collocations, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_sentencepiece, op7_substring_dedup, op8_warc, op9_jaccard_join, op10_html_text, op11_collocations, op12_packing, op13_source_divergence)}

@@ -50,10 +50,12 @@ def slices(column: pa.Array | pa.ChunkedArray, word: np.ndarray) -> Iterator[Sli
         row += 1
 
 
-def words(data: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end, row within the slice) of every word; a word ends where its row ends."""
+def words(data: np.ndarray, starts: np.ndarray, word: np.ndarray, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, row within the slice) of every word; a word ends where its row ends, and before each byte in ``split``."""
     inside = word[data]
     border = np.zeros(len(data) + 1, bool)
+    if split is not None:
+        border[:-1] = split
     border[starts] = True
     border[-1] = True
     before = np.zeros(len(data), bool)
