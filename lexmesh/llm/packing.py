@@ -6,7 +6,8 @@ long, at every 64th token; cuts inside a document cost a penalty. A sequence cos
 power of two. With cost c(i) of the best cuts up to position x(i), the next cut j takes the smallest c(i) + x(i) of the
 positions that lie at most a width back: the front of a monotone queue. Powers of two are looked up as further edges.
 Cuts are settled for about a million tokens at a time, at the cheapest position of the last width, and what lies
-behind goes on from there: memory does not grow with documents or tasks, and only a task's last sequence is forced.
+behind goes on from there: memory does not grow with documents or tasks. Only a task's end is forced; near it every
+token may be a cut, so that the rest falls into powers of two.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ class Encoder:
     """Token ids of texts.
 
     Texts are cut at white space and between letters and other signs, where the model's own words end in any case (an
-    apostrophe stays with its letters, other characters beyond ASCII with what follows them). Each different part is encoded once while it is remembered:
-    plain words by the model alone, others with all that the tokenizer does to a text.
+    apostrophe stays with its letters, other characters beyond ASCII with what follows them, and what may hold a special
+    token stays whole). Each different part is encoded once while it is remembered: plain words by the model alone, others with all that the tokenizer does to a text.
     """
 
     def __init__(self, path: str):
@@ -106,6 +107,12 @@ class Encoder:
         other = _OTHER[data]
         split = np.zeros(len(data), bool)
         split[1:] = _letters(data, False)[:-1] & other[1:] | other[:-1] & _letters(data, True)[1:]
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if len(special):  # may be a special token, which is found in the text as it is
+            chunk = np.cumsum(~_WORD[data])
+            whole = np.isin(chunk, chunk[special])
+            split &= ~whole
+            data = np.where(whole, part.data, data)
         first, end, row = runs.words(data, part.starts, _WORD, split)
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(part.starts), np.int64), np.zeros(0, np.int64)
@@ -210,10 +217,19 @@ class Packer:
         while closed > self.start and (last or closed - self.start >= self.horizon):
             at, penalty = np.concatenate(self.at), np.concatenate(self.penalty)
             high = int(np.searchsorted(at, min(closed, self.start + self.horizon), side="right"))
-            cuts = best_cuts(np.concatenate(([self.start], at[:high])), np.concatenate(([0], penalty[:high])), self.width, last and at[high - 1] == closed)
-            yield self._pieces(np.concatenate(([self.start], at))[cuts])
-            self.at, self.penalty = [at[cuts[-1]:]], [penalty[cuts[-1]:]]
-            self.start = int(at[cuts[-1] - 1])
+            places, penalties = at[:high], penalty[:high]
+            whole = last and places[-1] == closed
+            if whole:  # the end is forced: cuts anywhere near it let the rest fall into powers of two
+                more = np.setdiff1d(np.arange(max(self.start + 1, closed - 2 * self.width), closed), places)
+                places, penalties = np.concatenate((places, more)), np.concatenate((penalties, np.full(len(more), OTHER_CUT)))
+                order = np.argsort(places, kind="stable")
+                places, penalties = places[order], penalties[order]
+            cuts = best_cuts(np.concatenate(([self.start], places)), np.concatenate(([0], penalties)), self.width, whole)
+            chosen = np.concatenate(([self.start], places))[cuts]
+            yield self._pieces(chosen)
+            keep = int(np.searchsorted(at, chosen[-1], side="right"))
+            self.at, self.penalty = [at[keep:]], [penalty[keep:]]
+            self.start = int(chosen[-1])
             self.docs = [d for d in self.docs if d[2] < 0 or d[2] > self.start]
 
     def _pieces(self, cuts: np.ndarray) -> pa.RecordBatch:

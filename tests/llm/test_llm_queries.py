@@ -29,7 +29,7 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in entry.queries() if q.startswith("op") and q[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_secret_scan_runs_no_python(spark):
