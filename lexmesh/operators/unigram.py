@@ -1,25 +1,25 @@
 """Unigram vocabulary training and segmentation.
 
-Words, expected counts and pruning losses are distributed; a task only needs the piece table,
-which is bounded by the seed size.
+Words lie in blocks whose substrings are numbered once; piece tables, expected counts and pruning losses are DataFrames.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmesh.functions.text import WORD_INITIAL
+from lexmesh.functions.text import WORD_INITIAL, words
+from lexmesh.operators.lattice import Lattice
 from lexmesh.operators.vocabulary import largest
-from lexmesh.session import cut_lineage
+from lexmesh.session import cut_lineage, stored
 
-PIECES = "piece string, score double"
+_BLOCK_WORDS = 1 << 13
 _MEMO_ENTRIES = 200_000
 _UNKNOWN_PENALTY = 10.0
 
@@ -42,180 +42,222 @@ def seed_vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return single.unionByName(largest(longer, size, "weight", "piece"))
 
 
-def best_segmentation(text: str, scores: dict[str, float], longest: int, unknown: float, forbid: str | None = None) -> tuple[float, list[str]]:
-    """Highest-scoring split of ``text`` into pieces; a character without a piece costs ``unknown``."""
-    n, find = len(text), scores.get
-    best, back = [0.0], [0]
-    for end in range(1, n + 1):
-        single = end - 1
-        top, at = best[single] + unknown, single
-        for start in range(max(0, end - longest), end):
-            piece = text[start:end]
-            score = find(piece)
-            if score is not None and best[start] + score > top and piece != forbid:
-                top, at = best[start] + score, start
-        best.append(top)
-        back.append(at)
-    pieces, end = [], n
-    while end:
-        pieces.append(text[back[end]:end])
-        end = back[end]
-    return best[n], pieces[::-1]
-
-
-def _add_expected(text: str, n: float, scores: dict[str, float], longest: int, totals: dict[str, float]) -> None:
-    size = len(text)
-    arcs = [[(end, scores[text[start:end]]) for end in range(start + 1, min(size, start + longest) + 1) if text[start:end] in scores]
-            for start in range(size)]
-    forward, backward = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0]
-    for start in range(size):
-        for end, score in arcs[start]:
-            forward[end] = np.logaddexp(forward[end], forward[start] + score)
-    for start in range(size - 1, -1, -1):
-        for end, score in arcs[start]:
-            backward[start] = np.logaddexp(backward[start], backward[end] + score)
-    if forward[size] == -math.inf:
-        return
-    for start in range(size):
-        for end, score in arcs[start]:
-            mass = forward[start] + score + backward[end] - forward[size]
-            piece = text[start:end]
-            totals[piece] = totals.get(piece, 0.0) + n * math.exp(mass)
-
-
-def _digamma(x: float) -> float:
-    shift = 0.0
-    while x < 7:
-        shift -= 1.0 / x
-        x += 1.0
-    inverse = 1.0 / (x * x)
-    return shift + math.log(x) - 0.5 / x - inverse * (1 / 12 - inverse * (1 / 120 - inverse / 252))
-
-
-def _expected_counts(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
-    shared = words.sparkSession.sparkContext.broadcast(scores)
-    longest = max(map(len, scores))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, float] = {}
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, _BLOCK_WORDS):
+            part = batch.slice(low, _BLOCK_WORDS)
+            bounds = pa.array([0, part.num_rows], pa.int32())
+            columns = [pa.ListArray.from_arrays(bounds, c.cast(t)) for c, t in zip(part.columns, (pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "n"])
+
+
+def _substrings(longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, n in zip(batch["w"], batch["n"]):
-                _add_expected(text, float(n), shared.value, longest, totals)
-        if totals:
-            yield pd.DataFrame({"piece": list(totals), "expected": list(totals.values())})
+            for block, words, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = Lattice(words, longest)
+                pieces = found.pieces()
+                counts = found.counts(np.array(n, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), block)), pa.array(np.arange(len(pieces)), pa.int32()), pa.array(pieces, pa.string()), pa.array(counts)],
+                                                 ["block", "code", "piece", "n"])
+    return run
 
-    partial = words.mapInPandas(count, "piece string, expected double")
-    rows = partial.groupBy("piece").agg(F.sum("expected").alias("expected")).collect()  # at most one row per piece
-    return {r.piece: r.expected for r in rows}
 
+def in_blocks(words: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of ``words`` (w, n); the distinct substrings of each block with their number and occurrences), both as tables."""
+    blocks = stored(words.select("w", "n").mapInArrow(_blocks, "words array<string>, n array<long>").withColumn("block", F.monotonically_increasing_id()))
+    return blocks, stored(blocks.select("block", "words", "n").mapInArrow(_substrings(longest), "block long, code int, piece string, n long"))
 
-def _normalised(expected: dict[str, float]) -> dict[str, float]:
-    kept = {p: c for p, c in expected.items() if c >= 0.5 or len(p) == 1}
-    total = _digamma(sum(kept.values()))
-    return {p: _digamma(max(c, 1e-6)) - total for p, c in kept.items()}
 
+def _attached(blocks: DataFrame, held: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each block with the pieces that occur in it: their number in the block, id and score."""
+    own = held.join(scores.select("id", "score"), "id").groupBy("block").agg(F.collect_list(F.struct("code", "id", "score")).alias("own"))
+    return blocks.join(own, "block").select("words", "n", "own")
 
-def _losses(words: DataFrame, scores: dict[str, float], expected: dict[str, float]) -> dict[str, float]:
-    """Likelihood lost by re-segmenting each piece without itself, computed over the piece table."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(scores)
-    longest, unknown = max(map(len, scores)), min(scores.values()) - _UNKNOWN_PENALTY
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _per_block(longest: int, compute, names: list[str]):
+    """Runs ``compute(lattice, scores by number, n, ids by number)`` on every block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            loss = [n * (shared.value[p] - best_segmentation(p, shared.value, longest, unknown, forbid=p)[0])
-                    for p, n in zip(batch["piece"], batch["n"])]
-            yield pd.DataFrame({"piece": batch["piece"], "loss": loss})
+            for i in range(batch.num_rows):
+                lattice = Lattice(batch.column(0)[i].as_py(), longest)
+                code, ids, score = (batch.column(2)[i].values.field(k).to_numpy() for k in range(3))
+                scores, names_of = np.full(len(lattice.example), -np.inf), np.full(len(lattice.example), -1)
+                scores[code], names_of[code] = score, ids
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in compute(lattice, scores, np.array(batch.column(1)[i].as_py(), np.int64), names_of)], names)
+    return run
+
+
+def expected_counts(blocks: DataFrame, held: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
+    """(id, expected): uses of each piece, expected over all segmentations of all words."""
+    def compute(lattice, values, n, ids):
+        found = lattice.expected(values, n)
+        return ids[ids >= 0], found[ids >= 0]
+
+    partial = _attached(blocks, held, scores).mapInArrow(_per_block(longest, compute, ["id", "expected"]), "id long, expected double")
+    return partial.groupBy("id").agg(F.sum("expected").alias("expected"))
+
+
+def _digamma(x: Column) -> Column:
+    y, shift = x + 7, sum((1 / (x + k) for k in range(7)), F.lit(0.0))
+    inverse = 1 / (y * y)
+    return F.log(y) - 0.5 / y - inverse * (1 / 12 - inverse * (1 / 120 - inverse / 252)) - shift
+
+
+def maximised(scores: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, size, expected, score) of the pieces expected half a time at least, and of all single characters."""
+    counted = scores.select("id", "size").join(expected, "id", "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    kept = stored(counted.filter((F.col("expected") >= 0.5) | (F.col("size") == 1)))
+    total = kept.agg(_digamma(F.sum("expected"))).first()[0]
+    return kept.withColumn("score", _digamma(F.greatest("expected", F.lit(1e-6))) - F.lit(total))
+
+
+def losses(blocks: DataFrame, held: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
+    """(id, loss): likelihood lost by spelling each longer piece with the others. In these blocks words are pieces and n is their id."""
+    def compute(lattice, values, n, ids):
+        split = lattice.best(values, split=True)[0]
+        whole = np.full(len(n), -np.inf)
+        spans = (lattice.start == lattice.first[lattice.word]) & (lattice.end == lattice.last[lattice.word])
+        whole[lattice.word[spans]] = values[lattice.piece[spans]]
+        here = np.isfinite(whole)
+        return n[here], whole[here] - split[here]
 
-    rows = [(p, float(expected.get(p, 0.0))) for p in scores if len(p) > 1]
-    if not rows:
-        return {}
-    pieces = spark.createDataFrame(rows, "piece string, n double").repartition(spark.sparkContext.defaultParallelism)
-    return {r.piece: r.loss for r in pieces.mapInPandas(score, "piece string, loss double").collect()}
+    apart = _attached(blocks, held, scores).mapInArrow(_per_block(longest, compute, ["id", "apart"]), "id long, apart double")
+    return scores.join(apart, "id").select("id", (F.col("expected") * F.col("apart")).alias("loss"))
 
 
 def train_unigram(frequencies: DataFrame, vocab_size: int, seed_size: int = 1_000_000, max_length: int = 16, reserved: int = 5,
                   em_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
     """Pieces ``(piece, score)`` of a unigram vocabulary; all single characters are kept.
 
-    Expectation-maximisation alternates with dropping the pieces whose removal costs least.
+    Expectation-maximisation alternates with dropping the pieces whose removal costs least. The piece table is a
+    DataFrame throughout: blocks of words receive the scores of the pieces that occur in them and send expected counts,
+    and the driver sees row counts alone. Null and empty words are left out.
     """
-    spark = frequencies.sparkSession
     marked = frequencies.filter(F.col("word") != "").select(F.concat(F.lit(WORD_INITIAL), F.col("word")).alias("w"), F.col("n").cast("long").alias("n"))
-    words = cut_lineage(marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w"))
-    counts = seed_pieces(words.select(F.substr("w", F.lit(2)).alias("word"), "n"), max_length)
-    seeds = {r.piece: float(r.weight) for r in seed_vocabulary(counts, seed_size).collect()}  # bounded by seed_size
-    log_total = math.log(sum(seeds.values()))
-    scores = {p: math.log(w) - log_total for p, w in seeds.items()}
+    spark = frequencies.sparkSession
+    blocks, local = in_blocks(marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w"), max_length)
+    counts = local.groupBy("piece").agg(F.sum("n").alias("n"))
+    seeds = stored(seed_vocabulary(counts, seed_size).withColumn("id", F.monotonically_increasing_id()))
+    held = stored(local.join(seeds.select("piece", "id"), "piece").select("block", "code", "id"))
+    longer = seeds.filter(F.char_length("piece") > 1).select(F.col("piece").alias("w"), F.col("id").alias("n"))
+    own_blocks, own_local = in_blocks(longer, max_length)
+    own_held = stored(own_local.join(seeds.select("piece", "id"), "piece").select("block", "code", "id"))
+    total = seeds.agg(F.log(F.sum("weight"))).first()[0] or 0.0
+    scores = seeds.select("id", F.char_length("piece").alias("size"), (F.log("weight") - F.lit(total)).alias("score"))
     target = max(vocab_size - reserved, 1)
     while True:
         for _ in range(em_rounds):
-            expected = _expected_counts(words, scores)
-            scores = _normalised({p: expected.get(p, 0.0) for p in scores})
-        singles = sum(1 for p in scores if len(p) == 1)
-        room = max(int(shrink * (len(scores) - singles)), target - singles, 0)
-        if len(scores) <= target or len(scores) - singles <= room:
+            scores = stored(maximised(scores, expected_counts(blocks, held, scores, max_length)))
+        pieces, singles = scores.agg(F.count(F.lit(1)), F.count_if(F.col("size") == 1)).first()
+        room = max(int(shrink * (pieces - singles)), target - singles, 0)
+        if pieces <= target or pieces - singles <= room:
             break
-        losses = _losses(words, scores, expected)
-        kept = set(sorted(losses, key=lambda p: (-losses[p], p))[:room])
-        scores = {p: s for p, s in scores.items() if len(p) == 1 or p in kept}
-    return spark.createDataFrame(list(scores.items()), PIECES)
+        kept = largest(losses(own_blocks, own_held, scores, max_length), room, "loss", "id").select("id")
+        scores = stored(scores.filter("size = 1").unionByName(scores.filter("size > 1").join(kept, "id", "left_semi")))
+    return scores.join(seeds.select("id", "piece"), "id").select("piece", "score")
+
+
+class _Vocabulary:
+    """Pieces of a bounded vocabulary; every distinct substring of a block of words is looked up once, however often it occurs in them."""
+
+    def __init__(self, tokens: list[str], ids: np.ndarray, scores: np.ndarray):
+        self.longest = max(map(len, tokens), default=1)
+        self.floor = float(scores.min()) if len(scores) else 0.0
+        self._by_token, self.ids, self.scores = dict(zip(tokens, range(len(tokens)))), ids, scores
+
+    def segmented(self, words: list[str], unknown_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one behind the other; number of ids per word). A run of unknown characters is one unknown piece."""
+        lattice = Lattice(words, self.longest)
+        number = np.fromiter((self._by_token.get(p, -1) for p in lattice.pieces()), np.int64, len(lattice.example))
+        scores = np.where(number >= 0, self.scores[number], -np.inf) if len(self.scores) else np.full(len(number), -np.inf)
+        _, word, piece, known = lattice.best(scores, unknown=self.floor - _UNKNOWN_PENALTY)
+        ids = np.where(known, self.ids[number[piece]], unknown_id) if len(self.ids) else np.full(len(piece), unknown_id)
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == unknown_id) & (ids[:-1] == unknown_id) & (word[1:] == word[:-1])
+        return ids[~again], np.bincount(word[~again], minlength=len(words))
 
 
-def _encoder(vocab: DataFrame, unknown_id: int, max_vocab: int):
-    """A function for tasks: a word, which may hold spaces, to its piece ids, remembering frequent words."""
+def _segmenter(vocab: DataFrame, unknown_id: int, max_vocab: int):
+    """A function for tasks: words, which may hold spaces, to their ids, remembering frequent words."""
     rows = vocab.filter(~F.col("is_special")).select("token", "id", "score").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary exceeds {max_vocab} entries")
-    ids, scores = {r.token: int(r.id) for r in rows}, {r.token: float(r.score) for r in rows}
-    longest, unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - _UNKNOWN_PENALTY
-    shared = vocab.sparkSession.sparkContext.broadcast((ids, scores))
+    shared = vocab.sparkSession.sparkContext.broadcast(([r.token for r in rows], np.array([r.id for r in rows], np.int64), np.array([r.score for r in rows], float)))
 
     def make():
-        known, weights = shared.value
-        memo: dict[str, list[int]] = {}
-
-        def encode(word: str) -> list[int]:
-            found = memo.get(word)
-            if found is None:
-                found = []
-                for part in word.split():
-                    for piece in best_segmentation(WORD_INITIAL + part, weights, longest, unknown)[1]:
-                        piece_id = known.get(piece, unknown_id)
-                        if piece_id != unknown_id or not found or found[-1] != unknown_id:
-                            found.append(piece_id)  # a run of unknown characters is one unknown piece
-                if len(memo) >= _MEMO_ENTRIES:
-                    memo.clear()
-                memo[word] = found
-            return found
-
-        return encode
+        known, memo = _Vocabulary(*shared.value), {}
+
+        def table(words: list[str]) -> list[np.ndarray]:
+            if len(memo) > _MEMO_ENTRIES:
+                memo.clear()
+            spaced = {w: parts for w in dict.fromkeys(words) if w not in memo and (parts := w.split()) != [w]}
+            new = [w for w in dict.fromkeys(chain((w for w in words if w not in spaced), *spaced.values())) if w not in memo]
+            for low in range(0, len(new), _BLOCK_WORDS):
+                part = new[low:low + _BLOCK_WORDS]
+                ids, sizes = known.segmented([WORD_INITIAL + w for w in part], unknown_id)
+                memo.update(zip(part, np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])))
+            for w, parts in spaced.items():
+                ids = np.concatenate([np.zeros(0, np.int32), *(memo[x] for x in parts)])
+                again = np.zeros(len(ids), bool)
+                again[1:] = (ids[1:] == unknown_id) & (ids[:-1] == unknown_id)
+                memo[w] = ids[~again]
+            return [memo[w] for w in words]
+
+        return table
 
     return make
 
 
-def _with_ids(df: DataFrame, vocab: DataFrame, source: str, ids_type: T.DataType, encode_all, unknown_id: int, max_vocab: int) -> DataFrame:
-    make = _encoder(vocab, unknown_id, max_vocab)
+def _gathered(table, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one behind the other, bounds of each word): distinct words are segmented, the rest is an array gather."""
+    coded = words.dictionary_encode()
+    own = table(coded.dictionary.to_pylist())
+    sizes = np.array([len(x) for x in own], np.int64)
+    flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+    codes = coded.indices.to_numpy()
+    each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+    ends = np.cumsum(each)
+    at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - each), each) + np.arange(int(each.sum())) if len(codes) else np.zeros(0, np.int64)
+    return flat[at], np.concatenate(([0], ends))
+
+
+def _added(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = make()
-        for batch in batches:
-            batch["ids"] = [encode_all(encode, value) for value in batch[source]]
-            yield batch
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ids", ids_type)]))
+def _with_ids(df: DataFrame, vocab: DataFrame, source: Column, nested: bool, unknown_id: int, max_vocab: int) -> DataFrame:
+    """``ids`` from the words in ``source``. Texts are not shuffled; the words are split in the JVM and travel beside the row."""
+    make = _segmenter(vocab, unknown_id, max_vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = make()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            ids, ends = _gathered(table, lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+            bounds = bounds - bounds[0]
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            values = pa.array(ids, pa.int32())
+            if nested:
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner)
+            else:
+                found = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), values)
+            yield _added(rest, found)
+
+    ids_type = T.ArrayType(T.ArrayType(T.IntegerType())) if nested else T.ArrayType(T.IntegerType())
+    return df.withColumn("_words", source).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ids", ids_type)]))
 
 
 def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
-    """Add ``ids``, the piece ids of the line's words, without shuffling any text.
+    """Add ``ids``, the piece ids of the line's words, without shuffling any text. A null line has none.
 
-    Each worker remembers the segmentation of frequent words, so nothing is joined on hot words.
+    A batch's distinct words are segmented together, and each worker remembers frequent words, so nothing is joined on hot words.
     """
-    return _with_ids(lines, vocab, "line", T.ArrayType(T.IntegerType()),
-                     lambda encode, line: [i for word in line.split() for i in encode(word)], unknown_id, max_vocab)
+    return _with_ids(lines, vocab, F.coalesce(F.filter(words(F.col("line")), lambda w: w != ""), F.array().cast("array<string>")), False, unknown_id, max_vocab)
 
 
 def encode_words(sentences: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
     """Add ``ids``, one array of piece ids per entry of ``words``."""
-    return _with_ids(sentences, vocab, "words", T.ArrayType(T.ArrayType(T.IntegerType())),
-                     lambda encode, words: [encode(word) for word in words], unknown_id, max_vocab)
+    return _with_ids(sentences, vocab, F.col("words"), True, unknown_id, max_vocab)

@@ -59,7 +59,23 @@ def alphabet_by_coverage(t: Tables):
 
 @query("train_bpe")
 def train_bpe(t: Tables):
-    return bpe.train_bpe(frequencies(t), vocab_size=160)
+    return bpe.train_bpe(frequencies(t), vocab_size=32_768)
+
+
+@query("bpe_first_merges", q.with_(q.LINES, q.TOKENS, _FREQUENCIES, """
+spelled AS (SELECT list_reduce(list_transform(string_split(word, ''), lambda c: chr(1) || c || chr(1)), lambda a, b: a || b) AS seq, n FROM frequencies WHERE word <> '')""", """
+learned AS (
+  SELECT 0 AS rank, ''::VARCHAR AS "left", ''::VARCHAR AS "right", 0::BIGINT AS c, list({'s': seq, 'n': n}) AS words FROM spelled
+  UNION ALL
+  SELECT rank + 1, best.l, best.r, best.c, list_transform(words, lambda x: {'s': replace(x.s, chr(1) || best.l || chr(1) || chr(1) || best.r || chr(1), chr(1) || best.l || best.r || chr(1)), 'n': x.n})
+  FROM learned, LATERAL (
+    SELECT l, r, sum(n)::BIGINT AS c FROM (
+      SELECT n, unnest(p[:-2]) AS l, unnest(p[2:]) AS r FROM (SELECT w.n AS n, string_split(w.s[2:-2], chr(1) || chr(1)) AS p FROM (SELECT unnest(learned.words) AS w)) WHERE len(p) > 1)
+    GROUP BY l, r ORDER BY c DESC, length(l || r), l, r LIMIT 1) best
+  WHERE rank < 300)""", """SELECT rank::BIGINT AS rank, "left", "right", c AS n FROM learned WHERE rank > 0"""))
+def bpe_first_merges(t: Tables):
+    """The first 300 rules, which SQL can learn one merge at a time."""
+    return bpe.train_bpe(frequencies(t), merges=300)
 
 
 _SEEDS = """seeds AS (

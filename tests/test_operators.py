@@ -8,10 +8,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmesh.operators import bpe, clean, embed, examples, metrics, projection, sampling, similarity, split, unigram, vocabulary
+from lexmesh.operators.lattice import Lattice
 from lexmesh.operators.scripts import script_cluster_select
 from lexmesh.operators.tagged import POS_LABELS
 
@@ -126,7 +128,7 @@ def sequential_merges(words, count):
                 pairs[a, b] += words[w]
         if not pairs:
             break
-        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0][0].encode(), x[0][1].encode()))
+        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], len("".join(x[0])), x[0][0].encode(), x[0][1].encode()))
         merges.append((a, b, n))
         for w, s in table.items():
             out, i = [], 0
@@ -153,6 +155,70 @@ def test_bpe_equals_one_merge_at_a_time(spark):
     assert len(pieces) == letters + 4
 
 
+def rounds_of_merges(words, count, held):
+    """The trainer's rounds on blocks held in memory: (rules, rounds)."""
+    ranking = bpe.Ranking(held)
+    for c in sorted(set("".join(words))):
+        ranking.symbol(c)
+    table = list(bpe._blocks(ranking.numbers)(iter([pa.RecordBatch.from_pydict({"w": pa.array(list(words)), "n": pa.array(list(words.values()), pa.int64())})])))
+
+    def differences():
+        sums = Counter()
+        for b in table:
+            for k, d in zip(b.column(3)[0].as_py(), b.column(4)[0].as_py()):
+                sums[k] += d
+        return sums
+
+    def load(sums):
+        sizes, taken, ranking.floor = sorted(Counter(sums.values()).items(), reverse=True), 0, 1
+        for i, (n, pairs) in enumerate(sizes):
+            if taken + pairs > held and i:
+                ranking.floor = n + 1
+                break
+            taken += pairs
+        ranking.counts = {k: n for k, n in sums.items() if n >= ranking.floor}
+        ranking._heap = sorted(ranking._entry(k, n) for k, n in ranking.counts.items())
+
+    load(differences())
+    done, maker, rounds = [], {}, 0
+    while True:
+        batch = bpe.next_merges(ranking, 64)
+        if not batch and ranking.floor > 1:
+            sums = Counter()
+            for b in bpe._recounted(iter(table)):
+                sums.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+            load(sums)
+            continue
+        if not batch or len(done) >= count and next(ranking.ranked())[0] > done[bpe.in_order(done)[count - 1]][0]:
+            break
+        known = len(ranking.names)
+        rules = [(key >> 32, key & 0xFFFFFFFF, ranking.symbol(rank[2] + rank[3])) for rank, key in batch]
+        first, rounds = len(done), rounds + 1
+        done += [(rank, tuple({maker[x] for x in rank[2:] if x in maker})) for rank, _ in batch]
+        maker.update({rank[2] + rank[3]: first + i for i, (rank, _) in enumerate(batch)})
+        table = [o for b in table for o in bpe._merged(rules)(iter([b]))]
+        ranking.change(list(differences().items()), set(range(known, len(ranking.names))))
+    return [(done[i][0][2], done[i][0][3], -done[i][0][0]) for i in bpe.in_order(done)[:count]], rounds
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bpe_rounds_equal_one_merge_at_a_time(seed):
+    """Few letters make the hard cases frequent: equal symbols, one string made in two ways, chains and ties."""
+    rng = random.Random(seed)
+    letters = "abcdefgh"[:rng.randint(1, 8)]
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))): rng.randint(1, rng.choice([2, 9, 50])) for _ in range(rng.randint(1, 90))}
+    expected = sequential_merges(words, 120)
+    found, rounds = rounds_of_merges(words, 120, rng.choice([10**9, 3, 20]))
+    assert found == expected and rounds <= len(expected) + 120
+
+
+def test_bpe_merges_many_pairs_in_a_round():
+    rng = random.Random(1)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))): rng.randint(1, 5) for _ in range(700)}
+    found, rounds = rounds_of_merges(words, 400, 10**9)
+    assert found == sequential_merges(words, 400) and rounds < len(found) / 4
+
+
 def every_split(text):
     for cuts in itertools.product([0, 1], repeat=len(text) - 1):
         out = [text[0]]
@@ -173,12 +239,46 @@ def test_unigram_expectations_and_best_split():
     for s, w in zip(valid, weights):
         for p in s:
             expected[p] += 3 * w / sum(weights)
-    totals = {}
-    unigram._add_expected(text, 3, scores, 3, totals)
-    assert totals == pytest.approx(dict(expected))
-    score, pieces = unigram.best_segmentation(text, scores, 3, -20.0)
-    assert score == pytest.approx(math.log(max(weights))) and "".join(pieces) == text
-    assert unigram.best_segmentation("axa", scores, 3, -20.0)[1] == ["a", "x", "a"]
+    block = Lattice([text, "axa", "", "bb"], 3)
+    values = np.array([scores.get(p, -np.inf) for p in block.pieces()])
+    alone = np.array([3, 0, 0, 0])
+    found = {p: x for p, x in zip(block.pieces(), block.expected(values, alone)) if x}
+    assert found == pytest.approx(dict(expected))
+    score, word, piece, known = block.best(values, unknown=-20.0)
+    names = block.pieces()
+    parts = [[names[p] for w2, p in zip(word, piece) if w2 == w] for w in range(4)]
+    assert score[0] == pytest.approx(math.log(max(weights))) and "".join(parts[0]) == text
+    assert parts[1:] == [["a", "x", "a"], [], ["b", "b"]] and list(known[word == 1]) == [True, False, True]
+    assert block.best(values)[0][1] == -np.inf  # without a price for unknown characters
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lattice_of_random_words(seed):
+    """Numbers of substrings, counts, expectations and best splits against every split of every word."""
+    rng = random.Random(seed)
+    letters = "ab\U0001f600é"[:rng.randint(1, 4)]
+    block_words = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(25)})
+    n, longest = np.array([rng.randint(1, 5) for _ in block_words]), rng.randint(1, 5)
+    block = Lattice(block_words, longest)
+    expected = Counter()
+    for w, k in zip(block_words, n):
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + longest) + 1):
+                expected[w[i:j]] += int(k)
+    assert dict(zip(block.pieces(), block.counts(n).tolist())) == dict(expected) and len(block.pieces()) == len(expected)
+    scores = {p: -rng.random() * 5 for p in expected if len(p) == 1 or rng.random() < 0.7}
+    values = np.array([scores.get(p, -np.inf) for p in block.pieces()])
+    totals, whole, apart = Counter(), [], []
+    for w, k in zip(block_words, n):
+        splits = [(sum(scores[p] for p in s), s) for s in every_split(w) if all(p in scores for p in s)]
+        mass = math.log(sum(math.exp(x) for x, _ in splits))
+        for x, s in splits:
+            for p in s:
+                totals[p] += int(k) * math.exp(x - mass)
+        whole.append(max(x for x, _ in splits))
+        apart.append(max((x for x, s in splits if len(s) > 1), default=-math.inf))
+    assert dict(zip(block.pieces(), block.expected(values, n))) == pytest.approx({p: totals[p] for p in expected})
+    assert block.best(values)[0] == pytest.approx(whole) and block.best(values, split=True)[0] == pytest.approx(apart)
 
 
 def test_unigram_training_and_encoding(spark):
