@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.functions.numbering import head_per_group, number_rows, rank_by_hash, running
+from lexmesh.functions.numbering import head_per_group, number_rows, rank_by_hash
+from lexmesh.functions.sections import number_sections
 from lexmesh.functions.text import strip
 
 
@@ -76,12 +77,12 @@ def split_size_report(split: DataFrame, by: Sequence[str] = ("lang",)) -> DataFr
 def group_sentences(lines: DataFrame, drop_unterminated: bool = True) -> DataFrame:
     """Blank-separated blocks: ``block_no`` per line; a last block without a closing blank is dropped."""
     stripped = lines.withColumn("line", strip(F.col("line")))
-    is_blank = F.when(F.col("line") == "", 1).otherwise(0)
-    counted = running(stripped, ["file"], "line_no", is_blank, "block_no", inclusive=False, total="_blanks")
-    counted = counted.withColumn("block_no", F.coalesce("block_no", F.lit(0)).cast("long"))
+    blank = F.col("line") == ""
+    keys = stripped.select("file", "line_no", blank.alias("_blank"), (~blank).alias("_counted"), "line", *(c for c in lines.columns if c not in ("file", "line_no", "line")))
+    found = number_sections(keys, open_sections=drop_unterminated).withColumnRenamed("section", "block_no")
     if drop_unterminated:
-        counted = counted.filter(F.col("block_no") < F.col("_blanks"))
-    return counted.filter(F.col("line") != "").drop("_blanks")
+        found = found.filter(F.col("ends"))
+    return found.filter(F.col("line") != "").select(*lines.columns, "block_no")
 
 
 def count_sentences(lines: DataFrame) -> DataFrame:

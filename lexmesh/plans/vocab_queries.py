@@ -111,29 +111,94 @@ def train_unigram(t: Tables):
     return pieces.withColumn("score", F.round("score", 6))
 
 
-_VOCAB_SIZE = 2000
+_PIECES = 32_768
+
+
+def one_round(t: Tables):
+    """All single characters and the seeds of largest weight after one round of expectation and maximisation: what SQL can repeat."""
+    return unigram.train_unigram(frequencies(t), vocab_size=1 << 40, seed_size=_PIECES, em_rounds=1)
+
+
+def _digamma(x: str) -> str:
+    y = f"({x} + 7)"
+    shift = " + ".join(f"1 / ({x} + {k})" for k in range(7))
+    return f"(ln({y}) - 0.5 / {y} - (1 / ({y} * {y})) * (1.0::DOUBLE / 12 - (1 / ({y} * {y})) * (1.0::DOUBLE / 120 - (1 / ({y} * {y})) / 252)) - ({shift}))"
+
+
+# forward and backward sums of every word by position; log(sum(exp)) is taken from the largest term
+_LOG_SUM = "list_max({0}) + ln(list_sum(list_transform({0}, lambda x: exp(x - list_max({0})))))"
+_ROUND = f"""
+weighted AS MATERIALIZED (
+  SELECT piece, (n * length(piece))::DOUBLE AS weight FROM seeds WHERE length(piece) = 1
+  UNION ALL (SELECT piece, (n * length(piece))::DOUBLE FROM seeds WHERE n > 1 AND length(piece) > 1 ORDER BY n * length(piece) DESC, piece LIMIT {_PIECES})),
+priors AS MATERIALIZED (SELECT piece, ln(weight) - ln((SELECT sum(weight) FROM weighted)) AS score FROM weighted),
+marked AS (SELECT '▁' || word AS w, n FROM frequencies),
+spans AS MATERIALIZED (
+  SELECT w, n, length(w) AS size, s, s + l AS e, substr(w, s + 1, l) AS piece FROM (
+    SELECT w, n, s, unnest(range(1, least(16, length(w) - s) + 1)) AS l FROM (SELECT w, n, unnest(range(length(w))) AS s FROM marked))),
+arcs AS MATERIALIZED (SELECT * FROM spans JOIN priors USING (piece)),
+entering AS MATERIALIZED (SELECT w, e, list(s) AS ss, list(score) AS scores FROM arcs GROUP BY w, e),
+leaving AS MATERIALIZED (SELECT w, size - s AS r, list(size - e) AS rs, list(score) AS scores FROM arcs GROUP BY w, size, s),
+before AS (
+  SELECT w, length(w) AS size, 0::BIGINT AS e, [0::DOUBLE] AS f FROM marked
+  UNION ALL
+  SELECT w, size, e, list_append(f, {_LOG_SUM.format('v')}) FROM (
+    SELECT b.w, b.size, a.e, b.f, list_transform(range(1, len(a.ss) + 1), lambda i: b.f[a.ss[i] + 1] + a.scores[i]) AS v
+    FROM before b JOIN entering a ON a.w = b.w AND a.e = b.e + 1)),
+behind AS (
+  SELECT w, length(w) AS size, 0::BIGINT AS r, [0::DOUBLE] AS f FROM marked
+  UNION ALL
+  SELECT w, size, r, list_append(f, {_LOG_SUM.format('v')}) FROM (
+    SELECT b.w, b.size, a.r, b.f, list_transform(range(1, len(a.rs) + 1), lambda i: b.f[a.rs[i] + 1] + a.scores[i]) AS v
+    FROM behind b JOIN leaving a ON a.w = b.w AND a.r = b.r + 1)),
+uses AS (
+  SELECT a.piece, sum(a.n * exp(x.f[a.s + 1] + a.score + y.f[a.size - a.e + 1] - x.f[a.size + 1])) AS expected
+  FROM arcs a JOIN before x ON x.w = a.w AND x.e = x.size JOIN behind y ON y.w = a.w AND y.r = y.size GROUP BY a.piece),
+counted AS MATERIALIZED (
+  SELECT piece, coalesce(expected, 0) AS expected FROM priors LEFT JOIN uses USING (piece) WHERE coalesce(expected, 0) >= 0.5 OR length(piece) = 1),
+learned AS MATERIALIZED (
+  SELECT piece, {_digamma('greatest(expected, 1e-6)')} - (SELECT {_digamma('sum(expected)')} FROM counted) AS score FROM counted)"""
 
 
-def scored_pieces(t: Tables):
-    """Substring pieces scored by the logarithm of their weight: a vocabulary without EM rounds."""
-    seeds = unigram.seed_vocabulary(unigram.seed_pieces(frequencies(t)), _VOCAB_SIZE)
-    return seeds.select("piece", F.log(F.col("weight").cast("double")).alias("score"))
+@query("unigram_em_round", q.with_(q.LINES, q.TOKENS, _FREQUENCIES, _SEEDS, _ROUND, "SELECT piece, round(score, 5) AS score FROM learned"))
+def unigram_em_round(t: Tables):
+    return one_round(t).withColumn("score", F.round("score", 5))
 
 
 @query("assemble_vocab", q.with_(q.LINES, q.TOKENS, _FREQUENCIES, q.RESERVED, f"""
 weighted AS (SELECT word AS piece, n FROM frequencies),
 ranked AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) + 4 AS id FROM weighted)""", f"""
-SELECT token, id::BIGINT AS id FROM reserved UNION ALL SELECT piece, id FROM ranked WHERE id < {_VOCAB_SIZE}"""))
+SELECT token, id::BIGINT AS id FROM reserved UNION ALL SELECT piece, id FROM ranked WHERE id < {_PIECES}"""))
 def assemble_vocab(t: Tables):
     pieces = frequencies(t).select(F.col("word").alias("piece"), F.col("n").cast("double").alias("score"))
-    return vocabulary.assemble_vocab(pieces, _VOCAB_SIZE).select("token", "id")
+    return vocabulary.assemble_vocab(pieces, _PIECES).select("token", "id")
+
+
+# best splits by position: the higher score, then the longer last piece; characters beyond the vocabulary are unknown (3)
+_ENCODED = """
+ranked AS (SELECT piece, score, row_number() OVER (ORDER BY score DESC, piece) + 4 AS id FROM (SELECT piece, round(score * 1000) AS score FROM learned)),
+vocab AS MATERIALIZED (SELECT * FROM ranked WHERE id < {size}),
+known AS MATERIALIZED (
+  SELECT w, s, e, coalesce(v.score, (SELECT min(score) - 10 FROM vocab)) AS score, coalesce(v.id, 3) AS id
+  FROM spans LEFT JOIN vocab v USING (piece) WHERE v.id IS NOT NULL OR e = s + 1),
+options AS MATERIALIZED (SELECT w, e, list(s) AS ss, list(score) AS scores, list(id) AS ids FROM known GROUP BY w, e),
+best AS (
+  SELECT w, length(w) AS size, 0::BIGINT AS e, [0::DOUBLE] AS f, [[]::BIGINT[]] AS paths FROM marked
+  UNION ALL
+  SELECT w, size, e, list_append(f, top.v), list_append(paths, CASE WHEN top.id = 3 AND paths[top.s + 1][-1] = 3 THEN paths[top.s + 1] ELSE list_append(paths[top.s + 1], top.id) END)
+  FROM (
+    SELECT b.w, b.size, o.e, b.f, b.paths, list_max(list_transform(range(1, len(o.ss) + 1), lambda i: {{'v': b.f[o.ss[i] + 1] + o.scores[i], 'k': -o.ss[i], 's': o.ss[i], 'id': o.ids[i]}})) AS top
+    FROM best b JOIN options o ON o.w = b.w AND o.e = b.e + 1)),
+encoded AS MATERIALIZED (SELECT substr(w, 2) AS word, paths[size + 1] AS ids FROM best WHERE e = size)""".format(size=_PIECES)
 
 
-@query("encode_corpus")
+@query("encode_corpus", q.with_(q.LINES, q.TOKENS, _FREQUENCIES, _SEEDS, _ROUND, _ENCODED, """
+SELECT doc_id, line_no, lang, sum(len(ids))::BIGINT AS n_ids, string_agg(array_to_string(ids, ' '), ' ' ORDER BY word_no) AS ids
+FROM tokens JOIN encoded USING (word) GROUP BY doc_id, line_no, lang"""))
 def encode_corpus(t: Tables):
-    weights = stored(scored_pieces(t))
-    total = weights.agg(F.log(F.sum(F.exp("score")))).scalar()
-    vocab = vocabulary.assemble_vocab(weights.select("piece", (F.col("score") - total).alias("score")), _VOCAB_SIZE)
+    """Scores in whole thousandths, so that equal sums are equal in any order of addition."""
+    learned = one_round(t).withColumn("score", F.round(F.col("score") * 1000))
+    vocab = stored(vocabulary.assemble_vocab(learned, _PIECES))
     encoded = unigram.encode_lines(lines(t).select("doc_id", "line_no", "lang", "line"), vocab)
     return encoded.select("doc_id", "line_no", "lang", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexmesh.functions.sections import number_sections
 from lexmesh.operators import scripts, split, tagged
 from lexmesh.sinks import writers
 from lexmesh.sources import corpus, scripts as script_tables, tagged as readers
@@ -157,3 +159,42 @@ def test_write_shards_and_splits(spark, tmp_path):
     full = split.split_ratio(lines, ["k"], 0.5, 0.5)
     writers.write_splits(full, str(tmp_path / "p"), ["k"])
     assert {p.name for p in (tmp_path / "p").glob("split=*")} == {"split=train", "split=dev"}
+
+
+@pytest.mark.parametrize("partitions,batch", [(1, 3), (4, 1), (7, 1000)])
+def test_sections_in_any_order(spark, partitions, batch):
+    """Files cut over partitions and batches at every place, in order or not, number as one pass over each file does."""
+    rng = random.Random(partitions)
+    rows, expected = [], {}
+    for file in range(12):
+        section = place = 0
+        size = rng.choice([1, 2, 5, 40])
+        kinds = [rng.choice("bwwc") for _ in range(size)]
+        for at, kind in enumerate(kinds, 1):
+            place += kind == "w"
+            expected[file, at] = (section, place, "b" in kinds[at - (kind == "b"):] if kind != "b" else True)
+            rows.append((file, at, kind == "b", kind == "w", f"x{at}"))
+            if kind == "b":
+                section, place = section + 1, 0
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for mixed in (False, True):
+            if mixed:
+                rng.shuffle(rows)
+            df = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "file long, line_no long, _blank boolean, _counted boolean, text string")
+            plain = {(r.file, r.line_no): (r.section, r.place) for r in number_sections(df).collect()}
+            assert plain == {k: v[:2] for k, v in expected.items()}
+            ends = {(r.file, r.line_no): (r.section, r.place, r.ends) for r in number_sections(df, open_sections=True).collect()}
+            words = [(r[0], r[1]) for r in rows if r[3]]
+            assert ends.keys() == expected.keys() and [ends[k] for k in words] == [expected[k] for k in words]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_parsing_shuffles_no_text(spark, tmp_path):
+    (tmp_path / "a.conllu").write_text("# text = a b\n1\ta\t_\tX\t_\t_\t_\t_\t_\t_\n2\tb\t_\tY\t_\t_\t_\t_\t_\t_\n\n")
+    df = readers.parse_conllu(readers.read_conllu(spark, str(tmp_path)))
+    assert sorted((r.sent_no, r.word_no, r.word, r.upos) for r in df.collect()) == [(0, 1, "a", "X"), (0, 2, "b", "Y")]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert all("word" not in line and "line#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
