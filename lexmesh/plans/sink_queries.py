@@ -61,12 +61,14 @@ def write_ner_json(t: Tables):
     return flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_token_counts", f"PIVOT ({ORACLES['token_language_counts']}) ON lang USING sum(n)::BIGINT GROUP BY token")
+@query("write_token_counts", ORACLES["token_language_counts"])
 def write_token_counts(t: Tables):
+    """The wide table as rows again: a column for each language is not known when the SQL is written."""
     path = scratch_folder(t.spark, "counts")
     languages = sorted(r["lang"] for r in lines(t).select("lang").distinct().collect())  # one entry per language
     writers.write_token_counts(vocab_queries.token_language_counts(t), path, languages)
-    return t.spark.read.option("header", True).schema(", ".join(["token string", *(f"`{x}` long" for x in languages)])).csv(path)
+    wide = t.spark.read.option("header", True).schema(", ".join(["token string", *(f"`{x}` long" for x in languages)])).csv(path)
+    return wide.unpivot(["token"], languages, "lang", "n")
 
 
 @query("write_composition", ORACLES["language_composition"])
