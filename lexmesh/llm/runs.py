@@ -28,13 +28,13 @@ class Slice(NamedTuple):
     starts: np.ndarray  # of each row in ``data``
 
 
-def slices(column: pa.Array | pa.ChunkedArray, word: np.ndarray) -> Iterator[Slice]:
-    """Whole texts together up to ``SLICE`` bytes; longer texts alone, cut behind bytes that belong to no word."""
+def slices(column: pa.Array | pa.ChunkedArray, word: np.ndarray, whole: bool = False) -> Iterator[Slice]:
+    """Whole texts together up to ``SLICE`` bytes; longer texts alone, cut (unless ``whole``) behind bytes that belong to no word."""
     data, offsets = utf8(column)
     rows, row = len(offsets) - 1, 0
     while row < rows:
         low, high = int(offsets[row]), int(offsets[row + 1])
-        if high - low <= SLICE:
+        if high - low <= SLICE or whole:
             last = max(row + 1, min(rows, int(np.searchsorted(offsets, low + SLICE, side="right")) - 1))
             yield Slice(row, False, False, data[low:int(offsets[last])], offsets[row:last] - low)
             row = last
