@@ -1,9 +1,11 @@
 """Secret scans through an incremental ledger of blobs. DataFrame functions only.
 
 Every version of a file is addressed by the SHA-256 of its content. The ledger is a Parquet table partitioned by
-rule version, with one row per blob already scanned; a run scans the blobs that have no row under the present rule
+rule version, with a row per blob already scanned; a run scans the blobs that have no row under the present rule
 version, appends their findings and joins the ledger back to all paths that hold the content. A blob that comes
-back in another path, copy or revision is never scanned again; a new rule version scans everything once.
+back in another path, copy or revision is never scanned again; a new rule version scans everything once. Runs that start
+before another has appended scan the same blobs and append equal rows; the ledger is reduced to one row per blob when it is read, so
+this costs a scan and changes no result.
 """
 
 from __future__ import annotations
@@ -80,7 +82,8 @@ def scan_versions(versions: DataFrame, ledger: str, rules: str = RULES) -> DataF
     # one text per content; copies meet inside a task first, so a content that is a third of all rows moves once a task
     contents = addressed.groupBy("blob").agg(F.first("text").alias("text"))
     scan(contents.join(known, "blob", "left_anti")).write.mode("append").parquet(folder)
-    found = spark.read.schema(LEDGER).parquet(folder).filter(F.col("spans") != "")
+    rows = spark.read.schema(LEDGER).parquet(folder).filter(F.col("spans") != "")
+    found = rows.groupBy("blob").agg(*[F.max(f"n_{k}").alias(f"n_{k}") for k in KINDS], F.max("spans").alias("spans"))
     joined = addressed.select("path", "blob").join(found, "blob", "left")
     zero = F.lit(0).cast("long")
     return joined.select("path", "blob", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS], F.coalesce("spans", F.lit("")).alias("spans"))
