@@ -1,8 +1,8 @@
 """Deterministic sharded WARC archives: written by range, rolled by compressed size, committed by a manifest.
 
-The key range is cut into shards of about equal payload from a histogram of fixed bins, so that the layout
-depends on the rows alone and not on sampling or partitioning. A task writes the shards it holds in key order, one gzip member
-per record, into files with temporary names, and rolls to the next file of the shard once the compressed size is
+Rows are ordered by key and hash of their payload, and this order is cut into shards where the exact running sum of payload bytes
+passes a multiple of the shard size: the layout depends on the rows alone, not on sampling, partitioning or how the keys are
+spread, and no key, outlier or lack of keys makes a shard larger. A task writes the shards it holds in key order, one gzip member per record, into files with temporary names, and rolls to the next file of the shard once the compressed size is
 reached. What it reports are manifest rows; only the attempts whose reports arrive are renamed into place, and readers
 follow the manifest, so files of lost attempts are never read.
 """
@@ -12,20 +12,25 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmesh.llm.storage import written
+from lexmesh.session import cut_lineage
 
-_BINS = 1 << 14
+_MOST_SHARDS = 1 << 14
 _LEAST_SHARDS = 64
+_RECORD_HEAD = 400
 MANIFEST = "temporary string, name string, records long, bytes long, sha256 string, first_key long, last_key long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
@@ -95,12 +100,12 @@ def _write(folder: str, limit: int):
             for shard, page_id, digest, refers_to, url, value in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5).cast(pa.large_binary())):
                 if page_id != key:
                     key, revisits = page_id, {}
-                if digest is not None:  # says that the page of this id and digest is a revisit; sorted before the page
+                if digest is not None:  # says that the page of this id and SHA-1 is a revisit; sorted before the page
                     revisits[digest] = refers_to
                     continue
                 payload = _payload(value)
                 own = payload_digest(payload)
-                member = gzip.compress(_record(page_id, url, payload, own, revisits.get(own)), 6, mtime=0)
+                member = gzip.compress(_record(page_id, url, payload, own, revisits.get(hashlib.sha1(payload).hexdigest())), 6, mtime=0)
                 done += roller.add(shard, page_id, member)
         if roller.stream is not None:
             done.append(roller.close())
@@ -110,57 +115,73 @@ def _write(folder: str, limit: int):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [_payload(v) for v in batch.column(1).cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())],
-            ["page_id", "digest", "size"])
-
-
-def _shards(sizes: DataFrame, shard_bytes: int):
-    """(lowest key, bin width, first bin of each shard): bounded by the number of bins, not by the rows."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, [0]
-    width = max(1, -(-(high - low + 1) // _BINS))
-    bins = sizes.filter("page_id is not null").groupBy(F.expr(f"cast((page_id - {low}L) div {width}L as int)").alias("bin")).agg(F.sum(F.col("size") + 400).alias("size"))
-    rows = sorted(bins.collect())
-    shard_bytes = min(shard_bytes, sum(r["size"] for r in rows) // _LEAST_SHARDS + 1)
-    cuts, held = [0], 0
-    for row in rows:
-        if held and held + row["size"] > shard_bytes:
-            cuts.append(row["bin"])
-            held = 0
-        held += row["size"]
-    return low, width, cuts
+def _cuts_of(before: dict[int, int], shard_bytes: int):
+    """The rows of each partition at which a shard begins; ``before`` is the bytes of all earlier partitions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            ends = done + np.cumsum(batch.column("size").to_numpy())
+            starts = np.concatenate([[done], ends[:-1]])
+            # a row opens a shard if a multiple of the shard size lies within its bytes
+            opens = np.flatnonzero(-(-starts // shard_bytes) * shard_bytes < ends)
+            done = int(ends[-1]) if len(ends) else done
+            yield batch.select(["page_id", "spread"]).take(pa.array(opens))
+    return run
+
+
+def _cuts(sizes: DataFrame, shard_bytes: int) -> list[tuple]:
+    """(key, payload hash) at which each shard but the first begins: ``_MOST_SHARDS`` + 1 at most, whatever the rows.
+
+    Only keys, hashes and byte counts are sorted, rows of equal key and payload as one.
+    """
+    units = sizes.groupBy("page_id", "spread").agg(F.sum(F.col("size") + _RECORD_HEAD).alias("size"))
+    placed = cut_lineage(units.orderBy(F.col("page_id").asc_nulls_first(), "spread"))
+    totals = sorted(placed.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("size")).collect())  # one row per partition
+    before, whole = {}, 0
+    for row in totals:
+        before[row["part"]] = whole
+        whole += row["size"]
+    shard_bytes = max(min(shard_bytes, whole // _LEAST_SHARDS + 1), whole // _MOST_SHARDS + 1)
+    rows = placed.mapInArrow(_cuts_of(before, shard_bytes), "page_id long, spread long").collect()
+    order = lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["spread"])
+    return [(r["page_id"], r["spread"]) for r in sorted(rows, key=order)][1:]
+
+
+def _shard(cuts: list[tuple]) -> Column:
+    """How many of the sorted ``cuts`` are not above (page_id, spread), by binary search; no key is first of all."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps([{"page_id": k, "spread": h} for k, h in cuts])), "array<struct<page_id:bigint,spread:bigint>>")
+    own = F.struct("page_id", "spread")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= own, at + step).otherwise(at))
 
 
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = 256 << 20, shard_bytes: int = 256 << 20) -> DataFrame:
     """Write a record per (page_id, url, html) row into ``folder`` and return the manifest that was committed.
 
     Of records with equal payloads that with the largest page_id is a response and the others are revisits of it;
-    rows that repeat this id with the same payload are all responses. Rows without an id form a shard of their own in front; they are
+    rows that repeat this id with the same payload are all responses. Rows without an id come first; they are
     revisits if a row with an id has their payload, responses otherwise. Null html is an empty payload, null
-    addresses come back as null. Extra columns are ignored. An empty table gives an empty manifest.
+    addresses come back as null. Ids may lie anywhere in the range of 64 bits. Extra columns are ignored. An empty table gives an empty manifest.
     ``file_bytes`` rolls files by compressed size (a single larger record has a file of its own);
-    a shard holds about ``shard_bytes`` of payload, or a 64th of all payload if that is less.
+    a shard holds about ``shard_bytes`` of payload, or a 64th of all payload if that is less, or a 16,384th if that is more. Only rows that repeat both
+    id and payload, and a single larger record, exceed this; they are streamed to files of ``file_bytes`` like others.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sizes = written(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, size long"), "warc-digests")
-    low, width, cuts = _shards(sizes, shard_bytes)
+    digest = F.sha1(F.coalesce("html", F.lit("")))
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    sizes = written(rows.select("page_id", digest.alias("digest"), size.alias("size")).withColumn("spread", F.xxhash64("digest")), "warc-digests")
     # max per payload is combined in every task first, so a payload of a third of all pages is one row a task
     last = written(sizes.groupBy("digest").agg(F.max("page_id").alias("refers_to")), "warc-last")
     revisits = sizes.join(last, "digest").filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
     marks = revisits.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
-    plain = rows.select("page_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
-    both = plain.unionByName(marks)
-    bin_number = F.expr(f"cast((page_id - {low}L) div {width}L as int)")
-    table = [(b, s + 1) for s, (a, z) in enumerate(zip(cuts, [*cuts[1:], _BINS])) for b in range(a, z)]
-    lookup = F.broadcast(spark.createDataFrame(table, "_bin int, _shard int"))  # _BINS rows at every size
-    both = both.withColumn("_bin", bin_number).join(lookup, "_bin", "left").withColumn("shard", F.coalesce("_shard", F.lit(0))).drop("_bin", "_shard")
-    placed = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", F.col("digest").isNull(), "url", F.xxhash64("html"))
+    plain = rows.select("page_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html", F.xxhash64(digest).alias("spread"))
+    both = plain.unionByName(marks.withColumn("spread", F.xxhash64("digest")))
+    cuts = _cuts(sizes, shard_bytes)
+    placed = both.withColumn("shard", _shard(cuts)).repartition(len(cuts) + 1, "shard").sortWithinPartitions(
+        "shard", "page_id", "spread", F.col("digest").isNull(), "url", F.xxhash64("html"))
     manifest = written(placed.select("shard", "page_id", "digest", "refers_to", "url", "html").mapInArrow(_write(folder, file_bytes), MANIFEST), "warc-manifest")
     return _commit(spark, manifest, folder)
 

@@ -83,6 +83,18 @@ def test_ledger_scans_a_blob_once(spark):
     assert spark.read.parquet(f"{folder}/rules=2").count() == 3
 
 
+def test_ledger_that_holds_a_blob_twice(spark):
+    folder = scratch_folder(spark, "ledger")
+    versions = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("b", "token=abcdef"), ("c", "nothing")], "path string, text string")
+    secrets.scan_versions(versions, folder)
+    place = f"{folder}/rules={secrets.RULES}"
+    held = spark.createDataFrame(spark.read.schema(secrets.LEDGER).parquet(place).collect(), secrets.LEDGER)
+    held.write.mode("append").parquet(place)  # what a second scanner appends that started before the first had
+    found = sorted((r.path, r.n_assign, r.spans) for r in secrets.scan_versions(versions, folder).collect())
+    assert found == [("a", 1, "assign:0:12"), ("b", 1, "assign:0:12"), ("b", 1, "assign:0:12"), ("c", 0, "")]
+    assert spark.read.parquet(place).count() == 4
+
+
 def windows(rows, size=20):
     """Brute force; rows without an id come last, rows that share an id are not earlier than each other."""
     order = lambda i: float("inf") if i is None else i
@@ -135,6 +147,21 @@ def test_archives(spark):
                 assert r.payload_digest == base64.b32encode(hashlib.sha1(r.html.encode()).digest()).decode()
 
 
+def test_archives_of_ids_at_both_ends_and_far_apart(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(i, f"u{i}", f"page {i} " * 5) for i in range(1500)] + [(None, f"n{i}", f"no id {i} " * 5) for i in range(700)] + [(low, "l", "same"), (high, "h", "same"), (high - 1, "g", None)]
+    rows += [(77, f"r{i}", f"hot id {i} " * 5) for i in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("spread", F.lit("clash")).withColumn("size", F.lit("clash"))
+    folder = scratch_folder(spark, "warc")
+    files = warc.write_archives(pages.repartition(5), folder).collect()
+    assert sum(f.records for f in files) == len(rows) and max(f.records for f in files) <= len(rows) / 20
+    found = warc.read_archives(spark, folder, with_html=True).collect()
+    assert sorted((r.page_id or 0, r.url) for r in found) == sorted((i or 0, u) for i, u, _ in rows)
+    told = {r.page_id: (r.record_type, r.refers_to) for r in found}
+    assert told[low] == ("revisit", high) and told[high] == ("response", None) and told[high - 1] == ("response", None)
+    assert all(r.record_type == "response" for r in found if r.page_id != low)
+
+
 def test_lost_attempts_are_not_read(spark):
     folder = scratch_folder(spark, "warc")
     pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
