@@ -31,12 +31,18 @@ HIDDEN = frozenset("audio canvas noscript select svg template video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-CHROME = frozenset("aside button dialog footer form label menu nav".split())
+CHROME = frozenset("aside button dialog footer form menu nav".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar signup social sponsor "
+    "modal nav navbar navigation newsletter notice notices pagination popup promo related respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split())
+# Words behind a chrome word that only say which part of the page's layout an element is.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons column container desktop form frame group header holder icon icons inner item items left link links list "
+    "mobile module outer panel right row section slot title top unit wrap wrapper zone".split())
+# Elements that hold a text of their own, which are chrome only if one of their names is a chrome word and nothing else.
+PROSE = frozenset("blockquote caption dd dt em figcaption figure h1 h2 h3 h4 h5 h6 i li p pre span strong table td th tr b a code q cite".split())
 ARTICLE = frozenset(["article", "main"])
 FOREIGN = frozenset(["svg", "math"])
 _P_CLOSERS = BLOCK - {"body", "html", "head"}
@@ -56,6 +62,20 @@ _PART_TOKENS = 1 << 20
 _RUN_A, _RUN_B, _TOKEN = Polynomial(41), Polynomial(42), Polynomial(43)
 
 
+def _chrome_name(value: str, prose: bool) -> bool:
+    """Whether a class name or id names page chrome.
+
+    The last word of a compound says what the thing is: ``main-menu`` is a menu and ``menu-history`` a history. Words that only say where
+    something is laid out, and numbers, do not count as the last one: ``ad-box-2`` is an ad. Of ``prose`` only whole names count.
+    """
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if w]
+    if prose:
+        return len(words) == 1 and words[0] in CHROME_WORDS
+    while len(words) > 1 and words[-1] in LAYOUT_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in CHROME_WORDS
+
+
 def _role(name: str, attributes: str, inside: bool) -> str:
     """'article', 'chrome' or '' of an element; ``inside`` says that an article is already open."""
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -65,8 +85,8 @@ def _role(name: str, attributes: str, inside: bool) -> str:
     if role in CHROME_ROLES:
         return "chrome"
     if name not in ("html", "body", "main") and not (name == "article" and not inside):
-        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower())
-        if not CHROME_WORDS.isdisjoint(words):
+        names = [*found.get("class", "").split(), *found.get("id", "").split()]
+        if any(_chrome_name(n, name in PROSE) for n in names):
             return "chrome"
     return "article" if name in ARTICLE or role in ARTICLE or found.get("itemprop", "").lower() == "articlebody" else ""
 

@@ -335,6 +335,18 @@ def test_elements_without_text_end_with_their_parent(page, text):
     assert "\n".join(t for t, article, chrome in html_text.blocks(page) if article and not chrome) == text
 
 
+@pytest.mark.parametrize("element, kept", [
+    ('div class="menu-history"', True), ('p class="promotion"', True), ('p id="ad-hoc"', True), ("label", True), ('section id="social-history-of-france"', True),
+    ('div class="notice-of-meeting"', True), ('p class="footer-text share-price"', True), ('h2 id="comments-on-kant"', True), ('div class="cookieRecipe"', True), ('span class="nav-text"', True),
+    ('div class="main-menu"', False), ('div class="ad"', False), ('div class="ad-box-2"', False), ('div id="commentsSection"', False), ('ul class="nav nav-list"', False), ('p class="advert"', False),
+    ('div class="cookie-bar"', False), ('div class="x sidebar-left"', False), ('div class="newsletter-form"', False), ('li class="share"', False),
+])
+def test_names_of_chrome_inside_an_article(element, kept):
+    page = f"<body><nav>menu</nav><article><p>before</p><{element}>own text</{element.split()[0]}><p>after</article>"
+    lines = [t for t, article, chrome in html_text.blocks(page) if article and not chrome]
+    assert " ".join(lines).split() == ("before own text after" if kept else "before after").split()
+
+
 def test_suffix_order_agrees_with_sorting():
     rng = np.random.default_rng(2)
     for depth in (1, 2, 3, 8):
