@@ -2,10 +2,11 @@
 
 Text likelihoods come from a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of distinct texts of each
 language that enough texts declare. No text model can speak for or against a rarer language, so there the declaration decides. The other three kinds of evidence are counted over all rows, by the language that
-the text alone suggests: how often rows of a language declare each value, how often they lie under each suffix, and how
-the languages of a host are spread. A host's prior is smoothed towards that of its domain, this towards its suffix
-and that towards all rows, so a small host says little and a large one much; a row's own vote is left out of its host's counts.
-All tables are grouped aggregates, one row per value or host; the texts are read once and never shuffled.
+the text alone suggests: how often rows of a language declare each value, and how the languages of a suffix, a domain and a
+host are spread. A host's prior is smoothed towards that of its domain, this towards its suffix and that towards all
+rows, so a small host says little and a large one much; a row's own vote is left out of its host's counts. The suffix counts once, as the level
+of this prior that all hosts under it share: it has no factor of its own beside it.
+All tables are grouped aggregates of (value or host, language) rows; the texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -143,12 +144,20 @@ def _argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)).cast("int") - 1
 
 
-def _counts(size: int) -> Column:
-    return F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(size)])
+def _votes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, best, votes: a row per key and language that occurs with it."""
+    return rows.groupBy(*keys, "best").agg(F.sum("votes").alias("votes"))
 
 
-def _sums(column: str, size: int) -> Column:
-    return F.array(*[F.sum(F.col(column)[i]) for i in range(size)])
+def _vectors(votes: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, n: the votes of each key as an array over all languages."""
+    held = votes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "votes"))).alias("m"))  # as many as there are languages
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("n"))
+
+
+def _by_language(votes: DataFrame, size: int) -> list[float]:
+    found = {r["best"]: r["votes"] for r in _votes(votes, []).collect()}  # a row per language
+    return [found.get(i, 0.0) for i in range(size)]
 
 
 def _total(values: Column) -> Column:
@@ -162,12 +171,11 @@ def _smoothed(counts: Column, towards: Column) -> Column:
 
 def _likelihoods(rows: DataFrame, column: str, size: int) -> DataFrame:
     """(value, log P(value | language) array), smoothed by one more row spread over the values."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(_counts(size).alias("n"))
-    totals = counts.agg(_sums("n", size).alias("n"), F.count(F.lit(1)).alias("values")).first()
-    if not totals["values"]:
-        return counts.select(column, F.col("n").alias(f"{column}_log"))
-    whole = F.array(*[F.lit(float(x)) for x in totals["n"]])
-    return counts.select(column, F.zip_with("n", whole, lambda n, all_: F.log((n + 1.0 / totals["values"]) / (all_ + 1.0))).alias(f"{column}_log"))
+    votes = written(_votes(rows.filter(F.col(column).isNotNull()), [column]), f"{column}-votes")
+    values = votes.select(column).distinct().count()
+    whole = F.array(*[F.lit(x) for x in _by_language(votes, size)])
+    return _vectors(votes, [column], size).select(
+        column, F.zip_with("n", whole, lambda n, all_: F.log((n + 1.0 / max(values, 1)) / (all_ + 1.0))).alias(f"{column}_log"))
 
 
 def identify(records: DataFrame, keys: list[str], train_rows: int = TRAIN_ROWS, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
@@ -195,26 +203,27 @@ def identify(records: DataFrame, keys: list[str], train_rows: int = TRAIN_ROWS,
     prior = F.array(*[F.lit(math.log(UNKNOWN_SHARE if n == UNKNOWN else 1.0)) for n in model.languages])
     scored = rows.mapInArrow(_scored(shared), schema).withColumn("scores", F.transform("scores", lambda s: s * TEXT_WEIGHT))
     scored = written(scored.withColumn("best", F.when(F.col("trigrams") > 0, _argmax(F.zip_with("scores", prior, lambda a, b: a + b)))), "language-scores")
-    voting = scored.filter("best is not null")
+    voting = scored.filter("best is not null").withColumn("votes", F.lit(1.0))
 
-    whole = voting.agg(_counts(size).alias("n")).first()["n"]
+    whole = _by_language(voting, size)
     everywhere = F.array(*[F.lit((n + 1.0) / (sum(whole) + size)) for n in whole])
-    hosts = written(voting.filter("host is not null").groupBy("host", "domain", "suffix").agg(_counts(size).alias("n")), "host-counts")
-    suffixes = hosts.filter("suffix is not null").groupBy("suffix").agg(_sums("n", size).alias("n")).select("suffix", _smoothed(F.col("n"), everywhere).alias("suffix_prior"))
-    domains = hosts.filter("domain is not null").groupBy("domain", "suffix").agg(_sums("n", size).alias("n")).join(suffixes, "suffix").select(
-        "domain", "suffix", _smoothed(F.col("n"), F.col("suffix_prior")).alias("domain_prior"))
-    priors = hosts.join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left").select(
-        "host", "domain", "suffix", "n", F.coalesce("domain_prior", "suffix_prior", everywhere).alias("towards"))
-    priors = written(priors.select(*[F.col(c).alias(f"_{c}") for c in ("host", "domain", "suffix")], "n", "towards"), "host-priors")
-    declared, suffix = (written(_likelihoods(voting, c, size), f"{c}-likelihoods") for c in ("declared", "suffix"))
+    levels = ["host", "domain", "suffix"]
+    votes = written(_votes(voting.filter("host is not null"), levels), "host-votes")
+    under = lambda keys: _vectors(_votes(votes.filter(F.col(keys[0]).isNotNull()), keys), keys, size)
+    suffixes = under(["suffix"]).select("suffix", _smoothed(F.col("n"), everywhere).alias("suffix_prior"))
+    domains = under(["domain", "suffix"]).join(suffixes, "suffix").select("domain", "suffix", _smoothed(F.col("n"), F.col("suffix_prior")).alias("domain_prior"))
+    priors = _vectors(votes, levels, size).join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left").select(
+        *levels, "n", F.coalesce("domain_prior", "suffix_prior", everywhere).alias("towards"))
+    priors = written(priors.select(*[F.col(c).alias(f"_{c}") for c in levels], "n", "towards"), "host-priors")
+    declared = written(_likelihoods(voting, "declared", size), "declared-likelihoods")
 
     same = (F.col("host") == F.col("_host")) & F.col("domain").eqNullSafe(F.col("_domain")) & F.col("suffix").eqNullSafe(F.col("_suffix"))
-    joined = scored.join(priors, same, "left").join(declared, "declared", "left").join(suffix, "suffix", "left")
+    joined = scored.join(priors, same, "left").join(declared, "declared", "left")
     own = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == F.col("best"), 1.0).otherwise(0.0))
     others = F.zip_with("n", own, lambda n, o: n - o)
     host_prior = F.coalesce(F.when(F.col("n").isNotNull(), _smoothed(others, F.col("towards"))), everywhere)
     none = F.array(*[F.lit(0.0)] * size)
-    evidence = [F.col("scores"), F.transform(host_prior, lambda p: F.log(p)), F.coalesce("declared_log", none), F.coalesce("suffix_log", none), prior]
+    evidence = [F.col("scores"), F.transform(host_prior, lambda p: F.log(p)), F.coalesce("declared_log", none), prior]
     fused = evidence[0]
     for more in evidence[1:]:
         fused = F.zip_with(fused, more, lambda a, b: a + b)

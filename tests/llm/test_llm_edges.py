@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +264,52 @@ def test_pages_use_markup_and_address(spark):
     assert (found[200], found[201], found[202]) == ("de", "en", "und")
 
 
+def fused_by_hand(rows, text_scores, languages, drop=None):
+    """Plain Python over (declared, suffix, domain, host) rows and their scaled text scores; ``drop`` leaves one kind of evidence out."""
+    prior = [math.log(language.UNKNOWN_SHARE if n == "und" else 1.0) for n in languages]
+    k, size = language.SMOOTHING, len(languages)
+    best = [max(range(size), key=lambda i: s[i] + prior[i]) for s in text_scores]
+    count = lambda keep: [float(sum(b == i and keep(r) for b, r in zip(best, rows))) for i in range(size)]
+    smooth = lambda n, towards: [(x + k * p) / (sum(n) + k) for x, p in zip(n, towards)]
+    whole = count(lambda r: True)
+    everywhere = [(n + 1.0) / (sum(whole) + size) for n in whole]
+    values = {r[0] for r in rows} - {None}
+    declaring = count(lambda r: r[0] is not None)
+    out = []
+    for (declared, suffix, domain, host), scores, own in zip(rows, text_scores, best):
+        towards = everywhere
+        if suffix and drop != "suffix":
+            towards = smooth(count(lambda r: r[1] == suffix), towards)
+        if domain and drop != "domain":
+            towards = smooth(count(lambda r: r[2] == domain), towards)
+        host_prior = towards
+        if host and drop != "host":
+            n = count(lambda r: r[3] == host)
+            host_prior = smooth([x - (i == own and drop != "own") for i, x in enumerate(n)], towards)
+        said = [math.log((x + 1.0 / len(values)) / (all_ + 1.0)) for x, all_ in zip(count(lambda r: r[0] == declared), declaring)] if declared and drop != "declared" else [0.0] * size
+        fused = [(0.0 if drop == "text" else s) + math.log(h) + d + (0.0 if drop == "unknown" else p) for s, h, d, p in zip(scores, host_prior, said, prior)]
+        out.append((max(range(size), key=lambda i: fused[i]), 1.0 / sum(math.exp(f - max(fused)) for f in fused)))
+    return out
+
+
+def test_every_kind_of_evidence_counts(spark):
+    english, german, short = "the house of the man and the water was there", "das haus und der mann mit dem wasser ist hier", ("the haus", "der house", "in the", "in der", "man", "ist was")
+    rows = [(f"http://{'abc'[i % 3]}.{'mn'[i % 2]}.{('de', 'uk')[i % 7 == 0]}/{i}", ("de", "en")[i % 5 == 0] if i % 4 else None, f"{german if i % 7 else english} {i}") for i in range(60)]
+    rows += [(f"http://{'xyz'[i % 3]}.{'pq'[i % 2]}.{('uk', 'de')[i % 9 == 0]}/{i}", ("en", "de")[i % 6 == 0] if i % 4 else None, f"{english} {i}") for i in range(60)]
+    rows += [(f"http://{'abxy'[i % 4]}.{'mp'[i % 4 // 2]}.{('de', 'uk')[i % 4 // 2]}/s{i}", (None, "en", "de")[i % 3], short[i % 6]) for i in range(36)] + [(None, None, "in der the"), ("http://lone.org", None, "man")]
+    records = spark.createDataFrame([(i, text, tag, url, None) for i, (url, tag, text) in enumerate(rows)], "id long, text string, markup string, address string, host string")
+    model = language.fit(records.select("text", F.col("markup").alias("declared")))
+    scores = (model.score(pa.array([r[2] for r in rows]))[0] * language.TEXT_WEIGHT).tolist()
+    parts = [(tag, *((None,) * 3 if url is None else (host.split(".")[-1], ".".join(host.split(".")[-2:]), host))) for url, tag, _ in rows for host in [url and url.split("/")[2]]]
+    found = sorted((r.id, model.languages.index(r.lang), r.posterior) for r in language.identify(records, ["id"]).collect())
+    wanted = fused_by_hand(parts, scores, model.languages)
+    assert [lang for _, lang, _ in found] == [lang for lang, _ in wanted]
+    assert np.allclose([p for *_, p in found], [p for _, p in wanted], rtol=1e-9)
+    for kind in ("text", "declared", "suffix", "domain", "host", "own", "unknown"):  # each term moves what comes out
+        assert not np.allclose([p for *_, p in found], [p for _, p in fused_by_hand(parts, scores, model.languages, kind)], rtol=1e-6), kind
+    assert [x for x, _ in fused_by_hand(parts, scores, model.languages, "declared")] != [x for x, _ in wanted]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
