@@ -110,26 +110,41 @@ def clean_corpus(t: Tables):
     return clean.filter_quality(clean.dedup_normalized(merged(t), ["corpus", "doc_id", "line_no"]))
 
 
-_TRIGRAMS = """points AS (SELECT doc_id, line_no, lang, list_transform(string_split(' ' || line || ' ', ''), lambda c: unicode(c)::BIGINT) AS c FROM lines),
-grams AS (SELECT doc_id, line_no, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 16384)) AS bucket FROM points),
-line_grams AS (SELECT doc_id, line_no, lang, bucket, count(*) AS n FROM grams GROUP BY ALL),
-langs AS (SELECT lang AS language, count(*) AS docs FROM lines GROUP BY lang),
-seen AS (SELECT lang AS language, bucket, sum(n) AS n FROM line_grams GROUP BY ALL),
+def _trigram_sql(table: str, key: str) -> str:
+    """Relation ``english``: the rows of ``table`` that the model of ``lines`` takes for English with 0.9 or more."""
+    grams = """SELECT *, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 16384)) AS bucket
+  FROM (SELECT *, list_transform(string_split(' ' || line || ' ', ''), lambda c: unicode(c)::BIGINT) AS c FROM {})"""
+    return f"""langs AS (SELECT lang AS language, count(*) AS docs FROM lines GROUP BY lang),
+seen AS (SELECT lang AS language, bucket, count(*) AS n FROM ({grams.format("lines")}) GROUP BY ALL),
 sizes AS (SELECT language, sum(n) + 16384 AS total FROM seen GROUP BY language),
-weights_ AS (SELECT l.language, b.bucket, ln((coalesce(s.n, 0) + 1.0) / z.total) AS w
-  FROM langs l JOIN sizes z USING (language) CROSS JOIN (SELECT DISTINCT bucket FROM seen) b LEFT JOIN seen s ON s.language = l.language AND s.bucket = b.bucket),
-scores AS (SELECT g.doc_id, g.line_no, w.language, any_value(ln(l.docs / (SELECT sum(docs) FROM langs))) + sum(g.n * w.w) AS score
-  FROM line_grams g JOIN weights_ w USING (bucket) JOIN langs l USING (language) GROUP BY ALL),
-odds AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id, line_no)) AS o FROM scores),
-english AS (SELECT doc_id, line_no FROM (SELECT *, o / sum(o) OVER (PARTITION BY doc_id, line_no) AS p FROM odds) WHERE language = 'en' AND p >= 0.9)"""
+line_grams AS (SELECT {key}, bucket, count(*) AS n FROM ({grams.format(table)}) GROUP BY ALL),
+weights_ AS (SELECT language, bucket, ln((coalesce(s.n, 0) + 1.0) / z.total) AS w
+  FROM sizes z CROSS JOIN (SELECT DISTINCT bucket FROM line_grams) b LEFT JOIN seen s USING (language, bucket)),
+scores AS (SELECT {key}, language, any_value(ln(l.docs / (SELECT sum(docs) FROM langs))) + sum(g.n * w.w) AS score
+  FROM line_grams g JOIN weights_ w USING (bucket) JOIN langs l USING (language) GROUP BY {key}, language),
+odds AS (SELECT *, exp(score - max(score) OVER (PARTITION BY {key})) AS o FROM scores),
+english AS (SELECT {key} FROM (SELECT *, o / sum(o) OVER (PARTITION BY {key}) AS p FROM odds) WHERE language = 'en' AND p >= 0.9)"""
 
 
-@query("filter_language_id", q.with_(q.LINES, _TRIGRAMS, f"SELECT {_COLUMNS} FROM lines ANTI JOIN english USING (doc_id, line_no)"))
+@query("filter_language_id", q.with_(q.LINES, _trigram_sql("lines", "doc_id, line_no"), f"SELECT {_COLUMNS} FROM lines ANTI JOIN english USING (doc_id, line_no)"))
 def filter_language_id(t: Tables):
     found = lines(t).select("doc_id", "lang", "line_no", "line")
     return language_id.filter_language_id(found, language_id.fit_language_id(found))
 
 
+@query("clean_corpus_language", q.with_(
+    q.LINES, _BENCH, _MERGED,
+    f"""chain AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY corpus, doc_id, line_no) AS r FROM merged)
+  WHERE r = 1 AND {_LENGTH} AND {_AVERAGE} AND {_LONG} AND {_ALPHABET})""",
+    _trigram_sql("chain", "corpus, doc_id, line_no"),
+    "SELECT corpus, doc_id, line_no, line FROM chain ANTI JOIN english USING (corpus, doc_id, line_no)"))
+def clean_corpus_language(t: Tables):
+    """The whole cleaning chain over merged corpora: duplicates, line filters, then lines in the language to leave out."""
+    model = language_id.fit_language_id(lines(t).select("lang", "line"))
+    kept = clean.filter_quality(clean.dedup_normalized(merged(t), ["corpus", "doc_id", "line_no"]))
+    return language_id.filter_language_id(kept, model)
+
+
 @query("remove_blank_lines", f"""
 SELECT doc_id, line_no, line FROM (
   SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, {q.strip('unnest(p)')} AS line

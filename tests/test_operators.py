@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -553,3 +554,26 @@ def test_similarity_as_a_flag(spark):
     assert {t: r.origin for t, r in found.items()} == {"<s>": "special", "a": "identity", "b": "identity", "c": "similarity", "d": "random"}
     assert list(found["b"].vector) == [0.0, 1.0] and list(found["c"].vector) == [0.0, 1.0]  # c's description equals b's
     assert embed.matched_tokens(old, new).first().asDict() == {"matched": 3, "new_tokens": 5, "share": 0.6}
+
+
+def test_trigram_scores_of_a_batch():
+    from lexmesh.operators import language_id
+    rng = random.Random(3)
+    lines = ["", "a", "", "ab", "é漢𝒳 z"] + ["".join(rng.choice("abc é漢𝒳") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["long " * 60_000, "", "end", ""]
+    weights = np.random.default_rng(1).normal(size=(1 << 10, 3))
+    wanted = []
+    for line in lines:
+        points = [ord(c) for c in f" {line} "]
+        wanted.append(sum((weights[(a * 961 + b * 31 + c) % (1 << 10)] for a, b, c in zip(points, points[1:], points[2:])), np.zeros(3)))
+    found = language_id.line_scores(pd.Series(lines), weights)
+    assert np.allclose(found, wanted, rtol=1e-9, atol=1e-9)
+    assert language_id.line_scores(pd.Series([], dtype=object), weights).shape == (0, 3)
+
+
+def test_language_counts_leave_out_nulls(spark):
+    from lexmesh.operators import language_id
+    rows = [("a", "xyz"), ("b", "uvw"), ("a", "xyx"), (None, "xyz"), ("b", None), ("a", "")]
+    model = language_id.fit_language_id(spark.createDataFrame(rows, "lang string, line string"))
+    assert model.languages == ["a", "b"] and np.allclose(np.exp(model.priors), [0.75, 0.25])
+    told = {r.line: r.predicted for r in language_id.identify_language(spark.createDataFrame([("xyz",), ("uvw",), (None,)], "line string"), model).collect()}
+    assert told["xyz"] == "a" and told["uvw"] == "b" and None in told
