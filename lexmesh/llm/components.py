@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.storage import written
+from lexmesh.llm.storage import discard, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge's upper end linked with the minimum of its lower one.
+
+    The minima are stored before they meet the edges: Spark knows their size and sends them around if they are few; else the join has an
+    exchange of its own, in which adaptive execution can split a node of very many links.
+    """
+    return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _step(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step, as a stored table."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    large = written(_star(both.filter("v > u"), least).distinct(), "edges")
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    lower = written(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    small = written(_star(down, lower).union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    discard(least, large, lower)
+    return small
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,7 +42,8 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(links.filter("u <> v").select("u", "v").distinct(), "edges")
     state = _signature(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        earlier, edges = edges, _step(edges)
+        discard(earlier)
         after = _signature(edges)
         if after == state:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.components import connected
 from lexmesh.llm.sketch import bits_for, repeated_keys
-from lexmesh.llm.storage import without, written
+from lexmesh.llm.storage import discard, without, written
 from lexmesh.llm.words import Polynomial, documents, grams, mix, signed
 
 _SHINGLE = Polynomial(31)
@@ -259,9 +259,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     order = Order(spark, np.array([r["key"] for r in ranked], np.int64).view(np.uint64), np.array([r["n"] for r in ranked], np.int64), shared.reader())
     raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, cid binary, n int, room int")
     members = raw.groupBy("key", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
-    members = written(members, "keys")
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("others")).filter("others > 1").select("key")
-    members = written(members.join(written(counts, "lists"), "key"), "list-members")
+    keys = written(members, "keys")
+    lists = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("others")).filter("others > 1").select("key"), "lists")
+    members = written(keys.join(lists, "key"), "list-members")
+    discard(keys, lists)
 
     listed = members.select("cid").distinct()
     needed = repeated_keys(listed, _twice, bits_for(listed.count(), per_key=12), depth=4)
@@ -287,7 +288,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     pairs = open_lists.select("key", "cid").join(chosen.select("key", "s", "b"), "key").select(
         "key", "cid", "s", F.least("cid", "b").alias("u"), F.greatest("cid", "b").alias("v"))
     known = pairs.join(tested.select("u", "v", "distance"), ["u", "v"]).groupBy("key", "cid").agg(*[F.max(F.when(F.col("s") == s, F.col("distance"))).alias(f"d{s}") for s in range(_CENTRES)])
-    open_lists = written(open_lists.join(known, ["key", "cid"], "left"), "open-lists")
+    lists, open_lists = open_lists, written(open_lists.join(known, ["key", "cid"], "left"), "open-lists")
+    discard(lists)
     far = [f"d{s}" for s in range(_CENTRES)]
     rest = open_lists.filter("root <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("root").alias("root_a"), *[F.col(d).alias(f"{d}_a") for d in far])
     every = open_lists.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("root").alias("root_b"), *[F.col(d).alias(f"{d}_b") for d in far])
@@ -298,6 +300,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     apart = rest.join(every, (rest["key"] == every["key"]) & possible)
     missing = _ordered(apart, threshold).join(tested, ["u", "v"], "left_anti")
     links = written(links.unionByName(_verified(missing, sets, threshold).filter("linked").select("u", "v")), "links")
+    discard(members, sets, chosen, tested, roots, largest, open_lists)
     roots = connected(links)
 
     smallest = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")
