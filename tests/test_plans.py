@@ -58,3 +58,9 @@ def test_aggregations_combine_before_the_shuffle(spark):
     for name, partial in (("word_frequencies", "partial_count"), ("dedup_normalized", "partial_min"), ("category_moments", "partial_aggregate"), ("accuracy", "partial_count")):
         text = plan(entry.queries()[name](spark, TESTDATA))
         assert partial in text, (name, text)
+
+
+@pytest.mark.parametrize("name", ["bio_instances", "parse_bio", "read_ner_json"])
+def test_sentences_are_shuffled_as_text(spark, name):
+    text = plan(entry.queries()[name](spark, TESTDATA))
+    assert "collect_list(line" in text and "collect_list(struct" not in text
