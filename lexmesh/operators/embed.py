@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmesh.functions.hashing import normal
 from lexmesh.operators.scripts import SPECIAL_CATEGORY, is_special, script_categories
 from lexmesh.operators.similarity import init_by_similarity
+from lexmesh.session import lookup
 
 
 def _summary(vectors: DataFrame, *by: str) -> DataFrame:
@@ -155,11 +156,14 @@ PRESETS = {
 }
 
 
-def pool_word_vectors(alignment: DataFrame, pieces: DataFrame) -> DataFrame:
+def pool_word_vectors(alignment: DataFrame, pieces: DataFrame, broadcast_rows: int = 1 << 20) -> DataFrame:
     """Mean of each word's subword vectors.
 
-    ``alignment`` is ``(word keys..., id)``, ``pieces`` ``(id, vector)``.
+    ``alignment`` is ``(word keys..., id)``, ``pieces`` ``(id, vector)``. Words are shuffled with their ids alone; up to
+    ``broadcast_rows`` vectors are broadcast to them, more are joined by shuffle.
     """
     keys = [c for c in alignment.columns if c != "id"]
-    rows = alignment.join(pieces.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("v")), "id")
+    words = alignment.groupBy(*keys).agg(F.collect_list("id").alias("_ids")).select(*keys, F.explode("_ids").alias("id"))
+    rows = lookup(words, pieces.select("id", "vector"), ["id"], broadcast_rows=broadcast_rows)
+    rows = rows.select(*keys, array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
     return rows.groupBy(*keys).agg(Summarizer.mean(F.col("v")).alias("v")).select(*keys, vector_to_array("v").alias("vector"))

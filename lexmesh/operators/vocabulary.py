@@ -129,9 +129,9 @@ def token_language_counts(tokens: DataFrame, vocab: DataFrame, languages: Sequen
     return grid.join(counted, ["token", "lang"], "left").select("token", "lang", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
-def attach_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = 3) -> DataFrame:
-    """Vocabulary ids by equi-join; unknown tokens get the unknown id."""
-    found = lookup(tokens, vocab.select("token", "id"), ["token"], "left")
+def attach_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = 3, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """Vocabulary ids by equi-join; unknown tokens get the unknown id. A vocabulary of up to ``broadcast_rows`` entries is broadcast."""
+    found = lookup(tokens, vocab.select("token", "id"), ["token"], "left", broadcast_rows)
     return found.withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
