@@ -24,6 +24,13 @@ def uniform(seed: int | str, *keys: Column | str) -> Column:
     return _unit(hash_key(seed, *keys), 1)
 
 
+def below(share: float, seed: int | str, *keys: Column | str) -> Column:
+    """``uniform(seed, *keys) < share``, read off the digits: both sides are whole numbers over 2^52, of 13 hex digits each."""
+    if share >= 1:
+        return F.lit(True)
+    return hash_key(seed, *keys) < F.lit(f"{math.ceil(max(share, 0.0) * _TWO_52):013x}")
+
+
 def normal(seed: int | str, *keys: Column | str) -> Column:
     """N(0, 1) by Box-Muller on two disjoint digit ranges of one md5."""
     digest = hash_key(seed, *keys)

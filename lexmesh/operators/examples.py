@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.functions.hashing import hash_key, uniform
+from lexmesh.functions.hashing import below, hash_key, uniform
 from lexmesh.functions.numbering import number_rows, rank_by_hash
 from lexmesh.operators.tagged import IGNORED
 from lexmesh.session import lookup
@@ -116,14 +116,16 @@ def mask_tokens(df: DataFrame, key: Sequence[str], ids: str = "input_ids", proba
     the original id, all other labels are -100. Special ids are never chosen.
     """
     reserved = F.array(*[F.lit(s) for s in special])
+    # what the positions of a row share is spelled once: a column of its own would be merged into the expression for each of them
+    shared = F.array(F.concat_ws(":", F.lit("pick"), *[F.col(k).cast("string") for k in key]))
 
-    def draw(x: Column, i: Column) -> Column:
-        chosen = ~F.array_contains(reserved, x) & (uniform(seed, F.lit("pick"), *key, i) < probability)
+    def draw(row: Column, x: Column, i: Column) -> Column:
+        chosen = ~F.array_contains(reserved, x) & below(probability, seed, row, i)
         how = uniform(seed, F.lit("how"), *key, i)
         other = F.floor(uniform(seed, F.lit("other"), *key, i) * vocab_size).cast("int")
         return F.struct(x.alias("x"), F.when(chosen, F.when(how < 0.8, F.lit(mask)).when(how < 0.9, other).otherwise(x)).alias("y"))
 
-    drawn = df.withColumn("_drawn", F.transform(ids, draw))
+    drawn = df.withColumn("_drawn", F.get(F.transform(shared, lambda row: F.transform(ids, lambda x, i: draw(row, x, i))), F.lit(0)))
     return drawn.withColumn("masked_ids", F.transform("_drawn", lambda d: F.coalesce(d["y"], d["x"]))).withColumn(
         "mask_labels", F.transform("_drawn", lambda d: F.when(d["y"].isNull(), F.lit(IGNORED)).otherwise(d["x"]))).drop("_drawn")
 
