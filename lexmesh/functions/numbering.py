@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.hashing import hash_key
-from lexmesh.session import cut_lineage, lookup
+from lexmesh.session import cut_lineage, lookup, stored
 
 _HEX_BUCKETS = 1 << 20
 
@@ -79,10 +79,11 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
     """1-based dense row number in ascending ``order`` within ``by``; the order must be total.
 
     The rows are range-shuffled, checkpointed with their position in the partition, and shifted by
-    per-partition offsets, so no task ever holds a whole group.
+    per-partition offsets, so no task ever holds a whole group. They are stored first: finding the ranges
+    reads them once more, and would compute them a second time.
     """
     sort = list(dict.fromkeys([*by, *order]))
-    placed = cut_lineage(df.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()))
+    placed = cut_lineage(stored(df).orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_bucket", F.shiftright("_at", 33).cast("int")).withColumn(
         "_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     numbered = lookup(placed, _offsets(placed, (), F.count(F.lit(1)), None), ["_bucket"])
