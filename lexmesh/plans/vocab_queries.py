@@ -251,7 +251,7 @@ pairs AS (SELECT a.doc_id, a.line_no, a.ids AS a, b.ids AS b FROM line_ids a JOI
 SELECT doc_id, line_no, array_to_string([1] || a || [2] || b || [2], ' ') AS ids,
        array_to_string(list_transform(range(0, len(a) + 2), lambda x: 0) || list_transform(range(0, len(b) + 1), lambda x: 1), ' ') AS type_ids FROM pairs"""))
 def add_special_template(t: Tables):
-    first = line_ids(t)
+    first = stored(line_ids(t))  # both sides of the join read it
     second = first.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("ids").alias("next"))
     ids, types = vocabulary.add_special_template(F.col("ids"), F.col("next"))
     both = first.join(second, LINE_KEY).select(*LINE_KEY, ids.alias("ids"), types.alias("type_ids"))
