@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
 
 class Lattice:
@@ -18,7 +19,8 @@ class Lattice:
 
     def __init__(self, words: Sequence[str], longest: int):
         sizes = np.array([len(w) for w in words], np.int64)
-        self.text = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        self.joined = "".join(words)
+        self.text = np.frombuffer(self.joined.encode("utf-32-le"), "<u4").astype(np.int64)
         offsets = np.cumsum(sizes) - sizes
         self.first = offsets + np.arange(len(words))  # a word has one node more than characters
         self.last = self.first + sizes
@@ -51,11 +53,14 @@ class Lattice:
 
     def _suffixes(self, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
         """Order of the suffixes, and how many characters each shares with the one before it (-1 for the first)."""
-        table = np.zeros((len(self.text), longest), ">u4")
+        letters, code = np.unique(self.text, return_inverse=True)
+        kind = next(np.dtype(t) for t in (np.uint8, np.uint16, np.uint32) if len(letters) < np.iinfo(t).max)
+        each = 8 // kind.itemsize  # letters in a key
+        table = np.zeros((len(self.text), -(-longest // each) * each), kind.newbyteorder(">"))
         for i in range(longest):
             inside = np.flatnonzero(left > i)
-            table[inside, i] = self.text[inside + i] + 1
-        order = np.argsort(np.ascontiguousarray(table).view(f"S{4 * longest}").ravel(), kind="stable")
+            table[inside, i] = code[inside + i] + 1
+        order = np.lexsort(table.view(">u8").astype(np.uint64).T[::-1])
         table = table[order]
         common = np.full(len(order), -1)
         common[1:] = np.logical_and.accumulate(table[1:] == table[:-1], axis=1).sum(axis=1)
@@ -63,7 +68,16 @@ class Lattice:
 
     def pieces(self) -> list[str]:
         """The substring behind each number."""
-        return ["".join(map(chr, self.text[a:a + n].tolist())) for a, n in zip(self.example.tolist(), self.length.tolist())]
+        return self.piece_array().to_pylist()
+
+    def piece_array(self) -> pa.Array:
+        bytes_of = 1 + (self.text >= 0x80) + (self.text >= 0x800) + (self.text >= 0x10000)
+        at = np.concatenate(([0], np.cumsum(bytes_of)))
+        sizes = at[self.example + self.length] - at[self.example] if len(self.example) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        source = np.repeat(at[self.example] - ends[:-1], sizes) + np.arange(int(ends[-1]))
+        data = np.frombuffer(self.joined.encode(), np.uint8)[source]
+        return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
     def counts(self, n: np.ndarray) -> np.ndarray:
         """Occurrences of each substring in words that occur ``n`` times."""
@@ -75,7 +89,10 @@ class Lattice:
         """Log-sum (or maximum) over the paths from a word's start to each node, or from each node to its end; and the best arc."""
         source, target = (self.start, self.end) if forward else (self.end, self.start)
         level = self.level_to[arcs] if forward else -self.level_from[arcs]
-        order = np.lexsort((source[arcs], target[arcs], level))
+        # one key of level, target and source; no two arcs have the same ends
+        apart = source[arcs] - target[arcs]
+        lowest, width = (int(apart.min()), int(np.ptp(apart)) + 1) if len(arcs) else (0, 1)
+        order = np.argsort(((level - (level.min() if len(arcs) else 0)) * self.nodes + target[arcs]) * width + (apart - lowest))
         arcs, weight, level = arcs[order], weight[order], level[order]
         value = np.full(self.nodes, -np.inf)
         value[self.first if forward else self.last] = 0.0

@@ -6,7 +6,7 @@ Words lie in blocks whose substrings are numbered once; piece tables, expected c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmesh.functions.text import WORD_INITIAL, words
+from lexmesh.functions.word_ids import WordIds
 from lexmesh.operators.lattice import Lattice
 from lexmesh.operators.vocabulary import largest
 from lexmesh.session import cut_lineage, stored
 
 _BLOCK_WORDS = 1 << 13
-_MEMO_ENTRIES = 200_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -56,9 +56,9 @@ def _substrings(longest: int):
         for batch in batches:
             for block, words, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = Lattice(words, longest)
-                pieces = found.pieces()
+                pieces = found.piece_array()
                 counts = found.counts(np.array(n, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), block)), pa.array(np.arange(len(pieces)), pa.int32()), pa.array(pieces, pa.string()), pa.array(counts)],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), block)), pa.array(np.arange(len(pieces)), pa.int32()), pieces, pa.array(counts)],
                                                  ["block", "code", "piece", "n"])
     return run
 
@@ -159,67 +159,68 @@ def train_unigram(frequencies: DataFrame, vocab_size: int, seed_size: int = 1_00
 
 
 class _Vocabulary:
-    """Pieces of a bounded vocabulary; every distinct substring of a block of words is looked up once, however often it occurs in them."""
+    """Pieces of a bounded vocabulary, for one word at a time."""
 
-    def __init__(self, tokens: list[str], ids: np.ndarray, scores: np.ndarray):
+    def __init__(self, tokens: list[str], ids: list[int], scores: list[float], unknown_id: int):
         self.longest = max(map(len, tokens), default=1)
-        self.floor = float(scores.min()) if len(scores) else 0.0
-        self._by_token, self.ids, self.scores = dict(zip(tokens, range(len(tokens)))), ids, scores
-
-    def segmented(self, words: list[str], unknown_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, one behind the other; number of ids per word). A run of unknown characters is one unknown piece."""
-        lattice = Lattice(words, self.longest)
-        number = np.fromiter((self._by_token.get(p, -1) for p in lattice.pieces()), np.int64, len(lattice.example))
-        scores = np.where(number >= 0, self.scores[number], -np.inf) if len(self.scores) else np.full(len(number), -np.inf)
-        _, word, piece, known = lattice.best(scores, unknown=self.floor - _UNKNOWN_PENALTY)
-        ids = np.where(known, self.ids[number[piece]], unknown_id) if len(self.ids) else np.full(len(piece), unknown_id)
-        again = np.zeros(len(ids), bool)
-        again[1:] = (ids[1:] == unknown_id) & (ids[:-1] == unknown_id) & (word[1:] == word[:-1])
-        return ids[~again], np.bincount(word[~again], minlength=len(words))
+        self._unknown = (min(scores, default=0.0) - _UNKNOWN_PENALTY, unknown_id)
+        # beginnings of pieces tell where no longer piece can follow
+        self._found: dict[str, tuple[float, int] | None] = dict.fromkeys(t[:i] for t in tokens for i in range(1, len(t)))
+        self._found.update(zip(tokens, zip(scores, ids)))
+
+    def segmented(self, word: str) -> list[int]:
+        """Ids of the best segmentation, of equals that with the longest last piece. A run of unknown characters is one unknown piece."""
+        found, unknown, size = self._found, self._unknown, len(word)
+        best, before, id_of = [0.0] + [-inf] * size, [0] * (size + 1), [0] * (size + 1)
+        for start in range(size):
+            value = best[start]
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                piece = found.get(word[start:end], False)
+                if not piece:
+                    if end == start + 1:
+                        if value + unknown[0] > best[end]:
+                            best[end], before[end], id_of[end] = value + unknown[0], start, unknown[1]
+                    if piece is False:
+                        break
+                elif value + piece[0] > best[end]:
+                    best[end], before[end], id_of[end] = value + piece[0], start, piece[1]
+        path, end = [], size
+        while end:
+            path.append(id_of[end])
+            end = before[end]
+        return _one_unknown(path[::-1], unknown[1])
+
+
+def _one_unknown(ids: list[int], unknown_id: int) -> list[int]:
+    return [x for i, x in enumerate(ids) if x != unknown_id or not i or ids[i - 1] != unknown_id]
 
 
 def _segmenter(vocab: DataFrame, unknown_id: int, max_vocab: int):
-    """A function for tasks: words, which may hold spaces, to their ids, remembering frequent words."""
+    """A function for tasks: the ids of a word, which may hold spaces."""
     rows = vocab.filter(~F.col("is_special")).select("token", "id", "score").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary exceeds {max_vocab} entries")
-    shared = vocab.sparkSession.sparkContext.broadcast(([r.token for r in rows], np.array([r.id for r in rows], np.int64), np.array([r.score for r in rows], float)))
+    shared = vocab.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows], [float(r.score) for r in rows]))
 
     def make():
-        known, memo = _Vocabulary(*shared.value), {}
-
-        def table(words: list[str]) -> list[np.ndarray]:
-            if len(memo) > _MEMO_ENTRIES:
-                memo.clear()
-            spaced = {w: parts for w in dict.fromkeys(words) if w not in memo and (parts := w.split()) != [w]}
-            new = [w for w in dict.fromkeys(chain((w for w in words if w not in spaced), *spaced.values())) if w not in memo]
-            for low in range(0, len(new), _BLOCK_WORDS):
-                part = new[low:low + _BLOCK_WORDS]
-                ids, sizes = known.segmented([WORD_INITIAL + w for w in part], unknown_id)
-                memo.update(zip(part, np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])))
-            for w, parts in spaced.items():
-                ids = np.concatenate([np.zeros(0, np.int32), *(memo[x] for x in parts)])
-                again = np.zeros(len(ids), bool)
-                again[1:] = (ids[1:] == unknown_id) & (ids[:-1] == unknown_id)
-                memo[w] = ids[~again]
-            return [memo[w] for w in words]
-
-        return table
+        known = _Vocabulary(*shared.value, unknown_id)
+
+        def spell(word: str) -> list[int]:
+            parts = word.split()
+            if parts == [word]:
+                return known.segmented(WORD_INITIAL + word)
+            return _one_unknown([x for part in parts for x in known.segmented(WORD_INITIAL + part)], unknown_id)
+
+        return spell
 
     return make
 
 
-def _gathered(table, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(known: WordIds, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one behind the other, bounds of each word): distinct words are segmented, the rest is an array gather."""
     coded = words.dictionary_encode()
-    own = table(coded.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in own], np.int64)
-    flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-    codes = coded.indices.to_numpy()
-    each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-    ends = np.cumsum(each)
-    at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - each), each) + np.arange(int(each.sum())) if len(codes) else np.zeros(0, np.int64)
-    return flat[at], np.concatenate(([0], ends))
+    distinct = coded.dictionary.to_pylist()
+    return known.gathered(np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()])
 
 
 def _added(batch: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
@@ -231,11 +232,11 @@ def _with_ids(df: DataFrame, vocab: DataFrame, source: Column, nested: bool, unk
     make = _segmenter(vocab, unknown_id, max_vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = make()
+        known = WordIds(make())
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             bounds = lists.offsets.to_numpy().astype(np.int64)
-            ids, ends = _gathered(table, lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+            ids, ends = _gathered(known, lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
             bounds = bounds - bounds[0]
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
             values = pa.array(ids, pa.int32())
