@@ -254,7 +254,7 @@ def _with_ids(df: DataFrame, vocab: DataFrame, source: Column, nested: bool, unk
 def encode_lines(lines: DataFrame, vocab: DataFrame, unknown_id: int = 3, max_vocab: int = 4_000_000) -> DataFrame:
     """Add ``ids``, the piece ids of the line's words, without shuffling any text. A null line has none.
 
-    A batch's distinct words are segmented together, and each worker remembers frequent words, so nothing is joined on hot words.
+    A batch's distinct words are segmented once each, and a task remembers words it has met, so nothing is joined on hot words.
     """
     return _with_ids(lines, vocab, F.coalesce(F.filter(words(F.col("line")), lambda w: w != ""), F.array().cast("array<string>")), False, unknown_id, max_vocab)
 
