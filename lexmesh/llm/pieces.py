@@ -8,6 +8,8 @@ at its left border to those at its right border; products of these matrices are
 suffixes of a document are combined in two levels; the state where prefix and suffix meet at 0 is the piece at the border. With
 the states of both borders known every chunk is traced back by itself. Between two characters that no piece holds
 side by side there is always a border, so a matrix takes a few characters' work at either end of the chunk.
+Inside a chunk, and in a text that is one chunk, there is such a border before every word: a word's matrix is 1 x 1, a product of them adds
+up weights of 0, and the path of a text is that of its words, one behind the other. A task walks the lattices of its distinct words together, place by place.
 
 The model's file is read by the driver and sent to the tasks as a table of pieces; it is never trained here.
 """
@@ -33,8 +35,8 @@ CHUNK = 1 << 15
 _FANOUT = 128
 _CACHE = 1 << 17
 _KNOWN = 1 << 18
-_TOGETHER = 1 << 13  # words merged in a step
-_SHORT = 24  # characters of words that are merged together
+_TOGETHER = 1 << 14  # words whose lattices are walked together
+_SHORT = 64  # characters of such words
 _NO_SPACE = np.arange(256) != 0x20
 _BLOCKED = -np.inf
 
@@ -44,7 +46,8 @@ class Vocabulary:
 
     def __init__(self, names: list[str], scores: list[float | None], bytes_at: list[int]):
         self.names, self.bytes_at, self._given = names, bytes_at, scores
-        self.byte_of = {i: b for b, i in enumerate(bytes_at)}
+        byte_of = {i: b for b, i in enumerate(bytes_at)}
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else name.encode() for i, name in enumerate(names)]
         self.ids = {p: i for i, (p, score) in enumerate(zip(names, scores)) if score is not None}
         self.scores = {p: score for p, score in zip(names, scores) if score is not None}
         self.longest = max(map(len, self.scores))
@@ -58,11 +61,11 @@ class Vocabulary:
     def __reduce__(self):
         return Vocabulary, (self.names, self._given, self.bytes_at)
 
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair encoding of a short text: the best pair first, the leftmost of equals."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """Byte-pair encoding of a short text: the best pair first, the leftmost of equals, while there are more than ``least`` parts."""
         parts, gain = list(text), self.scores.get
         gains = [gain(a + b, _BLOCKED) for a, b in zip(parts, parts[1:])]
-        while gains and (best := max(gains)) > _BLOCKED:
+        while len(parts) > least and (best := max(gains)) > _BLOCKED:
             at = gains.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del gains[at]
@@ -96,9 +99,8 @@ class Vocabulary:
         if known is None:
             if len(self._words) >= _CACHE:
                 self._words.clear()
-            parts = self.merge(word) if len(word) <= 64 else self.trace(word, 0, "", None)
-            known = tuple(i for p in parts for i in self.numbers(p))
-            if len(word) <= 64:
+            known = tuple(i for p in self.trace(word, 0, "", None) for i in self.numbers(p))
+            if len(word) <= _SHORT:
                 self._words[word] = known
         return known
 
@@ -173,19 +175,8 @@ def encode_text(vocabulary: Vocabulary, text: str) -> list[int]:
 
 def decode_ids(vocabulary: Vocabulary, ids, first: bool = True) -> str:
     """Text of the ids; ``first`` says that they start a document, whose leading space was added by the encoder."""
-    names, byte_of = vocabulary.names, vocabulary.byte_of
-    parts, held = [], bytearray()
-    for i in ids:
-        byte = byte_of.get(i)
-        if byte is not None:
-            held.append(byte)
-            continue
-        if held:
-            parts.append(held.decode("utf-8", "replace"))
-            held.clear()
-        parts.append(names[i])
-    parts.append(held.decode("utf-8", "replace"))
-    text = "".join(parts).replace(SPACE, " ")
+    raw = vocabulary.raw
+    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if first and text.startswith(" ") else text
 
 
@@ -305,7 +296,7 @@ def _transfers(vocabulary_of):
     return run
 
 
-def trace_chunk(vocabulary: Vocabulary, left: str, body: str, right: str, first: bool, final: bool, enter: int, leave: int) -> list[int]:
+def trace_chunk(vocabulary: Vocabulary, words: _Words, left: str, body: str, right: str, first: bool, final: bool, enter: int, leave: int) -> list[int]:
     """Ids of the pieces that start in a chunk, given the states at its borders."""
     text = left + body + right
     low, high = len(left), len(left) + len(body)
@@ -323,127 +314,245 @@ def trace_chunk(vocabulary: Vocabulary, left: str, body: str, right: str, first:
     near = _sure(vocabulary, text, range(begin, until + (not final)))
     if near is None:
         return [i for p in vocabulary.trace(text, begin, last, leave_at) for i in vocabulary.numbers(p)]
-    # between certain borders words are encoded as they are; only the ends of the chunk follow the lattice
+    # between certain borders the path goes through the words' own lattices; the ends of the chunk have states of their own
     far = until if final else _sure(vocabulary, text, range(until, near - 1, -1))
     ids = [i for p in vocabulary.trace(text[:near], begin, last, None) for i in vocabulary.numbers(p)]
-    for word in vocabulary.word.findall(text[near:far]):
-        ids += vocabulary.word_ids(word)
+    ids += words.ids_of(text[near:far])
     if not final:
         ids += [i for p in vocabulary.trace(text, far, "", leave_at) for i in vocabulary.numbers(p)]
     return ids
 
 
-def _traced(vocabulary_of):
+def _traced(vocabulary_of, lattice_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_of.value
+        words = _Words(vocabulary, lattice_of.value)
         for batch in batches:
-            vocabulary, ids, texts = vocabulary_of.value, [], []
+            ids, texts = [], []
             for left, body, right, chunk, final, enter, leave in zip(*(batch.column(n).to_pylist() for n in ("left", "body", "right", "chunk", "final", "from_state", "to_state"))):
-                ids.append(trace_chunk(vocabulary, left, body, right, chunk == 0, final, enter, leave))
+                ids.append(trace_chunk(vocabulary, words, left, body, right, chunk == 0, final, enter, leave))
                 texts.append(decode_ids(vocabulary, ids[-1], chunk == 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc", "chunk", "ids", "text"])
     return run
 
 
-class _Merger:
-    """Byte-pair encoding of many short words at once: one step merges the best pair of every word that has one.
-
-    Symbols are piece numbers. Pairs that make a piece are one sorted table, so a step looks up two pairs a word.
+class _Table:
+    """Numbers by key (both from 0 up) in an open hash table, looked up for whole arrays; -1 for other keys."""
+
+    def __init__(self, numbers: dict[int, int]):
+        keys, values = np.array(list(numbers), np.int64), np.array(list(numbers.values()), np.int32)
+        bits = max(4, len(keys).bit_length() + 2)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._home(keys)
+        while len(keys):
+            slot, first = np.unique(at, return_index=True)
+            first = first[self._keys[slot] < 0]
+            self._keys[at[first]], self._values[at[first]] = keys[first], values[first]
+            keys, values, at = np.delete(keys, first), np.delete(values, first), (np.delete(at, first) + 1) & self._mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        found = self._keys[at]
+        out = np.where(found == keys, self._values[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self._mask
+            found, wanted = self._keys[at], keys[open_]
+            hit = found == wanted
+            out[open_[hit]] = self._values[at[hit]]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+
+class Lattice:
+    """The pieces that can stand at a place, and the weight of a piece behind another, looked up for many places at once.
+
+    Symbols are the numbers of pieces; behind them come letters that pieces are made of but that are none, and one for all other letters.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        v, self._size = vocabulary, len(vocabulary.names)
-        pairs = sorted((v.ids[p[:k]] * self._size + v.ids[p[k:]], v.scores[p], v.ids[p]) for p in v.scores for k in range(1, len(p)) if p[:k] in v.ids and p[k:] in v.ids)
-        self._keys, self._gains, self._made = (np.array(x, t) for x, t in zip(zip(*pairs) if pairs else ((),) * 3, (np.int64, float, np.int64)))
-        self._letters = np.full(0x110000, -1, np.int64)
-        for piece, i in v.ids.items():
-            if len(piece) == 1:
-                self._letters[ord(piece)] = i
-
-    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self._keys):
-            return np.full(left.shape, _BLOCKED), np.full(left.shape, -1)
-        key = left * self._size + right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        hit = (self._keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self._gains[at], _BLOCKED), np.where(hit, self._made[at], -1)
+        v, self._pieces = vocabulary, len(vocabulary.names)
+        symbol = dict(v.ids)
+        for letter in sorted({c for p in v.scores for c in p} - symbol.keys()):
+            symbol[letter] = self._pieces + len(symbol.keys() - v.ids.keys())
+        self._other = self._pieces + len(symbol) - len(v.ids)
+        self._size = self._other + 1
+        order = {score: k for k, score in enumerate(sorted({v.scores[p] for p in v.scores if len(p) > 1}, reverse=True), 1)}
+        last = {p: v.merge(p, least=2) for p in symbol}
+        stable = {p: parts for p, parts in last.items() if len(parts) <= 2}
+        # of a longer piece: when it is made, and of which two
+        self._rank, self._left, self._right = (np.zeros(self._size, np.int64) for _ in range(3))
+        for p, parts in stable.items():
+            if len(parts) == 2:
+                self._rank[symbol[p]], self._left[symbol[p]], self._right[symbol[p]] = order[v.scores[p]], symbol[parts[0]], symbol[parts[1]]
+        self._pairs = _Table({symbol[p[:k]] * self._size + symbol[p[k:]]: order[v.scores[p]] for p in v.scores for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol})
+        nodes = {"": 0}
+        for p in stable:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        kinds = {c: k for k, c in enumerate(sorted({c for p in stable for c in p}), 1)}
+        self._kinds, self._kind = len(kinds) + 1, np.zeros(0x110000, np.int16 if len(kinds) < 1 << 15 else np.int32)
+        for c, k in kinds.items():
+            self._kind[ord(c)] = k
+        self._children = _Table({nodes[q[:-1]] * self._kinds + kinds[q[-1]]: n for q, n in nodes.items() if q})
+        self._symbol = np.array([symbol[q] if q in stable else -1 for q in nodes], np.int64)
+        self._longest, self._bytes_at = v.longest, np.array(v.bytes_at, np.int64)
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether b can stand right behind a: merges are undone from the last one back, none across the border may come before the one undone."""
+        out, left = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), np.iinfo(np.int64).max)
+        while len(left):
+            made = self._pairs.get(a * self._size + b)
+            bad = (made >= 0) & (made < limit)
+            out[left[bad]] = False
+            when_a, when_b = self._rank[a], self._rank[b]
+            more = ~bad & ((when_a > 0) | (when_b > 0))
+            left, a, b, when_a, when_b = left[more], a[more], b[more], when_a[more], when_b[more]
+            first = when_a > when_b  # of equals the left one is made first
+            limit = np.where(first, when_a, when_b + 1)
+            a, b = np.where(first, self._right[a], a), np.where(first, b, self._left[b])
+        return out
+
+    def _edges(self, kind: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first letter, length, symbol) of every piece that can stand in the words; ``room`` is the rest of a letter's word."""
+        at, node, found = np.arange(len(kind)), np.zeros(len(kind), np.int64), []
+        for size in range(1, self._longest + 1):
+            node = self._children.get(node * self._kinds + kind[at + size - 1]).astype(np.int64)
+            if size == 1:
+                found.append((at[node < 0], size, np.full(int((node < 0).sum()), self._other)))
+            at, node = at[node >= 0], node[node >= 0]
+            symbols = self._symbol[node]
+            found.append((at[symbols >= 0], size, symbols[symbols >= 0]))
+            on = room[at] > size
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        firsts, sizes, symbols = zip(*found)
+        return np.concatenate(firsts), np.repeat(np.array(sizes), [len(x) for x in firsts]), np.concatenate(symbols)
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of each word in a row, -1 behind them; whether every letter is a piece, so that the row holds)."""
-        sizes = np.array([len(w) for w in words])
-        width = int(sizes.max(initial=1)) + 1
-        held = np.full((len(words), width + 1), -1, np.int64)
-        row = np.repeat(np.arange(len(words)), sizes)
-        column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        held[row, column] = self._letters[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
-        known = np.ones(len(words), bool)
-        known[row[held[row, column] < 0]] = False
-        active = np.flatnonzero(known & (sizes > 1))
-        now = held[active]
-        gain, made = self._looked_up(now[:, :-1], now[:, 1:])
-        places = np.arange(width)[None]
-        while len(active):
-            at = gain.argmax(axis=1)  # the leftmost of equals
-            each = np.arange(len(active))
-            more = gain[each, at] > _BLOCKED
-            if not more.all():
-                held[active[~more]] = now[~more]
-                active, now, gain, made, at = active[more], now[more], gain[more], made[more], at[more]
-                each = np.arange(len(active))
-            if not len(active):
-                break
-            now[each, at] = made[each, at]
-            behind = np.minimum(places + (places > at[:, None]), width - 1)
-            now[:, :-1] = np.take_along_axis(now, np.where(places > at[:, None], places + 1, places), axis=1)
-            gain, made = np.take_along_axis(gain, behind, axis=1), np.take_along_axis(made, behind, axis=1)
-            gain[each, at], made[each, at] = self._looked_up(now[each, at], now[each, at + 1])
-            left = each[at > 0]
-            gain[left, at[left] - 1], made[left, at[left] - 1] = self._looked_up(now[left, at[left] - 1], now[left, at[left]])
-        return held, known
+        """(ids of all words; how many each has): the path of weight 0 through each word's lattice.
+
+        The words' places are passed in step. A place is reached by the piece whose weight behind the piece that reached its start
+        is 0; every beginning of a word has one encoding, so there is one such piece.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        word = np.repeat(np.arange(len(words)), sizes)
+        within = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first, length, symbol = self._edges(self._kind[letters], sizes[word] - within)
+        stop = within[first] + length
+        order = np.argsort(stop.astype(np.int16 if len(words) and sizes.max() < 1 << 15 else np.int64), kind="stable")
+        begin, symbol = (first + word[first])[order], symbol[order]  # a word has one place more than it has letters
+        end, bounds = begin + length[order], np.concatenate(([0], np.cumsum(np.bincount(stop))))
+        state, back = np.full(len(letters) + len(words), -1, np.int64), np.zeros(len(letters) + len(words), np.int64)
+        for low, high in zip(bounds[1:-1].tolist(), bounds[2:].tolist()):
+            before = state[begin[low:high]]
+            weight = np.zeros(high - low)
+            inner = np.flatnonzero(before >= 0)
+            weight[inner] = np.where(self.follows(before[inner], symbol[low:high][inner]), 0.0, _BLOCKED)
+            best = low + np.flatnonzero(weight == 0.0)
+            state[end[best]], back[end[best]] = symbol[best], begin[best]
+        ends = np.cumsum(sizes) + np.arange(len(words))
+        used, at = np.zeros(len(state), bool), ends[sizes > 0]
+        while len(at):
+            used[at] = True
+            at = back[at]
+            at = at[state[at] >= 0]
+        places = np.flatnonzero(used)
+        ids, owner = state[places], np.searchsorted(ends, places)
+        spelled = np.flatnonzero(ids >= self._pieces)
+        if len(spelled):  # letters that are no pieces, by their bytes
+            codes, which = np.unique(letters[places[spelled] - owner[spelled] - 1], return_inverse=True)
+            spelling = [np.frombuffer(chr(c).encode(), np.uint8) for c in codes]
+            table = np.full((len(codes), 4), -1)
+            for k, x in enumerate(spelling):
+                table[k, :len(x)] = self._bytes_at[x]
+            wide = np.full((len(ids), 4), -1)
+            wide[:, 0] = ids
+            wide[spelled] = table[which]
+            ids, owner = wide[wide >= 0], np.repeat(owner, (wide >= 0).sum(axis=1))
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 class _Words:
     """Ids of the words a task has met, as arrays by number; at most ``_KNOWN`` words are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self._vocabulary, self._merger = vocabulary, _Merger(vocabulary)
+    def __init__(self, vocabulary: Vocabulary, lattice: Lattice):
+        self._vocabulary, self._lattice = vocabulary, lattice
+        spelled = [x.replace(SPACE.encode(), b" ") for x in vocabulary.raw]
+        self._letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self._long = np.array([len(x) for x in spelled])
+        self._at = np.cumsum(self._long) - self._long
         self._forget()
 
+    def _decoded(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes that the ids of all words decode to; how many are each word's)."""
+        long = self._long[ids]
+        upto = np.concatenate(([0], np.cumsum(long)))
+        data = self._letters[np.repeat(self._at[ids] - upto[:-1], long) + np.arange(int(upto[-1]))]
+        return data, np.diff(upto[np.concatenate(([0], np.cumsum(sizes)))])
+
+    def _back(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each word's ids decode to the word."""
+        data, found = self._decoded(ids, sizes)
+        given, wanted = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+        same = found == wanted
+        wrong = data[np.repeat(same, found)] != given[np.repeat(same, wanted)]
+        same[np.repeat(np.arange(len(words))[same], wanted[same])[wrong]] = False
+        return same
+
     def _forget(self) -> None:
         self._number: dict[bytes, int] = {}
-        self._ids, self._sizes, self._back = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        self._ids, self._sizes, self._whole = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self._number) > _KNOWN:
             self._forget()
-        new = [w for w in words if w not in self._number]
+        new = [w for w in dict.fromkeys(words) if w not in self._number]
         if new:
             v = self._vocabulary
             names = [w.decode().replace(" ", SPACE) for w in new]
-            sizes, back, found = np.zeros(len(new), np.int64), np.ones(len(new), bool), {}
-            short = np.array([i for i, name in enumerate(names) if len(name) <= _SHORT], np.int64)
-            merged, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            short = [i for i, name in enumerate(names) if len(name) <= _SHORT]
+            parts, owners = [], []
             for low in range(0, len(short), _TOGETHER):  # bounds the memory of a step
                 part = short[low:low + _TOGETHER]
-                rows, known = self._merger.encoded([names[i] for i in part])
-                rows, part = rows[known], part[known]
-                sizes[part] = (rows >= 0).sum(axis=1)
-                merged.append(rows[rows >= 0])
-                kept.append(part)
-            short = np.concatenate(kept)
-            for i in np.setdiff1d(np.arange(len(new)), short).tolist():  # long words, and letters spelled by bytes
-                parts = v.merge(names[i]) if len(names[i]) <= 64 else v.trace(names[i], 0, "", None)
-                found[i] = [x for p in parts for x in v.numbers(p)]
-                sizes[i], back[i] = len(found[i]), decode_ids(v, found[i], False) == new[i].decode()
-            starts = np.cumsum(sizes) - sizes
-            ids = np.zeros(int(sizes.sum()), np.int32)
-            ids[np.repeat(starts[short], sizes[short]) + (np.arange(int(sizes[short].sum())) - np.repeat(np.cumsum(sizes[short]) - sizes[short], sizes[short]))] = np.concatenate(merged)
-            for i, x in found.items():
-                ids[starts[i]:starts[i] + len(x)] = x
+                found, many = self._lattice.encoded([names[i] for i in part])
+                parts.append(found)
+                owners.append(np.repeat(part, many))
+            for i, name in enumerate(names):
+                if len(name) > _SHORT:
+                    parts.append(np.array([x for p in v.trace(name, 0, "", None) for x in v.numbers(p)], np.int32))
+                    owners.append(np.full(len(parts[-1]), i))
+            owner = np.concatenate(owners)
+            ids, sizes = np.concatenate(parts), np.bincount(owner, minlength=len(new))
+            if len(short) < len(new):
+                ids = ids[np.argsort(owner, kind="stable")]
+            back = self._back(new, ids, sizes)
             self._number.update(zip(new, range(len(self._number), len(self._number) + len(new))))
-            self._ids, self._sizes, self._back = np.concatenate((self._ids, ids)), np.concatenate((self._sizes, sizes)), np.concatenate((self._back, back))
+            self._ids, self._sizes, self._whole = np.concatenate((self._ids, ids)), np.concatenate((self._sizes, sizes)), np.concatenate((self._whole, back))
             self._starts = np.cumsum(self._sizes) - self._sizes
         return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
 
+    def _gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self._sizes[number]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return self._ids[np.repeat(self._starts[number] - upto[:-1], sizes) + np.arange(int(upto[-1]))], upto
+
+    def ids_of(self, text: str) -> list[int]:
+        """Ids of a marked text between two certain borders."""
+        words = self._vocabulary.word.findall(text)
+        if not self._vocabulary.by_word:
+            return [i for word in words for i in self._vocabulary.word_ids(word)]
+        return self._gathered(self._numbers([w.replace(SPACE, " ").encode() for w in words]))[0].tolist() if words else []
+
     def encoded(self, part: runs.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all rows; bounds of each row; whether decoding gives each row back).
 
@@ -463,19 +572,17 @@ class _Words:
         offsets = np.append(first, len(data)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        sizes = self._sizes[number]
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self._ids[np.repeat(self._starts[number] - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        ids, upto = self._gathered(number)
         at = np.searchsorted(first, bounds)
-        lost = np.concatenate(([0], np.cumsum(~self._back[number])))
+        lost = np.concatenate(([0], np.cumsum(~self._whole[number])))
         return ids, upto[at], lost[at[1:]] == lost[at[:-1]]
 
 
-def _whole(vocabulary_of, keep_ids: bool):
-    """Documents of one chunk: its two borders are the document's, so there is one path and nothing to combine.
+def _whole(vocabulary_of, lattice_of, keep_ids: bool):
+    """Documents of one chunk, whose two borders are the document's.
 
-    Where no piece reaches from one word into the next, the distinct words of a batch are encoded once and ids gathered; texts
-    that hold the marker itself are encoded one by one.
+    Where no piece reaches from one word into the next, the lattices of a batch's distinct words are walked once and ids gathered; with other
+    models a text is one lattice. The marker itself in a text is a space there, and does not come back.
     """
     names, kinds = ["n_pieces", "ids_sha256", "round_trip", "ids"], (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
 
@@ -497,14 +604,18 @@ def _whole(vocabulary_of, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of.value
-        words = _Words(vocabulary)
+        words = _Words(vocabulary, lattice_of.value)
         for batch in batches:
             column = batch.column(1)
-            if not vocabulary.by_word or SPACE not in vocabulary.scores or pc.any(pc.match_substring(column, SPACE)).as_py():
+            if not vocabulary.by_word or SPACE not in vocabulary.scores:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *singly(vocabulary, column)], ["doc_id", *names])
                 continue
-            for part in runs.slices(column, _NO_SPACE, whole=True):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.row, len(part.starts)), *together(words, part)], ["doc_id", *names])
+            spaced = pc.replace_substring(column, SPACE, " ")
+            same = pc.fill_null(pc.equal(spaced, column), True)
+            for part in runs.slices(spaced, _NO_SPACE, whole=True):
+                counts, digests, back, held = together(words, part)
+                back = pc.and_(back, same.slice(part.row, len(back)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.row, len(back)), counts, digests, back, held], ["doc_id", *names])
     return run
 
 
@@ -538,17 +649,17 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     """
     spark = docs.sparkSession
     vocabulary = read_vocabulary(model)
-    shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
+    shared, lattice = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(Lattice(vocabulary))  # as large as the vocabulary
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     long = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
     plain = "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean, ids array<int>"
-    small = rows.filter(~long).mapInArrow(_whole(shared, keep_ids), plain)
+    small = rows.filter(~long).mapInArrow(_whole(shared, lattice, keep_ids), plain)
 
     giants = rows.filter(long).withColumn("doc", F.sha2("text", 256))
     contents = giants.groupBy("doc").agg(F.first("text").alias("text"))
     cut = contents.mapInArrow(_chunks(chunk, vocabulary.longest), "doc string, chunk int, block int, final boolean, left string, body string, right string")
     chunks = written(cut, "chunks")
-    traced = chunks.join(_states(chunks, shared), ["doc", "chunk"]).mapInArrow(_traced(shared), "doc string, chunk int, ids array<int>, text string")
+    traced = chunks.join(_states(chunks, shared), ["doc", "chunk"]).mapInArrow(_traced(shared, lattice), "doc string, chunk int, ids array<int>, text string")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts")
     joined = written(traced.groupBy("doc").agg(ordered).select("doc", F.flatten("parts.ids").alias("ids"), F.sha2(F.array_join("parts.text", ""), 256).alias("decoded")), "encoded")
     digests = joined.select("doc", "ids").mapInArrow(_digests, "doc string, ids_sha256 string")

@@ -435,6 +435,43 @@ def test_transfers_combine_associatively():
     assert left.shape == (1, 1) and left[0, 0] == right[0, 0] == 0.0
 
 
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_lattice_weights_and_paths_equal_merging():
+    vocabulary = pieces.read_vocabulary(SENTENCEPIECE_MODEL)
+    lattice = pieces.Lattice(vocabulary)
+    rng = np.random.default_rng(4)
+    stable = np.array([i for p, i in vocabulary.ids.items() if len(vocabulary.merge(p, least=2)) <= 2])
+    a, b = rng.choice(stable, 20000), rng.choice(stable, 20000)
+    words = ["▁" + "".join(rng.choice(list("etaoinsht的中é😀▁0"), rng.integers(0, 30))) for _ in range(500)] + ["▁international", ""]
+    split = [vocabulary.merge(w) for w in words]
+    near = [(vocabulary.ids[x], vocabulary.ids[y]) for parts in split for x, y in zip(parts, parts[1:]) if x in vocabulary.ids and y in vocabulary.ids]
+    a, b = np.append(a, [x for x, _ in near]), np.append(b, [y for _, y in near])
+    expected = [vocabulary.merge(vocabulary.names[x] + vocabulary.names[y]) == [vocabulary.names[x], vocabulary.names[y]] for x, y in zip(a, b)]
+    assert lattice.follows(a, b).tolist() == expected and not all(expected)
+    ids, sizes = lattice.encoded(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[i for p in parts for i in vocabulary.numbers(p)] for parts in split]
+
+
+def test_texts_of_one_chunk_go_through_the_lattice_and_are_decoded():
+    vocabulary = pieces.read_vocabulary(SENTENCEPIECE_MODEL)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3, 4]), "text": ["the end", "an end", "a▁ b", None]})
+
+    def rows(vocabulary, lattice):
+        return pa.Table.from_batches(pieces._whole(_Held(vocabulary), _Held(lattice), True)(iter([batch]))).to_pylist()
+
+    lattice, asked = pieces.Lattice(vocabulary), []
+    follows = lattice.follows
+    lattice.follows = lambda a, b: asked.append(len(a)) or follows(a, b)
+    assert [r["round_trip"] for r in rows(vocabulary, lattice)] == [True, True, False, True] and sum(asked) > 0
+    assert [r["ids"] for r in rows(vocabulary, lattice)] == [pieces.encode_text(vocabulary, t) for t in ("the end", "an end", "a▁ b", "")]
+    vocabulary.raw[vocabulary.ids["▁the"]] = "▁teh".encode()
+    assert [r["round_trip"] for r in rows(vocabulary, lattice)] == [False, True, False, True]
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     assert line_dedup.drop_repeated_lines(docs).count() == 0
