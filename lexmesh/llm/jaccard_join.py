@@ -8,9 +8,9 @@ others by hash, last those that many texts hold (a bounded table, counted over a
 
 The size that divides them is where enumerating subsets costs as much as scanning lists, from the list lengths of
 a hash sample of shingles. A shingle of one set alone is never a key, so most sets that are like no other send nothing. Equal sets are one class
-from the start. Inside a list candidates are first tested against a few centres; what that leaves in one component needs
+from the start, and of lists that hold the same classes one is kept. Inside a list candidates are first tested against a few centres; what that leaves in one component needs
 no further test, and of the other pairs of the list all are tested that the distances to the centres allow. Links are decided on
-whole sets.
+whole sets, of which only the shingles that another set may hold have to meet.
 """
 
 from __future__ import annotations
@@ -123,24 +123,26 @@ class Order:
         return found[order], shared[order]
 
 
-def _keys(found: np.ndarray, shared: np.ndarray, threshold: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, room) of an ordered set; room is the largest overlap that a first meeting at this key allows."""
+def _keys(found: np.ndarray, shared: np.ndarray, threshold: Threshold, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, room, whether the key is a pair) of an ordered set; room is the largest overlap that a first meeting at this key allows."""
     n = len(found)
     none = np.zeros(0, np.uint64)
     if n < 2:  # one shingle: every partner is the same set
-        return none, none.astype(np.int64)
+        return none, none.astype(np.int64), none.astype(bool)
     least = threshold.least(n)
-    keys, room = [], []
+    keys, room, subset = [], [], []
     if n > boundary or threshold.bottom * n >= threshold.top * (boundary + 1):
         first = np.flatnonzero(shared[:n - least + 1])
         keys.append(found[first])
         room.append(n - first)
+        subset.append(np.zeros(len(first), bool))
     if n <= boundary:
         first = np.flatnonzero(shared[:n - least + 2])
         pairs = np.array(list(combinations(first.tolist(), 2)), np.int64).reshape(-1, 2)
         keys.append(mix(found[pairs[:, 0]] * np.uint64(0x9FB21C651E98DF25) + mix(found[pairs[:, 1]])))
         room.append(n - pairs[:, 1] + 1)
-    return np.concatenate(keys), np.concatenate(room)
+        subset.append(np.ones(len(pairs), bool))
+    return np.concatenate(keys), np.concatenate(room), np.concatenate(subset)
 
 
 def _all_shingles(size: int):
@@ -157,15 +159,15 @@ def _members(size: int, order: Order, threshold: Threshold, boundary: int):
         for batch in batches:
             held: list[tuple] = []
             for _, found in shingle_sets(batch.column(0), size):
-                keys, room = _keys(*order.sort(found), threshold, boundary)
+                keys, room, subset = _keys(*order.sort(found), threshold, boundary)
                 if len(keys):
-                    held.append((keys, room, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest()))
+                    held.append((keys, room, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), subset))
             if held:
                 counts = [len(k) for k, *_ in held]
-                classes = pa.array([c for *_, c in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+                classes = pa.array([c for *_, c, _ in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(signed(np.concatenate([k for k, *_ in held]))), "cid": classes,
-                    "n": pa.array(np.repeat([n for *_, n, _ in held], counts).astype(np.int32)), "room": pa.array(np.concatenate([r for _, r, *_ in held]).astype(np.int32))})
+                    "key": pa.array(signed(np.concatenate([k for k, *_ in held]))), "subset": pa.array(np.concatenate([s for *_, s in held])), "cid": classes,
+                    "n": pa.array(np.repeat([n for _, _, n, *_ in held], counts).astype(np.int32)), "room": pa.array(np.concatenate([r for _, r, *_ in held]).astype(np.int32))})
     return run
 
 
@@ -179,29 +181,31 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate((keys, keys))
 
 
-def _whole_sets(size: int, test):
+def _whole_sets(size: int, test, shared):
+    """Of each class that ``test`` lets through, the size and the shingles that other sets may hold: no others can meet in a pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sets = [], []
+            classes, sizes, sets = [], [], []
             for _, found in shingle_sets(batch.column(0), size):
                 cid = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if test(np.array([_class_key(cid)], np.uint64))[0]:
                     classes.append(cid)
-                    sets.append(found.tobytes())
+                    sizes.append(len(found))
+                    sets.append(found[shared(found)].tobytes())
             if classes:
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], ["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["cid", "size", "shingles"])
     return run
 
 
 def _overlaps(top: int, bottom: int):
-    """Each pair's decision, from whole sets in integers, and its Jaccard distance."""
+    """Each pair's decision, from sizes and common shingles in integers, and its Jaccard distance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, distance = [], []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            for a, b, both in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                either = len(np.union1d(x, y))
-                shared = len(x) + len(y) - either
+                shared = len(x) + len(y) - len(np.union1d(x, y))
+                either = both - shared
                 linked.append(bottom * shared >= top * either)
                 distance.append(1 - shared / either)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["u", "v", "linked", "distance"])
@@ -222,12 +226,23 @@ def _boundary(sample: DataFrame, frequent: DataFrame, threshold: Threshold) -> i
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    a = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("cid").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "su", "sv")
+    a = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("su"), F.col("size").alias("nu"))
+    b = sets.select(F.col("cid").alias("v"), F.col("shingles").alias("sv"), F.col("size").alias("nv"))
+    both = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "su", "sv", (F.col("nu") + F.col("nv")).alias("both"))
     return both.mapInArrow(_overlaps(threshold.top, threshold.bottom), "u binary, v binary, linked boolean, distance double")
 
 
+def _different_lists(keys: DataFrame) -> DataFrame:
+    """(key) of one list of at least two classes for each different set of classes that lists hold.
+
+    Sets of classes are told apart by size and 128 bits. Shingles have one order everywhere, so of equal lists by single shingles, and of equal ones by
+    pairs, that with the most room in all has the most for each member: no pair that another would admit is lost.
+    """
+    held = keys.groupBy("key", "subset").agg(F.count(F.lit(1)).alias("others"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"), F.sum("room").alias("room"))
+    best = F.max(F.struct("room", "key")).alias("best")
+    return held.filter("others > 1").groupBy("subset", "others", "x", "y").agg(best).select("best.key", "subset")
+
+
 def _ordered(pairs: DataFrame, threshold: Threshold) -> DataFrame:
     need = threshold.pair(F.col("n_a"), F.col("n_b"))
     enough = pairs.filter((F.col("a") != F.col("b")) & (F.least("room_a", "room_b") >= need))
@@ -257,17 +272,17 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     total = people.agg(F.sum("n")).first()[0] or 0
     shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=1)
     order = Order(spark, np.array([r["key"] for r in ranked], np.int64).view(np.uint64), np.array([r["n"] for r in ranked], np.int64), shared.reader())
-    raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, cid binary, n int, room int")
-    members = raw.groupBy("key", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
+    raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, subset boolean, cid binary, n int, room int")
+    members = raw.groupBy("key", "subset", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
     keys = written(members, "keys")
-    lists = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("others")).filter("others > 1").select("key"), "lists")
-    members = written(keys.join(lists, "key"), "list-members")
+    lists = written(_different_lists(keys), "lists")
+    members = written(keys.join(lists, ["key", "subset"]).drop("subset"), "list-members")
     discard(keys, lists)
 
     listed = members.select("cid").distinct()
     needed = repeated_keys(listed, _twice, bits_for(listed.count(), per_key=12), depth=4)
-    sets = texts.mapInArrow(_whole_sets(size, needed.reader()), "cid binary, shingles binary")
-    sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "listed-sets")
+    sets = texts.mapInArrow(_whole_sets(size, needed.reader(), shared.reader()), "cid binary, size long, shingles binary")
+    sets = written(sets.groupBy("cid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), "listed-sets")
 
     other = members.select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
     centre = [F.min(F.struct(F.xxhash64("cid", F.lit(s)), "cid", "n", "room")).alias(f"c{s}") for s in range(_CENTRES)]

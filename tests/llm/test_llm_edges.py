@@ -185,6 +185,21 @@ def test_jaccard(spark):
     assert sorted((r.n_shingles, r.component_id or 0) for r in found[None]) == [(1, 0), (56, 4)]
 
 
+def test_lists_of_the_same_classes_are_kept_once(spark):
+    lists = {(1, False): "abc", (2, False): "abc", (3, False): "ab", (4, True): "abc", (5, False): "d", (6, True): "abc", (7, False): "abd"}
+    room = {1: 3, 2: 5, 3: 4, 4: 6, 5: 9, 6: 2, 7: 1}
+    keys = spark.createDataFrame([(k, s, bytearray(c.encode()), 9, room[k]) for (k, s), members in lists.items() for c in members], "key long, subset boolean, cid binary, n int, room int")
+    assert {(r.key, r.subset) for r in jaccard_join._different_lists(keys).collect()} == {(2, False), (3, False), (4, True), (7, False)}
+
+
+def test_whole_sets_hold_what_other_sets_may_hold():
+    text = " ".join(f"w{i}" for i in range(40))
+    every = next(jaccard_join.shingle_sets(pa.array([text]), 5))[1]
+    run = jaccard_join._whole_sets(5, lambda keys: np.ones(len(keys), bool), lambda found: found >= every[30])
+    row = pa.Table.from_batches(run(iter([pa.RecordBatch.from_pydict({"text": [text]})]))).to_pylist()[0]
+    assert row["size"] == len(every) == 36 and np.frombuffer(row["shingles"], np.uint64).tolist() == every[30:].tolist()
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_jaccard_equals_brute_force(spark, seed):
     random.seed(seed)
