@@ -175,12 +175,33 @@ def _class_key(cid: bytes) -> int:
     return int.from_bytes(cid[:8], "little")
 
 
+def _filter_keys(column: pa.Array) -> np.ndarray:
+    """64-bit keys of a column of classes, or of one of keys."""
+    if pa.types.is_binary(column.type):
+        return np.fromiter((_class_key(c) for c in column.to_pylist()), np.uint64, len(column))
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        keys = np.fromiter((_class_key(c) for c in batch.column(0).to_pylist()), np.uint64)
+        keys = _filter_keys(batch.column(0))
         yield np.concatenate((keys, keys))
 
 
+def _among(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose first column may be one of ``wanted``, a stored table of one column of different values.
+
+    The filter holds ``wanted`` alone, so rows that are not needed stay where they are; a few others pass.
+    """
+    test = repeated_keys(wanted, _twice, bits_for(wanted.count(), per_key=12), depth=2).reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(test(_filter_keys(batch.column(0)))))
+
+    return table.mapInArrow(run, table.schema)
+
+
 def _whole_sets(size: int, test, shared):
     """Of each class that ``test`` lets through, the size and the shingles that other sets may hold: no others can meet in a pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +297,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     members = raw.groupBy("key", "subset", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))
     keys = written(members, "keys")
     lists = written(_different_lists(keys), "lists")
-    members = written(keys.join(lists, ["key", "subset"]).drop("subset"), "list-members")
+    members = written(_among(keys, lists.select("key")).join(lists, ["key", "subset"]).drop("subset"), "list-members")
     discard(keys, lists)
 
     listed = members.select("cid").distinct()
@@ -313,9 +334,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     for d in far:
         possible &= F.coalesce(F.abs(F.col(f"{d}_a") - F.col(f"{d}_b")) <= 1 - top / bottom + 1e-9, F.lit(True))
     apart = rest.join(every, (rest["key"] == every["key"]) & possible)
-    missing = _ordered(apart, threshold).join(tested, ["u", "v"], "left_anti")
-    links = written(links.unionByName(_verified(missing, sets, threshold).filter("linked").select("u", "v")), "links")
-    discard(members, sets, chosen, tested, roots, largest, open_lists)
+    missing = written(_ordered(apart, threshold).join(tested, ["u", "v"], "left_anti"), "missing-pairs")
+    ends = written(missing.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "missing-ends")
+    links = written(links.unionByName(_verified(missing, _among(sets, ends), threshold).filter("linked").select("u", "v")), "links")
+    discard(members, sets, chosen, tested, roots, largest, open_lists, missing, ends)
     roots = connected(links)
 
     smallest = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first")

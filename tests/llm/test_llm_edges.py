@@ -192,6 +192,16 @@ def test_lists_of_the_same_classes_are_kept_once(spark):
     assert {(r.key, r.subset) for r in jaccard_join._different_lists(keys).collect()} == {(2, False), (3, False), (4, True), (7, False)}
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_rows_that_a_join_does_not_need_stay_behind(spark, kind):
+    key = F.xxhash64("id") if kind == "long" else F.unhex(F.md5(F.col("id").cast("string")))
+    table = spark.range(20000).select(key.alias("k"), "id", F.when(F.col("id") % 7 > 0, F.col("id")).alias("other"))
+    kept = jaccard_join._among(table, table.filter("id % 100 = 0").select("k"))
+    assert kept.schema == table.schema
+    rows = {(r.id, r.other) for r in kept.collect()}
+    assert rows >= {(i, i if i % 7 else None) for i in range(0, 20000, 100)} and len(rows) < 1000
+
+
 def test_whole_sets_hold_what_other_sets_may_hold():
     text = " ".join(f"w{i}" for i in range(40))
     every = next(jaccard_join.shingle_sets(pa.array([text]), 5))[1]
