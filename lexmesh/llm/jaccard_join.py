@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.llm.components import connected
-from lexmesh.llm.sketch import bits_for, repeated_keys
+from lexmesh.llm.sketch import bits_for, fine_bits, repeated_keys
 from lexmesh.llm.storage import discard, without, written
 from lexmesh.llm.words import Polynomial, documents, grams, mix, signed
 
@@ -291,7 +291,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     boundary = _boundary(survey.filter("kind = 2"), spark.createDataFrame(ranked, "key long, n long"), threshold)
 
     total = people.agg(F.sum("n")).first()[0] or 0
-    shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=1)
+    shared = repeated_keys(texts, _all_shingles(size), bits_for(total), depth=1, fine=fine_bits(total))
     order = Order(spark, np.array([r["key"] for r in ranked], np.int64).view(np.uint64), np.array([r["n"] for r in ranked], np.int64), shared.reader())
     raw = texts.mapInArrow(_members(size, order, threshold, boundary), "key long, subset boolean, cid binary, n int, room int")
     members = raw.groupBy("key", "subset", "cid").agg(F.max("n").alias("n"), F.max("room").alias("room"))

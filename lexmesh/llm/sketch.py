@@ -8,7 +8,8 @@ seen once beside one of keys seen twice.
 A task sends the counters it has touched as compressed gaps, split by segment; tasks of the second stage
 add up whole segments in an array of fixed size, whatever the number of partitions; the driver receives one
 bit per counter. ``bits_for`` bounds that: beyond ``MAX_BITS`` counters the filter lets more keys pass, and
-what passes is always confirmed exactly afterwards.
+what passes is always confirmed exactly afterwards. ``fine`` counts in more counters than the driver receives bits: keys seen
+once then fill no bits, however many there are; a bit says that one of its counters is at two.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from lexmesh.llm.words import mix
 
 MAX_BITS = 28
 _SEGMENTS = 16
+_LARGEST_SEGMENT = 25  # log2 of the counters that a task adds up at once
 _FLUSH = 1 << 20
 
 
@@ -32,6 +34,11 @@ def bits_for(keys: int, per_key: int = 8) -> int:
     return int(min(MAX_BITS, max(16, np.ceil(np.log2(max(1, keys) * per_key)))))
 
 
+def fine_bits(keys: int) -> int:
+    """log2 of the number of counters in which few of so many different keys meet."""
+    return int(min(40, max(16, np.ceil(np.log2(max(1, keys) * 16)))))
+
+
 def _positions(keys: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
     spread = mix(keys)
     second = mix(spread ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -48,9 +55,9 @@ def _unpack(payload: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
-def _partials(contributions: Iterator[np.ndarray], bits: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _partials(contributions: Iterator[np.ndarray], bits: int, depth: int, segments: int = _SEGMENTS, held_keys: int = _FLUSH) -> Iterator[pa.RecordBatch]:
     """Each array of 64-bit keys is one unit's set of keys; equal keys of different units count twice."""
-    shift = np.uint64(bits) - np.uint64(int(np.log2(_SEGMENTS)))
+    shift = np.uint64(bits) - np.uint64(int(np.log2(segments)))
     size = 1 << int(shift)
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +71,8 @@ def _partials(contributions: Iterator[np.ndarray], bits: int, depth: int) -> Ite
             again[1:] = ~first[1:]
             rows = []
             for level, chosen in ((1, position[first]), (2, np.unique(position[again]))):
-                cuts = np.searchsorted(chosen, np.arange(_SEGMENTS + 1, dtype=np.uint64) << shift)
-                for s in range(_SEGMENTS):
+                cuts = np.searchsorted(chosen, np.arange(segments + 1, dtype=np.uint64) << shift)
+                for s in range(segments):
                     if cuts[s] < cuts[s + 1]:
                         rows.append((s, level, _pack((chosen[cuts[s]:cuts[s + 1]] & np.uint64(size - 1)).astype(np.int64))))
             if rows:
@@ -75,25 +82,32 @@ def _partials(contributions: Iterator[np.ndarray], bits: int, depth: int) -> Ite
     for keys in contributions:
         held.append(keys)
         count += len(keys)
-        if count >= _FLUSH:
+        if count >= held_keys:
             yield from flush(held)
             held, count = [], 0
     if count:
         yield from flush(held)
 
 
-def _merge(bits: int):
-    size = (1 << bits) // _SEGMENTS
+def _merge(size: int, apart: int = 1):
+    """Whole segments of ``size`` counters, as one bit for each ``apart`` of them. If that is more than one, rows come sorted by segment."""
+    def bits_of(segment: int, held: np.ndarray) -> pa.RecordBatch:
+        twice = (held >= 2).reshape(-1, apart).any(axis=1)
+        return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "payload": pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, level, payload in zip(batch["segment"].to_pylist(), batch["level"].to_pylist(), batch["payload"]):
-                held = counters.setdefault(segment, np.zeros(size, np.uint8))
+                if apart > 1 and segment not in counters and counters:
+                    yield bits_of(*counters.popitem())
+                if segment not in counters:
+                    counters[segment] = np.zeros(size, np.uint8)
+                held = counters[segment]
                 at = _unpack(payload.as_py())
                 held[at] = np.minimum(held[at] + 1, 2) if level == 1 else 2
         for segment, held in counters.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "payload": pa.array([zlib.compress(np.packbits(held >= 2).tobytes(), 1)], pa.binary())})
+            yield bits_of(segment, held)
 
     return run
 
@@ -119,15 +133,24 @@ class Repeated:
         return test
 
 
-def repeated_keys(df: DataFrame, contributions: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, depth: int) -> Repeated:
-    """Sketch of the keys that ``contributions`` takes from the partitions of ``df``."""
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _partials(contributions(batches), bits, depth)
+def repeated_keys(df: DataFrame, contributions: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, depth: int, fine: int = 0) -> Repeated:
+    """Sketch of the keys that ``contributions`` takes from the partitions of ``df``.
 
-    parts = df.mapInArrow(partials, "segment int, level int, payload binary")
-    merged = parts.repartition(_SEGMENTS, "segment").mapInArrow(_merge(bits), "segment int, payload binary")
-    size = (1 << bits) // _SEGMENTS // 8
-    packed = np.zeros(_SEGMENTS * size, np.uint8)
+    With ``fine`` over ``bits`` and a depth of 1 there are 2^fine counters.
+    """
+    counted = max(bits, fine) if depth == 1 else bits
+    segments = max(_SEGMENTS, 1 << max(0, counted - _LARGEST_SEGMENT))
+    held_keys = _FLUSH if counted == bits else 2 * _FLUSH
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _partials(contributions(batches), counted, depth, segments, held_keys)
+
+    dealt = df.mapInArrow(partials, "segment int, level int, payload binary").repartition(segments, "segment")
+    if counted > bits:
+        dealt = dealt.sortWithinPartitions("segment")
+    merged = dealt.mapInArrow(_merge((1 << counted) // segments, 1 << (counted - bits)), "segment int, payload binary")
+    size = (1 << bits) // segments // 8
+    packed = np.zeros(segments * size, np.uint8)
     for row in merged.collect():
         packed[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["payload"]), np.uint8)
     return Repeated(df.sparkSession, bits, depth, packed)

@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from lexmesh.session import scratch_folder
 
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as Parquet in the shared folder: computed once, read again after the loss of any executor."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The rows as Parquet in the shared folder: computed once, read again after the loss of any executor.
+
+    What was shuffled for it goes as soon as it is written; else it stays until the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    folder, before = scratch_folder(spark, name), spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(_CLEANED) if before is None else spark.conf.set(_CLEANED, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def discard(*tables: DataFrame) -> None:
