@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.session import scratch_folder
-
-_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from lexmesh.session import scratch_folder, shuffles_cleaned
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -15,13 +13,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     What was shuffled for it goes as soon as it is written; else it stays until the driver collects its garbage.
     """
-    spark = df.sparkSession
-    folder, before = scratch_folder(spark, name), spark.conf.get(_CLEANED, None)
-    spark.conf.set(_CLEANED, "true")
-    try:
+    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+    with shuffles_cleaned(spark):
         df.write.parquet(folder)
-    finally:
-        spark.conf.unset(_CLEANED) if before is None else spark.conf.set(_CLEANED, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
