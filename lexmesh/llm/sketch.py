@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmesh.llm.words import mix
+from lexmesh.session import shuffles_cleaned
 
 MAX_BITS = 28
 _SEGMENTS = 16
@@ -148,9 +149,10 @@ def repeated_keys(df: DataFrame, contributions: Callable[[Iterator[pa.RecordBatc
     dealt = df.mapInArrow(partials, "segment int, level int, payload binary").repartition(segments, "segment")
     if counted > bits:
         dealt = dealt.sortWithinPartitions("segment")
-    merged = dealt.mapInArrow(_merge((1 << counted) // segments, 1 << (counted - bits)), "segment int, payload binary")
     size = (1 << bits) // segments // 8
     packed = np.zeros(segments * size, np.uint8)
-    for row in merged.collect():
+    with shuffles_cleaned(df.sparkSession):
+        rows = dealt.mapInArrow(_merge((1 << counted) // segments, 1 << (counted - bits)), "segment int, payload binary").collect()
+    for row in rows:
         packed[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["payload"]), np.uint8)
     return Repeated(df.sparkSession, bits, depth, packed)
